@@ -1,8 +1,9 @@
-"""Problem 8 on ``documents`` and ``eval_items``."""
+"""Problems 8 and 9 on ``documents`` and ``eval_items``."""
 
 from __future__ import annotations
 
 from sparkloom.llm.leaks import leaked_items, leaked_passages
+from sparkloom.llm.truncation import cut_rates, judged
 from sparkloom.sources.tables import table
 
 
@@ -18,5 +19,13 @@ def p8_items(spark, sf_dir):
     return leaked_items(_passages(spark, sf_dir))
 
 
-QUERIES = {"p8_found": p8_found, "p8_items": p8_items}
+def p9_found(spark, sf_dir):
+    return judged(table(spark, sf_dir, "documents")).where("is_cut").select("doc_id")
+
+
+def p9_rates(spark, sf_dir):
+    return cut_rates(judged(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_rates": p9_rates}
 SQL: dict[str, str] = {}
