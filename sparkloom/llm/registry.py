@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import item_queries, text_queries
+from sparkloom.llm import item_queries, source_queries, text_queries
 
-MODULES = [item_queries, text_queries]
+MODULES = [source_queries, item_queries, text_queries]
 
 
 def queries() -> dict:
