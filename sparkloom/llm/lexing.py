@@ -25,7 +25,7 @@ TOKENS = {
     "go": re.compile(rf"(?P<c>//[^\n]*|(?P<block>{_BLOCK}))|{_DOUBLE}|{_SINGLE}|(?P<long>`[^`]*(?:`|\Z))", re.S),
     "java": re.compile(rf'(?P<c>//[^\n]*|(?P<block>{_BLOCK}))|(?P<long>"""(?:\\.|[^\\"]|"(?!""))*(?:"""|\Z))|{_DOUBLE}|{_SINGLE}', re.S),
     "ruby": re.compile(
-        r"""(?P<c>(?<![\w"'#$])\#[^\n]*|(?P<block>^=begin\b.*?(?:^=end[^\n]*|\Z)))|(?P<long><<[~-]?(['"]?)(?P<tag>[A-Z_a-z]\w*)\2[^\n]*\n.*?(?:^[ \t]*(?P=tag)\b|\Z))"""
+        r"""(?P<c>(?<![\w"'#$])\#[^\n]*|(?P<block>^=begin\b.*?(?:^=end[^\n]*|\Z)))|(?P<long><<[~-]?(?P<q>['"]?)(?P<tag>[A-Z_a-z]\w*)(?P=q)[^\n]*\n.*?(?:^[ \t]*(?P=tag)\b|\Z))"""
         r"""|"(?:\\.|\#\{(?:[^{}"]|"(?:\\.|[^"\\])*"|\{[^{}]*\})*\}|[^"\\])*(?P<open1>"|\Z)|'(?:\\.|[^'\\])*(?P<open2>'|\Z)|(?<=[(,=~|&!\[ ])/(?![ =])(?:\\.|[^/\\\n])+/[imx]*|%[wWiI](?:\[[^\]]*\]|\([^)]*\))|\$[!@&~`'+0-9"/]""",
         re.S | re.M,
     ),

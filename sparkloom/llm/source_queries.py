@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from sparkloom.llm.credentials import credential_lines, credentials, redacted
 from sparkloom.llm.parsing import broken_rates, unparsable
 from sparkloom.sources.tables import table
 
 
+def p1_found(spark, sf_dir):
+    return credential_lines(credentials(table(spark, sf_dir, "parsed_files")))
+
+
+def p1_redacted(spark, sf_dir):
+    return redacted(table(spark, sf_dir, "parsed_files"))
+
+
 def p3_found(spark, sf_dir):
     return unparsable(table(spark, sf_dir, "parsed_files")).where("broken").select("file_id")
 
@@ -14,5 +23,5 @@ def p3_rates(spark, sf_dir):
     return broken_rates(unparsable(table(spark, sf_dir, "parsed_files")), table(spark, sf_dir, "files"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_rates": p3_rates}
 SQL: dict[str, str] = {}
