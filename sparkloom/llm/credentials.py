@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from sparkloom.llm.latest import latest_sources
 from sparkloom.llm.lexing import TOKENS, extension_of, language_of
 
 #: Word list of a public tokenizer, most frequent first; on every machine at this path.
@@ -317,19 +318,12 @@ def _masked(words: str):
     return redact
 
 
-def latest_sources(parsed: DataFrame) -> DataFrame:
-    """``(file_id, path, source)`` of each file's latest parse; equal times: the greatest content. No source: no row."""
-    rows = parsed.select(F.col("file_id").cast("bigint").alias("file_id"), "path", "source", "parsed_at")
-    rows = rows.where("file_id is not null and source is not null and octet_length(source) > 0")
-    return rows.groupBy("file_id").agg(F.max(F.struct("parsed_at", "path", "source")).alias("v")).select("file_id", "v.path", "v.source")
-
-
 def credentials(parsed: DataFrame, words: str = DICTIONARY) -> DataFrame:
     """``(file_id, line_no, kind, start, end)``: a row for each credential, by the line it begins on.
 
     Lines end at line feeds and count from 1; offsets are characters. Code is read by the language of its path's
     extension, all else (a missing path too) as ``name = value`` settings. A missing or empty source gives no row; of
-    repeated parses the latest counts; an empty table gives no rows; further columns are ignored.
+    repeated parses the latest counts (all of equally late ones); an empty table gives no rows; further columns are ignored.
     """
     return latest_sources(parsed).mapInPandas(_located(words), SPANS)
 

@@ -18,7 +18,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sparkloom.llm.lexing import SPANNING, decoded, language_of, masked
+from sparkloom.llm.latest import latest_sources
+from sparkloom.llm.lexing import LANGUAGES, SPANNING, decoded, language_of, masked
 from sparkloom.sources.shared import written
 
 CODE = ""
@@ -253,23 +254,14 @@ def _statement_check(size: int):
     return check
 
 
-def newest(parsed: DataFrame) -> DataFrame:
-    """``(file_id, path, source)``: each file's latest parse with a source of a code language (equal times: greatest)."""
-    extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
-    known = ["py", "js", "jsx", "ts", "tsx", "go", "java", "rb"]
-    rows = parsed.select(F.col("file_id").cast("bigint").alias("file_id"), "path", "source", "parsed_at")
-    rows = rows.where(F.col("file_id").isNotNull() & F.col("source").isNotNull() & extension.isin(known))
-    return rows.groupBy("file_id").agg(F.max(F.struct("parsed_at", "path", "source")).alias("v")).select("file_id", "v.path", "v.source")
-
-
 def unparsable(parsed: DataFrame, chunk: int = CHUNK, run: int = 64) -> DataFrame:
     """``(file_id, lang, broken)`` for every file of a code language.
 
-    An empty source, a byte order mark and CRLF are valid; a missing source, id or path, or another extension, gives no
-    row; of repeated parses the latest counts; undecodable bytes are replacement characters; further columns are ignored.
+    A byte order mark and CRLF are valid, and so is an empty source, which gives no row; neither does a missing source, id
+    or path, or another extension; of repeated parses the latest counts, all of equally late ones (broken if one is); undecodable bytes are replacement characters; further columns are ignored.
     Files beyond ``chunk`` characters are reduced over their chunks, ``run`` neighbours at a time.
     """
-    files = newest(parsed)
+    files = latest_sources(parsed, tuple(LANGUAGES))
     parts = written(files.mapInPandas(_summarised(chunk), SUMMARY), "chunk-summaries")
     single = parts.where("n_chunks = 1").select("file_id", "lang", "broken")
     many = parts.where("n_chunks > 1")
@@ -281,7 +273,7 @@ def unparsable(parsed: DataFrame, chunk: int = CHUNK, run: int = 64) -> DataFram
     # Balanced long files: their statements.
     rest = files.join(whole.where("not broken").select("file_id"), "file_id", "left_semi").mapInPandas(_statement_check(chunk), "file_id bigint, broken boolean")
     long = whole.where("broken").unionByName(whole.where("not broken").drop("broken").join(rest, "file_id"))
-    return single.unionByName(long)
+    return single.unionByName(long).groupBy("file_id", "lang").agg(F.max("broken").alias("broken"))
 
 
 def broken_rates(verdicts: DataFrame, files: DataFrame) -> DataFrame:
