@@ -23,7 +23,7 @@ from sparkloom.sources.shared import written
 FEATURES = "file_id bigint, repo_name string, canonical string, canonical_chars int, expansion double, uniform double, literal double, says_generated boolean, is_foreign boolean"
 
 #: Thresholds; own code of the usual layout is far below each.
-EXPANSION, UNIFORM, LITERAL = 8.0, 0.85, 0.75
+EXPANSION, UNIFORM, LITERAL = 8.0, 0.85, 0.65
 #: Lines from which uniformity and tokens from which dominance tell anything; characters from which a form is a copy.
 LEAST_LINES, LEAST_TOKENS, LEAST_CHARS = 12, 12, 120
 
@@ -58,7 +58,8 @@ def features(text: str, language: str, path: str, repo: str | None) -> tuple:
             comments.append((m.start(), m.end()))
         last = m.end()
     bare.append(text[last:])
-    form = canonical("".join([*whole, text[last:]]), language in ("typescript", "go", "java"))
+    whole.append(text[last:])
+    form = canonical("".join(whole), language in ("typescript", "go", "java"))
     code = " ".join(bare)
     lines = [x for x in map(str.strip, _DIGITS.sub("0", text).split("\n")) if x]
     edges = code.count(";") + (code.count("{") + code.count("}") if language != "python" else 0)
@@ -68,7 +69,10 @@ def features(text: str, language: str, path: str, repo: str | None) -> tuple:
     uniform = sum(n for n in worded if n >= 4) / sum(worded) if sum(worded) >= LEAST_LINES else 0.0
     names, numbers = len(_NAME.findall(code)), len(_NUMBER.findall(code))
     tokens = literals + numbers + names
-    literal = (literals + numbers) / tokens if tokens >= LEAST_TOKENS else 0.0
+    # Dominant are literals that are most of the tokens and most of the characters.
+    shown = sum(map(len, "".join(whole).split()))
+    told = 1 - sum(map(len, _NUMBER.sub("", code).split())) / max(1, shown)
+    literal = min((literals + numbers) / tokens, told) if tokens >= LEAST_TOKENS else 0.0
     # A notice is a comment before the first or after the last line of code.
     first, end = 0, len(text)
     marks = []
