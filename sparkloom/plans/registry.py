@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import snapshot_plans
+from sparkloom.plans import graph_plans, review_plans, snapshot_plans, store_plans
 
-MODULES = [snapshot_plans]
+MODULES = [snapshot_plans, graph_plans, store_plans, review_plans]
 
 
 def queries() -> dict:
