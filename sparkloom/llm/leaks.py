@@ -17,7 +17,6 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 SEED = 5
 #: Words of a run by which stock instructions are known; shorter ones may be shared by chance.
@@ -180,7 +179,6 @@ def leaked_passages(
     further columns are ignored. Texts are searched whole, whatever their length.
     """
     corpus = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    block = F.floor(F.sum(F.size("words")).over(Window.orderBy("item_id")) / block_words)
     found, tables = [], {}
 
     def searched() -> None:
@@ -188,11 +186,12 @@ def leaked_passages(
         found.append(corpus.mapInPandas(_searched(patterns, least, rate), FOUND))
         tables.clear()
 
-    last = 0
-    for row in item_words(items, stock_items).withColumn("block", block).orderBy("item_id").toLocalIterator():
-        if row["block"] != last and tables:
+    held = 0
+    for row in item_words(items, stock_items).toLocalIterator():
+        if held and held + len(row["words"]) > block_words:
             searched()
-        last = row["block"]
+            held = 0
+        held += len(row["words"])
         tables[row["item_id"]] = (row["item_id"], row["words"], row["stock"])
     if tables or not found:
         searched()
