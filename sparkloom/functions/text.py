@@ -120,7 +120,7 @@ def severity_rank(severity: Column) -> Column:
 
 def redacted(text: Column) -> Column:
     """Values behind ``api_key=``, ``token:`` and ``secret=`` replaced."""
-    return F.regexp_replace(text, r"(?i)(api[_-]?key|token|secret)([\"']?\s*[:=]\s*)[\"']?[^\s\"',;]+", "$1$2***REDACTED***")
+    return F.regexp_replace(text, r"(?i)(api[_-]?key|token|secret)([\"']?\s*[:=]\s*[\"']?)[^\s\"',;]+", "$1$2***REDACTED***")
 
 
 def shortened(text: Column, chars: int) -> Column:

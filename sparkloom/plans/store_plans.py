@@ -237,7 +237,7 @@ SQL = {
     "f_fts_all_terms": "SELECT doc_id FROM documents WHERE list_has_all(regexp_extract_all(lower(text), '[a-z0-9]+'), ['cache', 'lock', 'orchard'])",
     "f_imports": f"WITH {_LINES} SELECT * FROM (SELECT file_id, line_no, {_by_language(textsearch.IMPORTS, True)} AS module FROM lines) WHERE module IS NOT NULL",
     "f_declarations": f"WITH {_LINES} SELECT * FROM (SELECT file_id, lang, line_no, {_by_language(textsearch.DECLARATIONS, False)} AS name FROM lines) WHERE name IS NOT NULL",
-    "f_redacted": """SELECT doc_id, sha256(regexp_replace(text, '(?i)(api[_-]?key|token|secret)(["'']?\\s*[:=]\\s*)["'']?[^\\s"'',;]+', '\\1\\2***REDACTED***', 'g')) AS redacted_hash FROM documents WHERE text IS NOT NULL""",
+    "f_redacted": """SELECT doc_id, sha256(regexp_replace(text, '(?i)(api[_-]?key|token|secret)(["'']?\\s*[:=]\\s*["'']?)[^\\s"'',;]+', '\\1\\2***REDACTED***', 'g')) AS redacted_hash FROM documents WHERE text IS NOT NULL""",
     "e_heuristic_summary": f"""SELECT doc_id, trim(string_split(trim(text), chr(10))[1]) AS first_line, {_word('return')} AS has_return, {_word('raise|throw')} AS may_throw,
         {_word('open|write|delete|remove|unlink|exec|eval|http|socket|connect|commit|rollback')} AS has_side_effects FROM documents WHERE text IS NOT NULL""",
     "e_jaccard": f"""SELECT risk_id, created_at, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END, 6) AS similarity
