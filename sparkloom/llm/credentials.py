@@ -29,7 +29,7 @@ MASK = "*"
 # --- Viterbi --------------------------------------------------------------------------------------------------------
 
 #: Words of this field that the list may lack.
-_OWN_WORDS = "changeme redacted passwd pwd kennwort passwort todo tbd localhost apikey auth login hmac dummy placeholder example goes here env".split()
+_OWN_WORDS = "changeme redacted passwd pwd kennwort passwort todo tbd localhost apikey auth login hmac dummy placeholder example goes here env a i to of in is it on at by or an as no my we be do go me up us if so id db".split()
 _UNKNOWN = 7.0  # cost of a letter that no word explains; a word of rank r costs log(r + 20)
 
 

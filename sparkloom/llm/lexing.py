@@ -25,7 +25,7 @@ TOKENS = {
     "go": re.compile(rf"(?P<c>//[^\n]*|(?P<block>{_BLOCK}))|{_DOUBLE}|{_SINGLE}|(?P<long>`[^`]*(?:`|\Z))", re.S),
     "java": re.compile(rf'(?P<c>//[^\n]*|(?P<block>{_BLOCK}))|(?P<long>"""(?:\\.|[^\\"]|"(?!""))*(?:"""|\Z))|{_DOUBLE}|{_SINGLE}', re.S),
     "ruby": re.compile(
-        r"""(?P<c>(?<![\w"'#$])\#[^\n]*|(?P<block>^=begin\b.*?(?:^=end[^\n]*|\Z)))|(?P<long><<[~-]?(?P<q>['"]?)(?P<tag>[A-Z_a-z]\w*)(?P=q)[^\n]*\n.*?(?:^[ \t]*(?P=tag)\b|\Z))"""
+        r"""(?P<c>(?<![\w"'#$])\#[^\n]*|(?P<block>^=begin\b.*?(?:^=end[^\n]*|\Z)))|(?P<long><<(?:[~-](?P<q>['"]?)(?=[A-Z_a-z])|(?=[A-Z]))(?P<tag>\w+)(?:(?<=\w)['"])?[^\n]*\n.*?(?:^[ \t]*(?P=tag)\b|\Z))"""
         r"""|"(?:\\.|\#\{(?:[^{}"]|"(?:\\.|[^"\\])*"|\{[^{}]*\})*\}|[^"\\])*(?P<open1>"|\Z)|'(?:\\.|[^'\\])*(?P<open2>'|\Z)|(?<=[(,=~|&!\[ ])/(?![ =])(?:\\.|[^/\\\n])+/[imx]*|%[wWiI](?:\[[^\]]*\]|\([^)]*\))|\$[!@&~`'+0-9"/]""",
         re.S | re.M,
     ),
@@ -36,6 +36,25 @@ SPANNING = {
 }
 
 
+def heredocs(text: str) -> list[str]:
+    """States ``<<TAG`` of the here-documents that a Ruby text may hold."""
+    return sorted({"<<" + tag for tag in re.findall(r"<<(?:[~-]['\"]?(?=[A-Z_a-z])|(?=[A-Z]))(\w+)", text)})
+
+
+def goes_on(language: str, fault: str) -> bool:
+    """Whether an unended literal or comment may end on a later line."""
+    return fault in SPANNING[language] or fault.startswith("<<")
+
+
+def end_of(language: str, state: str, text: str) -> int:
+    """Where the literal or comment that a text begins in ends, -1 if it does not."""
+    if state.startswith("<<"):
+        m = re.search(rf"^[ \t]*{state[2:]}\b", text, re.M)
+        return m.end() if m else -1
+    at = text.find(SPANNING[language][state])
+    return at + len(SPANNING[language][state]) if at >= 0 else -1
+
+
 def decoded(source: bytes) -> str:
     """Text of a source: UTF-8 without byte order mark, line ends as line feeds."""
     return source.decode("utf-8", "replace").removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
@@ -64,6 +83,10 @@ def _blank(faults: list[str], m: re.Match) -> str:
     if m["open1"] == "" or m["open2"] == "":
         faults.append(text[0])
     elif "long" in groups and m["long"] is not None:
+        if text.startswith("<<"):
+            if not re.search(rf"\n[ \t]*{m['tag']}\Z", text):
+                faults.append("<<" + m["tag"])
+            return '"' + "s" * (len(text) - 2) + '"'
         for quote in ('"""', "'''", "`"):
             if text.startswith(quote) and (len(text) < 2 * len(quote) or not text.endswith(quote)):
                 faults.append(quote)

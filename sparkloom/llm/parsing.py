@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from sparkloom.llm.latest import latest_sources
-from sparkloom.llm.lexing import LANGUAGES, SPANNING, decoded, language_of, masked
+from sparkloom.llm.lexing import LANGUAGES, SPANNING, decoded, end_of, goes_on, heredocs, language_of, masked
 from sparkloom.sources.shared import written
 
 CODE = ""
@@ -69,14 +69,13 @@ def summary(text: str, language: str, enter: str) -> tuple[str, str, str, bool,
     """``(leave, closers, openers, broken, code)`` of a chunk entered in the state ``enter``; ``code`` is masked."""
     lead = ""
     if enter != CODE:
-        at = text.find(SPANNING[language][enter])
+        at = end_of(language, enter, text)
         if at < 0:
             return enter, "", "", False, ""
-        at += len(SPANNING[language][enter])
         lead, text = " " * at, text[at:]
     code, faults = masked(text, language)
-    leave = faults[-1] if faults and faults[-1] in SPANNING[language] else CODE
-    broken = any(f not in SPANNING[language] for f in faults) or len(faults) > (leave != CODE)
+    leave = faults[-1] if faults and goes_on(language, faults[-1]) else CODE
+    broken = len(faults) > (leave != CODE)
     closers, openers, mixed = _split(_brackets(code, language))
     return leave, closers, openers, broken or mixed, lead + code
 
@@ -210,8 +209,9 @@ def _summarised(size: int):
             rows = []
             for file, path, source in zip(batch["file_id"], batch["path"], batch["source"]):
                 language, chunks = language_of(path), _chunks(decoded(bytes(source)), size)
+                states = [CODE, *SPANNING[language], *(heredocs("".join(chunks)) if language == "ruby" else [])] if len(chunks) > 1 else []
                 for k, chunk in enumerate(chunks):
-                    for enter in [CODE, *SPANNING[language]] if k else [CODE]:
+                    for enter in states if k else [CODE]:
                         leave, closers, openers, broken, code = summary(chunk, language, enter)
                         # A file in one chunk is done with at once; Python's own grammar also settles what the masks may
                         # misread there (nested quotes of f-strings).

@@ -96,10 +96,13 @@ def shape_of(text: str) -> str:
             return "cut"
         return "item" if _words(item[1]) <= 8 else "cut"
     # A line of its own: signature, sign-off, title or a whole informal text.
-    alone = len(lines) == 1 or not lines[-2].strip() or lines[-2].rstrip("\r") in ("-- ", "--")
-    if alone and _words(line) <= 8 and not re.search(r"[.!?。！？；，,]\s*\S", line.replace(", ", " ", 1)) and not line.startswith((" ", "\t")):
-        return "open"
-    return "cut"
+    signed = len(lines) > 1 and lines[-2].rstrip("\r") in ("-- ", "--")
+    alone = signed or len(lines) == 1 or not lines[-2].strip()
+    if not alone or _words(line) > 8 or re.search(r"[.!?。！？；，,]\s*\S", line.replace(", ", " ", 1)) or line.startswith((" ", "\t")):
+        return "cut"
+    # Sign-offs are short; what begins like a sentence is one that did not end.
+    begun = _words(line) > (2 if len(lines) > 1 else 4) and line[:1].isupper() or len(_HAN.findall(line)) > 7
+    return "open" if signed or not begun else "cut"
 
 
 def _shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
