@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions.text import excluded, heuristic_summary, jaccard, language, redacted, two_levels, type_weight, words
-from sparkloom.operators import store, textsearch
+from sparkloom.operators import imports, store, textsearch
 from sparkloom.operators.snapshots import normal_hash
 from sparkloom.sources.tables import table
 from sparkloom.streaming import jobs
@@ -184,7 +184,20 @@ def l_lint_norm(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type", level.alias("severity")).agg(F.count(F.lit(1)).alias("n_messages"), F.sum(parsed["k"]).alias("sum_k"))
 
 
+def q_resolved_imports(spark, sf_dir):
+    return imports.resolved_imports(textsearch.latest_text(table(spark, sf_dir, "parsed_files")), table(spark, sf_dir, "files"))
+
+
+def q_signatures(spark, sf_dir):
+    return imports.signatures(textsearch.latest_text(table(spark, sf_dir, "parsed_files")))
+
+
+def s_directory_map(spark, sf_dir):
+    return imports.directory_map(table(spark, sf_dir, "files"))
+
+
 QUERIES = {f.__name__: f for f in (
+    q_resolved_imports, q_signatures, s_directory_map,
     r_latest_rev, r_files_at_latest, r_file_exists, r_rev_scoped_edges, r_paths_ending_with, r_node_locations, r_symbol_search_exact, r_symbol_search_like, r_limit_per_group,
     r_upsert_last_wins, r_stats, r_counts_per_blob, i_content_hash_dedup, i_fingerprint, i_new_content, f_path_filter, f_lang_by_ext, f_two_levels, f_grep_literal, f_grep_context, f_fts_all_terms,
     f_imports, f_declarations, f_redacted, e_heuristic_summary, e_jaccard, v_group_tasks, v_tool_stats, v_loop_no_signal, v_history_budget, w_job_dedupe, w_cooldown, l_lint_norm,
@@ -210,7 +223,19 @@ def _by_language(patterns: dict[str, str], two: bool) -> str:
 
 
 _SET = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9_]+'))"
+_EVEN = "regexp_replace(regexp_replace(regexp_replace({}, '/\\./', '/', 'g'), '[^/]+/\\.\\./', '', 'g'), '[^/]+/\\.\\./', '', 'g')"
+_IMPORTED = f"""{_LINES}, imported AS (SELECT * FROM (SELECT file_id, line_no, lang, {_by_language(textsearch.IMPORTS, True)} AS module FROM lines) WHERE module IS NOT NULL),
+ found AS (SELECT i.file_id, i.line_no, i.module, f.repo_name, CASE lower(regexp_extract(f.path, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'rb' THEN 'ruby' WHEN 'java' THEN 'java' WHEN 'go' THEN 'go' ELSE 'typescript' END AS lang,
+   regexp_replace(f.path, '/[^/]*$', '') AS beside, replace(i.module, '.', '/') AS dotted FROM imported i JOIN files f USING (file_id)),
+ tried AS (SELECT file_id, line_no, module, unnest(CASE lang WHEN 'python' THEN [repo_name || '/' || dotted || '.py', repo_name || '/' || dotted || '/__init__.py', beside || '/' || dotted || '.py', beside || '/' || dotted || '/__init__.py']
+   WHEN 'ruby' THEN [beside || '/' || module || '.rb', repo_name || '/' || module || '.rb']
+   WHEN 'typescript' THEN CASE WHEN starts_with(module, '.') THEN list_transform(['', '.ts', '.tsx', '.js', '.jsx', '/index.ts', '/index.js'], lambda e: beside || '/' || module || e) ELSE [] END ELSE [] END) AS path FROM found),
+ met AS (SELECT t.file_id, t.line_no, t.module, f.file_id AS target_id FROM tried t JOIN files f ON f.path = {_EVEN.format('t.path')}
+   UNION ALL SELECT j.file_id, j.line_no, j.module, f.file_id FROM found j JOIN files f ON f.repo_name = j.repo_name AND ends_with(f.path, '/' || j.dotted || '.java') WHERE j.lang = 'java')"""
 SQL = {
+    "q_resolved_imports": f"WITH {_IMPORTED} SELECT file_id, line_no, module, coalesce(min(target_id), -1) AS target_id FROM (SELECT DISTINCT file_id, line_no, module FROM found) LEFT JOIN met USING (file_id, line_no, module) GROUP BY ALL",
+    "q_signatures": f"WITH {_LINES}, named AS (SELECT file_id, line_no, trim(line, ' ') AS signature, {_by_language(textsearch.DECLARATIONS, False)} AS name FROM lines) SELECT name, file_id, line_no, signature FROM named WHERE name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name ORDER BY file_id, line_no) <= 5",
+    "s_directory_map": "SELECT repo_name, array_to_string(list_slice(string_split(path, '/'), 1, k), '/') AS directory, count(*) AS n_files FROM files, range(1, 4) r(k) WHERE k < len(string_split(path, '/')) GROUP BY ALL",
     "r_latest_rev": f"WITH {_LATEST} SELECT repo_name, rev FROM latest",
     "r_files_at_latest": f"""WITH {_LATEST} SELECT rev, path, hash FROM (SELECT rev, file_id, {_HASH} AS hash, loaded_at FROM file_versions WHERE rev IN (SELECT rev FROM latest) AND {_HASH} IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY rev, file_id ORDER BY loaded_at DESC, hash DESC) = 1) JOIN files USING (file_id)""",
