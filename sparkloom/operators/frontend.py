@@ -107,3 +107,43 @@ def def_use_edges(nodes: DataFrame) -> DataFrame:
     before = Window.partitionBy("file_id", "name").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("role") == "store", F.col("seq")), ignorenulls=True).over(before)
     return names.withColumn("src", last).where("role = 'load' and src is not null").select("file_id", "src", F.col("seq").alias("dst"), "name", F.lit("DDG").alias("kind"))
+
+
+def value_edges(nodes: DataFrame) -> DataFrame:
+    """``(src, dst, kind)`` along which values go: definition to use, use to the nearest call or assignment around it, call
+    to the one around it, assignment to the names it stores. Ends are ``file:node``."""
+    at = lambda c: F.concat_ws(":", F.col("file_id").cast("string"), F.col(c).cast("string"))
+    edges = def_use_edges(nodes).select(at("src").alias("src"), at("dst").alias("dst"), "kind")
+    # Nearest call or assignment around a node: ancestors are the last such nodes before it in preorder whose span holds
+    # it; climbing the parents level by level needs as many joins as expressions are deep, so spans are compared instead.
+    inner = nodes.where("role in ('load', 'call', 'store')").select("file_id", F.col("seq").alias("seq"), "role", "start_line", "start_col", "end_line", "end_col")
+    outer = nodes.where("role = 'call' or kind = 'assignment'").select(
+        "file_id", F.col("seq").alias("around"), F.col("kind").alias("outer_kind"), *[F.col(c).alias("o_" + c) for c in ("start_line", "start_col", "end_line", "end_col")]
+    )
+    # A statement's lines bound the join: both sides go to every line that the outer node covers.
+    outer = outer.withColumn("line", F.explode(F.sequence("o_start_line", "o_end_line")))
+    held = inner.withColumn("line", F.col("start_line")).join(outer, ["file_id", "line"]).where(
+        (F.col("around") < F.col("seq"))
+        & ((F.col("o_end_line") > F.col("end_line")) | ((F.col("o_end_line") == F.col("end_line")) & (F.col("o_end_col") >= F.col("end_col"))))
+        & ((F.col("o_start_line") < F.col("start_line")) | ((F.col("o_start_line") == F.col("start_line")) & (F.col("o_start_col") <= F.col("start_col"))))
+    )
+    nearest = held.groupBy("file_id", "seq", "role").agg(F.max(F.struct("around", "outer_kind")).alias("o")).select("file_id", "seq", "role", F.col("o.around").alias("around"), "o.outer_kind")
+    into = nearest.where("role <> 'store'").select(at("seq").alias("src"), at("around").alias("dst"), F.lit("VALUE").alias("kind"))
+    out = nearest.where("role = 'store' and outer_kind = 'assignment'").select(at("around").alias("src"), at("seq").alias("dst"), F.lit("VALUE").alias("kind"))
+    return edges.unionByName(into).unionByName(out)
+
+
+def named_calls(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """``(node)``: calls of the given names, dotted names whole, undotted ones as the last part too."""
+    last = F.substring_index("name", ".", -1)
+    found = nodes.where("role = 'call' and name is not null").where(F.col("name").isin(*names) | last.isin(*[n for n in names if "." not in n]))
+    return found.select(F.concat_ws(":", F.col("file_id").cast("string"), F.col("seq").cast("string")).alias("node"))
+
+
+def taint(nodes: DataFrame, sources: list[str], sinks: list[str], sanitizers: list[str] = [], max_steps: int = 64) -> DataFrame:
+    """``(source, sink, depth)``: sink calls that a source call's value reaches, not through a sanitizer."""
+    from sparkloom.operators.traverse import Graph, reach
+
+    found = reach(Graph(value_edges(nodes)), named_calls(nodes, sources), max_steps, blocked=named_calls(nodes, sanitizers) if sanitizers else None)
+    met = found.where("depth > 0").join(named_calls(nodes, sinks), "node", "left_semi")
+    return met.select(F.col("origin").alias("source"), F.col("node").alias("sink"), "depth")

@@ -154,10 +154,18 @@ def g_python_def_use(spark, sf_dir):
     return frontend.def_use_edges(frontend.python_nodes(table(spark, sf_dir, "parsed_files")))
 
 
+def g_python_taint(spark, sf_dir):
+    """What is read from a row or opened that reaches a call keeping or returning it in another order."""
+    from sparkloom.sources.shared import written
+
+    nodes = written(frontend.python_nodes(table(spark, sf_dir, "parsed_files")), "nodes")
+    return frontend.taint(nodes, ["row.get", "open"], ["setdefault", "sorted", "append"], ["len"], max_steps=12)
+
+
 _FORWARD = {"to": "dst", "frm": "src"}
 QUERIES = {f.__name__: f for f in (
     g_slice_forward, g_slice_backward, g_query_depth, g_reachability_len, g_slice_store_cap, g_callgraph_edges, g_taint_reach, g_cfg_chain, g_cfg_region, g_def_use,
-    g_resolve_calls, g_build_resolve, g_revision_chain, g_python_symbols, g_python_tree, g_python_flow, g_python_calls, g_python_def_use,
+    g_resolve_calls, g_build_resolve, g_revision_chain, g_python_symbols, g_python_tree, g_python_flow, g_python_calls, g_python_def_use, g_python_taint,
 )}
 SQL = {
     "g_slice_forward": _REACH.format(starts=_BUILDING, steps=4, more="", **_FORWARD) + " SELECT node, min(depth)::INTEGER AS depth FROM found GROUP BY node",

@@ -96,3 +96,26 @@ def test_python_front_end(spark):
     assert flow == 7  # eight statements in preorder
     tree = frontend.tree_edges(found).where("file_id = 1").count()
     assert tree == found.where("file_id = 1 and parent >= 0").count()
+
+
+TAINTED = b"""a = input()
+b = a + 1
+c = escape(b)
+eval(b)
+eval(c)
+d = wrap(
+    other(a),
+)
+exec(d)
+e = 2
+eval(e)
+"""
+
+
+def test_taint(spark):
+    nodes = frontend.python_nodes(spark.createDataFrame([(1, "a.py", bytearray(TAINTED), 1)], "file_id bigint, path string, source binary, parsed_at int")).cache()
+    line = {f"1:{r.seq}": r.start_line for r in nodes.collect()}
+    met = {line[r.sink] for r in frontend.taint(nodes, ["input"], ["eval", "exec"], ["escape"]).collect()}
+    assert met == {4, 9}
+    assert {line[r.sink] for r in frontend.taint(nodes, ["input"], ["eval", "exec"]).collect()} == {4, 5, 9}
+    assert frontend.taint(nodes, ["nothing"], ["eval"]).count() == 0
