@@ -138,7 +138,7 @@ def passage(text: list[int], item: list[int], hits: list[tuple[int, int]], least
 
 def item_words(items: DataFrame, stock_items: int) -> DataFrame:
     """``(item_id, words, stock)``: each item's words and the positions that lie in runs shared by many items."""
-    cut = F.udf(lambda text: words_of(text), "array<string>")
+    cut = F.pandas_udf(lambda texts: texts.map(words_of), "array<string>")
     words = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null")
     words = words.groupBy("item_id").agg(F.max("text").alias("text")).select("item_id", cut("text").alias("words"))
     starts = F.sequence(F.lit(1), F.size("words") - STOCK + 1)

@@ -187,17 +187,19 @@ def judged(documents: DataFrame) -> DataFrame:
     keyed = texts.select("doc_id", "source", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), F.md5("text").alias("key"), "text")
     shapes = written(keyed.mapInPandas(_shapes, SHAPES), "shapes")
     longer = strict_prefixes(keyed.select("key", "text")).withColumn("has_longer", F.lit(True))
-    partial = partial_words(texts, shapes.where("shape = 'item'").select("tail")).withColumn("ends_in_word", F.lit(True))
     limits = source_limits(shapes)
     at = (F.col("n_chars") == F.col("limit_chars")) | (F.col("n_bytes") >= F.col("limit_bytes") - 3)
     yes = lambda c: F.coalesce(c, F.lit(False))
+    # Only list items need their last word looked up; the many rows without one never meet in a join.
+    items = shapes.where("shape = 'item'")
+    partial = partial_words(texts, items.select("tail")).withColumn("ends_in_word", F.lit(True))
+    looked_up = items.join(partial, "tail", "left").unionByName(shapes.where("shape <> 'item'").withColumn("ends_in_word", F.lit(False)))
     evidence = (
-        shapes.join(limits, "source", "left").join(longer, "key", "left").join(partial, "tail", "left")
+        looked_up.join(limits, "source", "left").join(longer, "key", "left")
         .select("doc_id", "source", "shape", yes(at).alias("at_limit"), yes(F.col("has_longer")).alias("has_longer"), yes(F.col("ends_in_word")).alias("ends_in_word"))
     )
     # Sign-offs hold words of their own ("bot"), so the last word counts for list items only.
-    in_word = (F.col("shape") == "item") & F.col("ends_in_word")
-    stopped = F.col("shape").isin("open", "item") & (F.col("at_limit") | F.col("has_longer") | in_word)
+    stopped = F.col("shape").isin("open", "item") & (F.col("at_limit") | F.col("has_longer") | F.col("ends_in_word"))
     return evidence.withColumn("is_cut", (F.col("shape") == "cut") | stopped)
 
 
