@@ -32,7 +32,7 @@ _GENERATED = re.compile(
     r"|\bautomatically (?:produced|created|written)\b|do not (?:edit|modify)\W+(?:output|generated|this (?:file|code) (?:is|was))|\b(?:automatisch|maschinell) (?:erzeugt|erstellt|generiert)\b|自动生成|自動生成"
 )
 _FOREIGN = re.compile(r"(?i)(?:\(c\)|copyright|©)[^\n]{0,20}?\bthe ([\w.-]+) (?:authors|contributors|developers|project|foundation)\b")
-_VERSIONED = re.compile(r"/[a-z][\w.-]*?-v?\d+\.\d+(?:\.\d+)?/|/(?:node_modules|site-packages|bower_components)/")
+_VERSIONED = re.compile(r"/[a-z][\w.-]*?-v?\d+\.\d+(?:\.\d+)?/|/(?:node_modules|site-packages|bower_components|third_party)/|^[^/]+/(?:vendor|ext|external)/")
 _NAME, _NUMBER = re.compile(r"\b[^\W\d]\w*+"), re.compile(r"\b\d[\w.]*+")
 _DIGITS = re.compile(r"\d+")
 
