@@ -139,9 +139,12 @@ def strict_prefixes(texts: DataFrame) -> DataFrame:
     distinct = texts.groupBy("key").agg(F.first("text").alias("text"))
     ranged = distinct.repartitionByRange(F.left("text", F.lit(RANGE_CHARS))).sortWithinPartitions("text")
     rows = written(ranged.mapInPandas(_successors, "key string, part int, first string, last string"), "prefixes")
-    # One row per partition: its last text against the first of the next partition that holds any.
-    edges = rows.where("first is not null").withColumn("after", F.lead("first").over(Window.orderBy("part")))
-    across = edges.where((F.length("after") > F.length("last")) & F.startswith("after", "last"))
+    # One row per partition: its last text against the first of the next partition that holds any. Only the partitions'
+    # numbers are put in order in one task; the texts meet in a join.
+    edges = rows.where("first is not null")
+    order = edges.select("part", F.lead("part").over(Window.orderBy("part")).alias("next")).where("next is not null")
+    followed = edges.select("part", "key", "last").join(order, "part").join(edges.select(F.col("part").alias("next"), F.col("first").alias("after")), "next")
+    across = followed.where((F.length("after") > F.length("last")) & F.startswith("after", "last"))
     return rows.where("first is null").select("key").unionByName(across.select("key")).distinct()
 
 
