@@ -151,7 +151,7 @@ def strict_prefixes(texts: DataFrame) -> DataFrame:
 def partial_words(texts: DataFrame, tails: DataFrame) -> DataFrame:
     """Of the last words ``tails`` (``tail``) those that stand nowhere else but begin longer words of the texts."""
     words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}_])[a-z]{2,40}(?![\p{L}\p{N}_])"), F.lit(0))).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")  # looked up twice, counted once
     last = tails.where("tail is not null").groupBy("tail").agg(F.count(F.lit(1)).alias("as_tail"))
     begun = counts.where("n > 1").select("word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("k")).select(F.left("word", "k").alias("tail")).distinct()
     elsewhere = counts.withColumnRenamed("word", "tail")
