@@ -24,11 +24,42 @@ DECLARATIONS = {
 }
 
 
+#: Ids of repeated files up to which they are broadcast; beyond it the joins shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
 def latest_text(parsed: DataFrame) -> DataFrame:
-    """``(file_id, path, text)`` of each file's latest parse, line ends as line feeds."""
-    best = parsed.where("file_id is not null and source is not null").groupBy("file_id").agg(F.max(F.struct("parsed_at", "path", "source")).alias("s"))
-    text = F.regexp_replace(F.decode("s.source", "UTF-8"), "\r\n", "\n")
-    return best.select("file_id", "s.path", text.alias("text"))
+    """``(file_id, path, text)`` of each file's latest parse, line ends as line feeds.
+
+    Only the sources of repeated files are shuffled; equal times are decided by path and source.
+    """
+    rows = parsed.where("file_id is not null and source is not null").select("file_id", "parsed_at", "path", "source")
+    repeated = rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("file_id")
+    if repeated.count() <= BROADCAST_ROWS:
+        repeated = F.broadcast(repeated)
+    best = rows.join(repeated, "file_id", "left_semi").groupBy("file_id").agg(F.max(F.struct("parsed_at", "path", "source")).alias("s"))
+    latest = rows.join(repeated, "file_id", "left_anti").select("file_id", "path", "source").unionByName(best.select("file_id", "s.path", "s.source"))
+    return latest.select("file_id", "path", F.regexp_replace(F.decode("source", "UTF-8"), "\r\n", "\n").alias("text"))
+
+
+def snippets(texts: DataFrame, ranges: DataFrame, context: int = 20, max_lines: int = 240) -> DataFrame:
+    """``(path, start, end, snippet)``: each range of lines ``(path, start, end)`` with its surroundings, numbered.
+
+    A range beyond the text is moved to its last line; more than ``max_lines`` lines are narrowed to those about the
+    range's middle. Repeated ranges count once, so a path named very often is read as often as it has different ranges;
+    slices of a text's own lines, no line is joined.
+    """
+    wanted = ranges.where("path is not null and start <= end").select("path", "start", "end").distinct()
+    rows = texts.select("path", F.split("text", "\n").alias("lines")).join(wanted, "path")
+    last = F.size("lines")
+    inside = lambda line: F.least(F.greatest(line, F.lit(1)), last)
+    low, high = inside(inside(F.col("start")) - context), inside(inside(F.col("end")) + context)
+    middle = F.floor((inside(F.col("start")) + inside(F.col("end"))) / 2).cast("int")
+    narrow = inside(middle - max_lines // 2)
+    wide = high - low + 1 > max_lines
+    rows = rows.select("path", "start", "end", "lines", F.when(wide, narrow).otherwise(low).alias("low"), F.when(wide, F.least(narrow + max_lines - 1, last)).otherwise(high).alias("high"))
+    shown = F.transform(F.slice("lines", F.col("low"), F.col("high") - F.col("low") + 1), lambda line, at: F.concat((F.col("low") + at).cast("string"), F.lit(": "), line))
+    return rows.select("path", "start", "end", F.array_join(shown, "\n").alias("snippet"))
 
 
 def text_lines(texts: DataFrame) -> DataFrame:

@@ -49,15 +49,17 @@ def reach(
     blocked: DataFrame | None = None,
     fan_out: int | None = None,
     max_nodes: int | None = None,
+    together: bool = False,
 ) -> DataFrame:
     """``(origin, node, depth, parent, kind)``: nodes within ``max_steps`` edges of each start, by breadth-first rounds.
 
     ``starts`` and ``blocked`` have a column ``node``. Blocked nodes are reached but not left (sanitizers). A node's parent
     is the smallest ``(kind, node)`` of the round before. With ``max_nodes`` the rounds end once an origin's nodes together
-    reach it; the last round is kept whole. Starts are in the result at depth 0, known to the graph or not.
+    reach it; the last round is kept whole. ``together``: all starts are one origin, ``*``; a node is met once, however
+    many starts lead to it. Starts are in the result at depth 0, known to the graph or not.
     """
     edges = graph.edges(kinds, fan_out)
-    first = starts.select(F.col("node").alias("origin"), "node").where("node is not null").distinct()
+    first = starts.select((F.lit("*") if together else F.col("node")).alias("origin"), "node").where("node is not null").distinct()
     first = first.select("origin", "node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("kind"))
     rounds = [written(first, "reach")]
     total = 0

@@ -50,24 +50,20 @@ def _building(spark, sf_dir):
 _BUILDING = "SELECT 'C:' || c_custkey, 0 FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9900"
 
 
-def _any_origin(found: DataFrame) -> DataFrame:
-    return found.groupBy("node").agg(F.min("depth").alias("depth"))
-
-
 def _one(spark, node: str) -> DataFrame:
     return spark.createDataFrame([(node,)], "node string")
 
 
 def g_slice_forward(spark, sf_dir):
-    return _any_origin(reach(Graph(order_edges(spark, sf_dir)), _building(spark, sf_dir), 4))
+    return reach(Graph(order_edges(spark, sf_dir)), _building(spark, sf_dir), 4, together=True).select("node", "depth")
 
 
 def g_slice_backward(spark, sf_dir):
-    return _any_origin(reach(Graph.reversed(order_edges(spark, sf_dir)), _one(spark, "N:3"), 3))
+    return reach(Graph.reversed(order_edges(spark, sf_dir)), _one(spark, "N:3"), 3, together=True).select("node", "depth")
 
 
 def g_query_depth(spark, sf_dir):
-    found = _any_origin(reach(Graph(order_edges(spark, sf_dir)), _building(spark, sf_dir), 2))
+    found = reach(Graph(order_edges(spark, sf_dir)), _building(spark, sf_dir), 2, together=True).select("node", "depth")
     return found.groupBy("depth").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
@@ -77,7 +73,7 @@ def g_reachability_len(spark, sf_dir):
 
 
 def g_slice_store_cap(spark, sf_dir):
-    found = _any_origin(reach(Graph.reversed(order_edges(spark, sf_dir)), _one(spark, "R:2"), 3))
+    found = reach(Graph.reversed(order_edges(spark, sf_dir)), _one(spark, "R:2"), 3, together=True).select("node", "depth")
     return first_nodes(found, 500)
 
 

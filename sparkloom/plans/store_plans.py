@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from sparkloom.functions.text import excluded, heuristic_summary, jaccard, language, redacted, two_levels, type_weight, words
 from sparkloom.operators import imports, store, textsearch
 from sparkloom.operators.snapshots import normal_hash
+from sparkloom.operators.traverse import Graph, reach
 from sparkloom.sources.tables import table
 from sparkloom.streaming import jobs
 
@@ -192,12 +193,28 @@ def q_signatures(spark, sf_dir):
     return imports.signatures(textsearch.latest_text(table(spark, sf_dir, "parsed_files")))
 
 
+def q_dependency_closure(spark, sf_dir):
+    """Files that the files changed in reviews need, over up to five imports."""
+    files = table(spark, sf_dir, "files")
+    resolved = imports.resolved_imports(textsearch.latest_text(table(spark, sf_dir, "parsed_files")), files)
+    changed = table(spark, sf_dir, "review_states").select(F.explode("changed_files").alias("path")).distinct()
+    starts = files.join(changed, "path").select(F.col("file_id").cast("string").alias("node"))
+    found = reach(Graph(imports.dependency_edges(resolved)), starts, 5, together=True)
+    return found.select(F.col("node").cast("bigint").alias("file_id"), "depth")
+
+
+def s_snippets(spark, sf_dir):
+    items = table(spark, sf_dir, "risk_items")
+    ranges = items.select(F.col("file_path").alias("path"), F.col("line_number.start").alias("start"), F.col("line_number.end").alias("end"))
+    return textsearch.snippets(textsearch.latest_text(table(spark, sf_dir, "parsed_files")), ranges, context=3, max_lines=40)
+
+
 def s_directory_map(spark, sf_dir):
     return imports.directory_map(table(spark, sf_dir, "files"))
 
 
 QUERIES = {f.__name__: f for f in (
-    q_resolved_imports, q_signatures, s_directory_map,
+    q_resolved_imports, q_dependency_closure, q_signatures, s_directory_map, s_snippets,
     r_latest_rev, r_files_at_latest, r_file_exists, r_rev_scoped_edges, r_paths_ending_with, r_node_locations, r_symbol_search_exact, r_symbol_search_like, r_limit_per_group,
     r_upsert_last_wins, r_stats, r_counts_per_blob, i_content_hash_dedup, i_fingerprint, i_new_content, f_path_filter, f_lang_by_ext, f_two_levels, f_grep_literal, f_grep_context, f_fts_all_terms,
     f_imports, f_declarations, f_redacted, e_heuristic_summary, e_jaccard, v_group_tasks, v_tool_stats, v_loop_no_signal, v_history_budget, w_job_dedupe, w_cooldown, l_lint_norm,
@@ -234,6 +251,14 @@ _IMPORTED = f"""{_LINES}, imported AS (SELECT * FROM (SELECT file_id, line_no, l
    UNION ALL SELECT j.file_id, j.line_no, j.module, f.file_id FROM found j JOIN files f ON f.repo_name = j.repo_name AND ends_with(f.path, '/' || j.dotted || '.java') WHERE j.lang = 'java')"""
 SQL = {
     "q_resolved_imports": f"WITH {_IMPORTED} SELECT file_id, line_no, module, coalesce(min(target_id), -1) AS target_id FROM (SELECT DISTINCT file_id, line_no, module FROM found) LEFT JOIN met USING (file_id, line_no, module) GROUP BY ALL",
+    "q_dependency_closure": f"""WITH RECURSIVE {_IMPORTED}, edges AS (SELECT DISTINCT file_id AS src, target AS dst FROM (SELECT file_id, line_no, module, min(target_id) AS target FROM met GROUP BY ALL) WHERE target <> file_id),
+        reached(node, depth) AS (SELECT file_id, 0 FROM files WHERE path IN (SELECT unnest(changed_files) FROM review_states) UNION SELECT dst, depth + 1 FROM reached JOIN edges ON src = node WHERE depth < 5)
+        SELECT node AS file_id, min(depth)::INTEGER AS depth FROM reached GROUP BY node""",
+    "s_snippets": f"""WITH {_TEXTS}, wanted AS (SELECT DISTINCT file_path AS path, line_number.start AS "start", line_number.end AS "end" FROM risk_items WHERE file_path IS NOT NULL AND line_number.start <= line_number.end),
+        cut AS (SELECT path, "start", "end", string_split(text, chr(10)) AS lines, len(string_split(text, chr(10))) AS n, least(greatest("start", 1), n) AS a, least(greatest("end", 1), n) AS b FROM texts JOIN wanted USING (path)),
+        whole AS (SELECT *, greatest(a - 3, 1) AS low, least(b + 3, n) AS high, greatest((a + b) // 2 - 20, 1) AS narrow FROM cut),
+        fit AS (SELECT path, "start", "end", lines, CASE WHEN high - low + 1 > 40 THEN narrow ELSE low END AS low, CASE WHEN high - low + 1 > 40 THEN least(narrow + 39, n) ELSE high END AS high FROM whole)
+        SELECT path, "start", "end", array_to_string(list_transform(range(low, high + 1), lambda k: k::VARCHAR || ': ' || lines[k]), chr(10)) AS snippet FROM fit""",
     "q_signatures": f"WITH {_LINES}, named AS (SELECT file_id, line_no, trim(line, ' ') AS signature, {_by_language(textsearch.DECLARATIONS, False)} AS name FROM lines) SELECT name, file_id, line_no, signature FROM named WHERE name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name ORDER BY file_id, line_no) <= 5",
     "s_directory_map": "SELECT repo_name, array_to_string(list_slice(string_split(path, '/'), 1, k), '/') AS directory, count(*) AS n_files FROM files, range(1, 4) r(k) WHERE k < len(string_split(path, '/')) GROUP BY ALL",
     "r_latest_rev": f"WITH {_LATEST} SELECT repo_name, rev FROM latest",

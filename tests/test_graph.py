@@ -119,3 +119,10 @@ def test_taint(spark):
     assert met == {4, 9}
     assert {line[r.sink] for r in frontend.taint(nodes, ["input"], ["eval", "exec"]).collect()} == {4, 5, 9}
     assert frontend.taint(nodes, ["nothing"], ["eval"]).count() == 0
+
+
+def test_starts_together_meet_each_node_once(spark):
+    edges = spark.createDataFrame([("a", "c", "X"), ("b", "c", "X"), ("c", "d", "X"), ("b", "d", "X"), ("d", "a", "X")], "src string, dst string, kind string")
+    starts = spark.createDataFrame([("a",), ("b",)], "node string")
+    found = reach(Graph(edges), starts, 5, together=True).collect()
+    assert sorted((r.origin, r.node, r.depth) for r in found) == [("*", "a", 0), ("*", "b", 0), ("*", "c", 1), ("*", "d", 1)]

@@ -160,3 +160,20 @@ def test_cooldown_state(spark, tmp_path):
     query = taken.writeStream.format("memory").queryName("taken").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     query.awaitTermination()
     assert {r.event_id for r in spark.table("taken").collect()} == {0, 2, 4}
+
+
+def test_latest_text_decides_ties_and_keeps_single_files(spark):
+    rows = [(1, 1, "a/x.py", b"old"), (1, 2, "a/x.py", b"new\r\nline"), (1, 2, "a/x.py", b"neu"), (2, None, "a/y.py", b"only"), (3, 1, "a/z.py", None), (None, 1, "a/n.py", b"n")]
+    parsed = spark.createDataFrame(rows, "file_id bigint, parsed_at int, path string, source binary")
+    assert {r.file_id: r.text for r in textsearch.latest_text(parsed).collect()} == {1: "new\nline", 2: "only"}
+    assert textsearch.latest_text(parsed.limit(0)).count() == 0
+
+
+def test_snippets_equal_brute_force(spark):
+    lines = [f"line {k}" for k in range(1, 31)]
+    texts = spark.createDataFrame([(1, "a", "\n".join(lines)), (2, "b", "")], "file_id bigint, path string, text string")
+    wanted = [("a", 1, 1), ("a", 10, 12), ("a", 10, 12), ("a", 2, 29), ("a", 40, 50), ("b", 1, 3), ("a", 5, 4), (None, 1, 2), ("none", 1, 2), ("a", None, 2)]
+    ranges = spark.createDataFrame(wanted, "path string, start int, end int")
+    got = {(r.path, r.start, r.end): r.snippet for r in textsearch.snippets(texts, ranges, context=2, max_lines=8).collect()}
+    shown = lambda a, b: "\n".join(f"{k}: {lines[k - 1]}" for k in range(a, b + 1))
+    assert got == {("a", 1, 1): shown(1, 3), ("a", 10, 12): shown(8, 14), ("a", 2, 29): shown(11, 18), ("a", 40, 50): shown(28, 30), ("b", 1, 3): "1: "}
