@@ -44,6 +44,7 @@ def _nodes(rows: DataFrame, column: str, letter: str) -> DataFrame:
 
 
 def _building(spark, sf_dir):
+    """A sample of starts, few enough for the recursive SQL; the ``_all`` queries start from whole tables."""
     return _nodes(table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING' and c_acctbal > 9900"), "c_custkey", "C")
 
 
@@ -54,24 +55,54 @@ def _one(spark, node: str) -> DataFrame:
     return spark.createDataFrame([(node,)], "node string")
 
 
+def _customers(spark, sf_dir, segment: str | None = None) -> DataFrame:
+    """All customers, or all of a segment."""
+    customers = table(spark, sf_dir, "customer")
+    return _nodes(customers.where(F.col("c_mktsegment") == segment) if segment else customers, "c_custkey", "C")
+
+
+def _slice_forward(spark, sf_dir, starts: DataFrame) -> DataFrame:
+    return reach(Graph(order_edges(spark, sf_dir)), starts, 4, together=True).select("node", "depth")
+
+
 def g_slice_forward(spark, sf_dir):
-    return reach(Graph(order_edges(spark, sf_dir)), _building(spark, sf_dir), 4, together=True).select("node", "depth")
+    return _slice_forward(spark, sf_dir, _building(spark, sf_dir))
+
+
+def g_slice_forward_all(spark, sf_dir):
+    return _slice_forward(spark, sf_dir, _customers(spark, sf_dir))
 
 
 def g_slice_backward(spark, sf_dir):
     return reach(Graph.reversed(order_edges(spark, sf_dir)), _one(spark, "N:3"), 3, together=True).select("node", "depth")
 
 
-def g_query_depth(spark, sf_dir):
-    found = reach(Graph(order_edges(spark, sf_dir)), _building(spark, sf_dir), 2, together=True).select("node", "depth")
+def _query_depth(spark, sf_dir, starts: DataFrame) -> DataFrame:
+    found = reach(Graph(order_edges(spark, sf_dir)), starts, 2, together=True).select("node", "depth")
     return found.groupBy("depth").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
-def g_reachability_len(spark, sf_dir):
-    found = reach(Graph(order_edges(spark, sf_dir)), _building(spark, sf_dir), 5, kinds=["ORDERED", "SUPPLIED", "IN"])
+def g_query_depth(spark, sf_dir):
+    return _query_depth(spark, sf_dir, _building(spark, sf_dir))
+
+
+def g_query_depth_all(spark, sf_dir):
+    return _query_depth(spark, sf_dir, _customers(spark, sf_dir))
+
+
+def _reachability_len(spark, sf_dir, starts: DataFrame) -> DataFrame:
+    found = reach(Graph(order_edges(spark, sf_dir)), starts, 5, kinds=["ORDERED", "SUPPLIED", "IN"])
     return found.where(F.col("node").startswith("R:")).select(F.col("origin").alias("src"), F.col("node").alias("dst"), F.col("depth").alias("distance"))
 
 
+def g_reachability_len(spark, sf_dir):
+    return _reachability_len(spark, sf_dir, _building(spark, sf_dir))
+
+
+def g_reachability_len_all(spark, sf_dir):
+    return _reachability_len(spark, sf_dir, _customers(spark, sf_dir))
+
+
 def g_slice_store_cap(spark, sf_dir):
     found = reach(Graph.reversed(order_edges(spark, sf_dir)), _one(spark, "R:2"), 3, together=True).select("node", "depth")
     return first_nodes(found, 500)
@@ -81,13 +112,25 @@ def g_callgraph_edges(spark, sf_dir):
     return expand(Graph(order_edges(spark, sf_dir)), _building(spark, sf_dir), 2)
 
 
-def g_taint_reach(spark, sf_dir):
+def g_callgraph_edges_all(spark, sf_dir):
+    return expand(Graph(order_edges(spark, sf_dir)), _customers(spark, sf_dir), 2)
+
+
+def _taint_reach(spark, sf_dir, starts: DataFrame) -> DataFrame:
     """Regions that customers' orders reach when nothing passes the suppliers of nation 3 (the sanitizers)."""
     barred = _nodes(table(spark, sf_dir, "supplier").where("s_nationkey = 3"), "s_suppkey", "S")
-    found = reach(Graph(order_edges(spark, sf_dir)), _building(spark, sf_dir), 5, blocked=barred)
+    found = reach(Graph(order_edges(spark, sf_dir)), starts, 5, blocked=barred)
     return found.where(F.col("node").startswith("R:")).select(F.col("origin").alias("source"), F.col("node").alias("sink"))
 
 
+def g_taint_reach(spark, sf_dir):
+    return _taint_reach(spark, sf_dir, _building(spark, sf_dir))
+
+
+def g_taint_reach_all(spark, sf_dir):
+    return _taint_reach(spark, sf_dir, _customers(spark, sf_dir, "BUILDING"))
+
+
 def g_cfg_chain(spark, sf_dir):
     return consecutive(table(spark, sf_dir, "lineitem").distinct(), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "l_partkey")
 
@@ -162,6 +205,7 @@ _FORWARD = {"to": "dst", "frm": "src"}
 QUERIES = {f.__name__: f for f in (
     g_slice_forward, g_slice_backward, g_query_depth, g_reachability_len, g_slice_store_cap, g_callgraph_edges, g_taint_reach, g_cfg_chain, g_cfg_region, g_def_use,
     g_resolve_calls, g_build_resolve, g_revision_chain, g_python_symbols, g_python_tree, g_python_flow, g_python_calls, g_python_def_use, g_python_taint,
+    g_slice_forward_all, g_query_depth_all, g_reachability_len_all, g_callgraph_edges_all, g_taint_reach_all,
 )}
 SQL = {
     "g_slice_forward": _REACH.format(starts=_BUILDING, steps=4, more="", **_FORWARD) + " SELECT node, min(depth)::INTEGER AS depth FROM found GROUP BY node",

@@ -1,10 +1,12 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from sparkloom.operators import frontend
 from sparkloom.operators.textsearch import consecutive, last_before, resolved_names
 from sparkloom.operators.traverse import Graph, expand, first_nodes, path_to, reach
+from sparkloom.plans import graph_plans
 
 EDGES = "src string, dst string, kind string, depth int"
 
@@ -56,6 +58,40 @@ def test_path_and_expansion(spark):
     assert depths(back) == {("c", "c"): 0, ("c", "b"): 1, ("c", "a"): 2}
 
 
+def test_all_customers_equal_brute_force(spark, tmp_path):
+    rnd = random.Random(8)
+    made = {
+        "customer": ([(k, rnd.choice(["BUILDING", "MACHINERY"]), rnd.choice([9950.0, 12.5, -3.0])) for k in range(25)], "c_custkey int, c_mktsegment string, c_acctbal double"),
+        "orders": ([(k, rnd.randrange(20)) for k in range(50)], "o_orderkey int, o_custkey int"),
+        "lineitem": ([(rnd.randrange(50), rnd.randrange(9), rnd.randrange(8)) for _ in range(110)], "l_orderkey int, l_partkey int, l_suppkey int"),
+        "supplier": ([(k, k % 5) for k in range(8)], "s_suppkey int, s_nationkey int"),
+        "nation": ([(k, k % 3) for k in range(5)], "n_nationkey int, n_regionkey int"),
+    }
+    for name, (rows, schema) in made.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    rows = {name: r for name, (r, _) in made.items()}
+    links = [(f"C:{c}", f"O:{o}", "ORDERED") for o, c in rows["orders"]] + [(f"O:{o}", f"S:{s}", "SUPPLIED") for o, _, s in rows["lineitem"]] + [(f"O:{o}", f"P:{p}", "PART") for o, p, _ in rows["lineitem"]]
+    links += [(f"S:{s}", f"N:{n}", "IN") for s, n in rows["supplier"]] + [(f"N:{n}", f"R:{r}", "IN") for n, r in rows["nation"]]
+    customers, building = [f"C:{k}" for k, *_ in rows["customer"]], [f"C:{k}" for k, segment, _ in rows["customer"] if segment == "BUILDING"]
+    barred = [f"S:{s}" for s, n in rows["supplier"] if n == 3]
+    run = lambda query: sorted(map(tuple, query(spark, str(tmp_path)).collect()))
+
+    def met(steps):
+        nearest = {}
+        for c in customers:
+            for n, d in brute(links, c, steps).items():
+                nearest[n] = min(d, nearest.get(n, d))
+        return nearest
+
+    assert run(graph_plans.g_slice_forward_all) == sorted(met(4).items())
+    assert run(graph_plans.g_query_depth_all) == sorted(Counter(met(2).values()).items())
+    assert run(graph_plans.g_reachability_len_all) == sorted((c, n, d) for c in customers for n, d in brute([x for x in links if x[2] != "PART"], c, 5).items() if n[0] == "R")
+    assert run(graph_plans.g_taint_reach_all) == sorted((c, n) for c in building for n in brute(links, c, 5, barred) if n[0] == "R")
+    one = [(1, *x) for x in links if x[0] in customers]
+    ends = {dst for _, _, dst, _ in one}
+    assert run(graph_plans.g_callgraph_edges_all) == sorted(one + [(2, *x) for x in links if x[0] in ends])
+
+
 def test_empty_graph_and_nulls(spark):
     graph = Graph(edges(spark, [(None, "b"), ("a", None)]))
     assert depths(reach(graph, nodes(spark, "a", None), 3)) == {("a", "a"): 0}
