@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions.text import excluded, heuristic_summary, jaccard, language, redacted, two_levels, type_weight, words
-from sparkloom.operators import imports, store, textsearch
+from sparkloom.operators import import_specs, imports, store, textsearch
 from sparkloom.operators.snapshots import normal_hash
 from sparkloom.operators.traverse import Graph, reach
+from sparkloom.sources.shared import written
 from sparkloom.sources.tables import table
 from sparkloom.streaming import jobs
 
@@ -126,6 +127,11 @@ def f_imports(spark, sf_dir):
     return textsearch.imports(textsearch.latest_text(table(spark, sf_dir, "parsed_files")))
 
 
+def f_imports_all(spark, sf_dir):
+    found = import_specs.import_specs(textsearch.latest_text(table(spark, sf_dir, "parsed_files")))
+    return found.select("file_id", "line_no", "module")
+
+
 def f_declarations(spark, sf_dir):
     return textsearch.declarations(textsearch.latest_text(table(spark, sf_dir, "parsed_files")))
 
@@ -189,6 +195,11 @@ def q_resolved_imports(spark, sf_dir):
     return imports.resolved_imports(textsearch.latest_text(table(spark, sf_dir, "parsed_files")), table(spark, sf_dir, "files"))
 
 
+def q_resolved_imports_all(spark, sf_dir):
+    found = import_specs.import_specs(textsearch.latest_text(table(spark, sf_dir, "parsed_files")))
+    return import_specs.resolved_specs(written(found, "specs"), table(spark, sf_dir, "files"))
+
+
 def q_signatures(spark, sf_dir):
     return imports.signatures(textsearch.latest_text(table(spark, sf_dir, "parsed_files")))
 
@@ -196,7 +207,15 @@ def q_signatures(spark, sf_dir):
 def q_dependency_closure(spark, sf_dir):
     """Files that the files changed in reviews need, over up to five imports."""
     files = table(spark, sf_dir, "files")
-    resolved = imports.resolved_imports(textsearch.latest_text(table(spark, sf_dir, "parsed_files")), files)
+    return _closure(spark, sf_dir, imports.resolved_imports(textsearch.latest_text(table(spark, sf_dir, "parsed_files")), files))
+
+
+def q_dependency_closure_all(spark, sf_dir):
+    return _closure(spark, sf_dir, q_resolved_imports_all(spark, sf_dir))
+
+
+def _closure(spark, sf_dir, resolved):
+    files = table(spark, sf_dir, "files")
     changed = table(spark, sf_dir, "review_states").select(F.explode("changed_files").alias("path")).distinct()
     starts = files.join(changed, "path").select(F.col("file_id").cast("string").alias("node"))
     found = reach(Graph(imports.dependency_edges(resolved)), starts, 5, together=True)
@@ -217,7 +236,7 @@ QUERIES = {f.__name__: f for f in (
     q_resolved_imports, q_dependency_closure, q_signatures, s_directory_map, s_snippets,
     r_latest_rev, r_files_at_latest, r_file_exists, r_rev_scoped_edges, r_paths_ending_with, r_node_locations, r_symbol_search_exact, r_symbol_search_like, r_limit_per_group,
     r_upsert_last_wins, r_stats, r_counts_per_blob, i_content_hash_dedup, i_fingerprint, i_new_content, f_path_filter, f_lang_by_ext, f_two_levels, f_grep_literal, f_grep_context, f_fts_all_terms,
-    f_imports, f_declarations, f_redacted, e_heuristic_summary, e_jaccard, v_group_tasks, v_tool_stats, v_loop_no_signal, v_history_budget, w_job_dedupe, w_cooldown, l_lint_norm,
+    f_imports, f_imports_all, q_resolved_imports_all, q_dependency_closure_all, f_declarations, f_redacted, e_heuristic_summary, e_jaccard, v_group_tasks, v_tool_stats, v_loop_no_signal, v_history_budget, w_job_dedupe, w_cooldown, l_lint_norm,
 )}
 
 _HASH = "nullif(regexp_replace(lower(trim(blob_hash)), '^sha256:\\s*', ''), '')"

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from sparkloom.operators.import_specs import import_specs, resolved_specs
 from sparkloom.operators.imports import dependency_edges, directory_map, resolved_imports, signatures
 from sparkloom.operators.traverse import Graph, reach
 from sparkloom.sources import lint
@@ -61,3 +62,27 @@ def test_imports_and_dependencies(spark):
     assert {r.node for r in reach(Graph(dependency_edges(resolved)), start, 5).collect()} == {"1", "2", "3"}
     assert {(r.name, r.signature) for r in signatures(texts).collect()} == {("q", "export function q() {}"), ("K", "public class K {}"), ("h", "def h")}
     assert {(r.directory, r.n_files) for r in directory_map(files).where("repo_name = 's'").collect()} == {("s", 1), ("s/b", 1)}
+
+
+def test_imports_of_whole_texts(spark):
+    made = [
+        (1, "r/a/b/m.py", '"""\nimport no\n"""\nimport os, c.d as e\nfrom . import s\nfrom ..x import (\n  y,  # z\n  t)\nfrom p import q'), (2, "r/a/b/s.py", ""), (3, "r/a/x.py", ""), (4, "r/p/q.py", ""), (5, "r/c/d/__init__.py", ""),
+        (6, "r/old.py", "print 1\nimport { v } from './v'\nimport c.d, os; from .p import q, \\\n  w\n"), (7, "r/p/w/__init__.py", ""),
+        (8, "r/k/l/m/n/f.ts", 'import {\n  A,\n} from "../../../../g";\nexport * from "./h";\nconst z = require("u"), v = require("w");\nimport "./side";'), (9, "r/g.ts", ""), (10, "r/k/l/m/n/h/index.ts", ""),
+        (11, "r/cmd/m.go", 'package m\n\nimport "fmt"\nimport (\n\t"os" // "no"\n\tx "github.com/o/r/pkg/x"\n\t_ `pkg/y`\n)\n\nvar s = "no"\n'), (12, "r/pkg/x/a.go", "package x"), (13, "r/pkg/x/b.go", "package x"), (14, "r/pkg/y/c.go", ""), (15, "s/pkg/y/c.go", ""), (16, "r/pkg/x/z/d.go", ""),
+        (17, "r/J.java", "import org.x.*;\nimport static org.x.K.run;\nimport org.x.K;"), (18, "r/src/org/x/K.java", ""), (19, "r/src/org/x/L.java", ""), (20, "r/g.rb", 'require("./h")'), (21, "r/h.rb", None), (23, "r/js.go", "import { v } from './v'\nimport { w } from \"w\""), (22, "r/t.ts", 'import a from "../../g"'),
+    ]
+    texts = spark.createDataFrame(made, "file_id bigint, path string, text string")
+    files = texts.select("file_id", "path", F.substring_index("path", "/", 1).alias("repo_name"))
+    found = import_specs(texts).cache()
+    got = {(r.file_id, r.line_no, r.module) for r in found.collect()}
+    assert got == {
+        (1, 4, "os"), (1, 4, "c.d"), (1, 5, "."), (1, 6, "..x"), (1, 9, "p"), (6, 3, "c.d"), (6, 3, "os"), (6, 3, ".p"), (8, 1, "../../../../g"), (8, 4, "./h"), (8, 5, "u"), (8, 5, "w"), (8, 6, "./side"),
+        (11, 3, "fmt"), (11, 5, "os"), (11, 6, "github.com/o/r/pkg/x"), (11, 7, "pkg/y"), (17, 1, "org.x.*"), (17, 2, "org.x.K.run"), (17, 3, "org.x.K"), (20, 1, "./h"), (22, 1, "../../g"),
+    }
+    targets = {(r.file_id, r.module, r.name, r.target_id) for r in resolved_specs(found, files).collect()}
+    assert {t for t in targets if t[3] >= 0} == {
+        (1, "c.d", None, 5), (1, ".", "s", 2), (1, "..x", None, 3), (1, "p", "q", 4), (6, "c.d", None, 5), (6, ".p", "q", 4), (6, ".p", "w", 7), (8, "../../../../g", None, 9), (8, "./h", None, 10),
+        (11, "github.com/o/r/pkg/x", None, 12), (11, "github.com/o/r/pkg/x", None, 13), (11, "pkg/y", None, 14), (17, "org.x.*", None, 18), (17, "org.x.*", None, 19), (17, "org.x.K.run", None, 18), (17, "org.x.K", None, 18), (20, "./h", None, 21),
+    }
+    assert {(f, m) for f, _, m in got} == {(f, m) for f, m, _, _ in targets}
