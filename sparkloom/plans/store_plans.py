@@ -185,6 +185,10 @@ def w_cooldown(spark, sf_dir):
     return jobs.cooled(table(spark, sf_dir, "events"), 3600).select("event_id", "user_id")
 
 
+def w_cooldown_state(spark, sf_dir):
+    return jobs.accepted(table(spark, sf_dir, "events"), 3600)
+
+
 def l_lint_norm(spark, sf_dir):
     parsed = F.from_json("props", "k bigint")
     level = F.when(parsed["k"] <= 20, "error").when(parsed["k"] <= 60, "warning").otherwise("info")
@@ -236,7 +240,7 @@ QUERIES = {f.__name__: f for f in (
     q_resolved_imports, q_dependency_closure, q_signatures, s_directory_map, s_snippets,
     r_latest_rev, r_files_at_latest, r_file_exists, r_rev_scoped_edges, r_paths_ending_with, r_node_locations, r_symbol_search_exact, r_symbol_search_like, r_limit_per_group,
     r_upsert_last_wins, r_stats, r_counts_per_blob, i_content_hash_dedup, i_fingerprint, i_new_content, f_path_filter, f_lang_by_ext, f_two_levels, f_grep_literal, f_grep_context, f_fts_all_terms,
-    f_imports, f_imports_all, q_resolved_imports_all, q_dependency_closure_all, f_declarations, f_redacted, e_heuristic_summary, e_jaccard, v_group_tasks, v_tool_stats, v_loop_no_signal, v_history_budget, w_job_dedupe, w_cooldown, l_lint_norm,
+    f_imports, f_imports_all, q_resolved_imports_all, q_dependency_closure_all, f_declarations, f_redacted, e_heuristic_summary, e_jaccard, v_group_tasks, v_tool_stats, v_loop_no_signal, v_history_budget, w_job_dedupe, w_cooldown, w_cooldown_state, l_lint_norm,
 )}
 
 _HASH = "nullif(regexp_replace(lower(trim(blob_hash)), '^sha256:\\s*', ''), '')"

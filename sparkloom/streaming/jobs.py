@@ -57,14 +57,13 @@ def cooled(events: DataFrame, seconds: int) -> DataFrame:
 
 
 def _taken(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, micros: int) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    for batch in batches:
-        kept = []
-        for event, at in sorted(zip(batch["event_id"], batch["at"]), key=lambda x: (x[1], x[0])):
-            if last is None or at - last >= micros:
-                kept.append((event, key[0]))
-                last = at
-        yield pd.DataFrame(kept, columns=["event_id", "user_id"])
+    last, kept = state.get[0] if state.exists else None, []
+    rows = pd.concat([batch[["at", "event_id"]] for batch in batches]).dropna(subset="at").sort_values(["at", "event_id"])  # the batches come in no order
+    for at, event in zip(rows["at"], rows["event_id"]):
+        if last is None or at - last >= micros:
+            kept.append((event, key[0]))
+            last = at
+    yield pd.DataFrame(kept, columns=["event_id", "user_id"])
     if last is not None:
         state.update((int(last),))
 
@@ -75,3 +74,38 @@ def stream_cooldown(events: DataFrame, seconds: int) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(
         partial(_taken, micros=seconds * 1_000_000), "event_id bigint, user_id bigint", "last bigint", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def _fold(batches: Iterator[pd.DataFrame], micros: int) -> Iterator[pd.DataFrame]:
+    """Taken events of segments that come whole and in order, over any number of batches."""
+    key = last = None
+    for batch in batches:
+        kept = []
+        for event, user, segment, at in zip(batch["event_id"], batch["user_id"], batch["segment"], batch["at"]):
+            if (user, segment) != key or at - last >= micros:
+                kept.append((event, user))
+                key, last = (user, segment), at
+        yield pd.DataFrame(kept, columns=["event_id", "user_id"])
+
+
+def accepted(events: DataFrame, seconds: int, range_seconds: int = 86_400) -> DataFrame:
+    """``(event_id, user_id)``: events at least ``seconds`` after the user's last taken one (W2), in the order (ts, event_id).
+
+    The same as ``stream_cooldown`` over a table. An event that comes ``seconds`` or more after the one before is taken
+    whatever was taken earlier, so each range of time that has such an event starts a segment there, and segments are
+    independent. Only users whose events never pause that long are one segment; it is read in order, nothing of it is
+    kept but the last time. Events without a user or a time are left out.
+    """
+    micros, keys = seconds * 1_000_000, ["user_id", "range"]
+    rows = events.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).where("event_id is not null and user_id is not null and at is not null")
+    rows = rows.withColumn("range", F.expr(f"at div {range_seconds * 1_000_000}"))
+    paused = F.col("at") - F.lag("at").over(Window.partitionBy(*keys).orderBy("at", "event_id")) >= micros
+    ranges = rows.withColumn("paused", paused).groupBy(*keys).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min(F.when(F.col("paused"), F.col("at"))).alias("inner"))
+    earlier = Window.partitionBy("user_id").orderBy("range")
+    before = F.lag("last").over(earlier)
+    ranges = ranges.withColumn("anchor", F.when(before.isNull() | (F.col("first") - before >= micros), F.col("first")).otherwise(F.col("inner")))
+    own = F.when(F.col("anchor").isNotNull(), F.col("range"))
+    ranges = ranges.withColumn("open", F.last(own, ignorenulls=True).over(earlier.rowsBetween(Window.unboundedPreceding, -1))).select(*keys, "anchor", "open")
+    segment = F.when(F.col("at") >= F.col("anchor"), F.col("range")).otherwise(F.col("open"))
+    parts = rows.join(ranges, keys).select("event_id", "user_id", segment.alias("segment"), "at").repartition("user_id", "segment").sortWithinPartitions("user_id", "segment", "at", "event_id")
+    return parts.mapInPandas(partial(_fold, micros=micros), "event_id bigint, user_id bigint")

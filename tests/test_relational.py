@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -162,6 +163,45 @@ def test_cooldown_state(spark, tmp_path):
     assert {r.event_id for r in spark.table("taken").collect()} == {0, 2, 4}
 
 
+def cooled_brute(rows, seconds):
+    last, taken = {}, set()
+    for event, at, user, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        if user not in last or (at - last[user]).total_seconds() >= seconds:
+            taken.add(event)
+            last[user] = at
+    return taken
+
+
+def jobs_of_users():
+    rnd, begin = random.Random(3), datetime(2025, 1, 1)
+    busy = [(k, begin + timedelta(minutes=k * 7), 1, "view") for k in range(700)]  # never pauses, over several days
+    others = [(1000 + k, begin + timedelta(minutes=rnd.randrange(6000)), rnd.randrange(2, 6), "view") for k in range(400)]
+    rows = busy + others
+    rnd.shuffle(rows)
+    return rows
+
+
+def test_cooldown_counts_from_the_last_taken(spark):
+    rows = jobs_of_users()
+    events = spark.createDataFrame([*rows, (5000, None, 1, "view"), (5001, datetime(2025, 1, 1), None, "view")], EVENTS)
+    for seconds, span in ((3600, 86_400), (3600, 1800), (600, 7200), (0, 60)):
+        assert {r.event_id for r in jobs.accepted(events, seconds, span).collect()} == cooled_brute(rows, seconds)
+
+
+def test_cooldown_state_over_arrow_batches(spark, tmp_path):
+    rows = jobs_of_users()
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        taken = jobs.stream_cooldown(jobs.parquet_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], EVENTS).schema), 3600)
+        query = taken.writeStream.format("memory").queryName("taken_batches").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert {r.event_id for r in spark.table("taken_batches").collect()} == cooled_brute(rows, 3600)
+
+
 def test_latest_text_decides_ties_and_keeps_single_files(spark):
     rows = [(1, 1, "a/x.py", b"old"), (1, 2, "a/x.py", b"new\r\nline"), (1, 2, "a/x.py", b"neu"), (2, None, "a/y.py", b"only"), (3, 1, "a/z.py", None), (None, 1, "a/n.py", b"n")]
     parsed = spark.createDataFrame(rows, "file_id bigint, parsed_at int, path string, source binary")
