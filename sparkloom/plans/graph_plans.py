@@ -198,7 +198,7 @@ def g_python_taint(spark, sf_dir):
     from sparkloom.sources.shared import written
 
     nodes = written(frontend.python_nodes(table(spark, sf_dir, "parsed_files")), "nodes")
-    return frontend.taint(nodes, ["row.get", "open"], ["setdefault", "sorted", "append"], ["len"], max_steps=12)
+    return frontend.taint(nodes, ["row.get", "open"], ["setdefault", "sorted", "append"], ["len"])
 
 
 _FORWARD = {"to": "dst", "frm": "src"}

@@ -162,3 +162,12 @@ def test_starts_together_meet_each_node_once(spark):
     starts = spark.createDataFrame([("a",), ("b",)], "node string")
     found = reach(Graph(edges), starts, 5, together=True).collect()
     assert sorted((r.origin, r.node, r.depth) for r in found) == [("*", "a", 0), ("*", "b", 0), ("*", "c", 1), ("*", "d", 1)]
+
+
+def test_taint_over_many_assignments(spark, tmp_path):
+    chain = "".join(f"    v{k + 1} = v{k}\n" for k in range(6))
+    source = f"def f(p):\n    v0 = open(p)\n{chain}    return sorted(v6)\n"
+    rows = spark.createDataFrame([(1, "a.py", "python", bytearray(source.encode()), 1)], "file_id bigint, path string, lang string, source binary, parsed_at int")
+    rows.write.parquet(str(tmp_path / "parsed_files.parquet"))
+    (found,) = graph_plans.g_python_taint(spark, str(tmp_path)).collect()
+    assert found.depth > 12
