@@ -2,8 +2,9 @@
 
 Wu-Manber multi-pattern search over words: the patterns are all runs of ``SEED`` words of the evaluation items, a block is
 a pair of words. The shift table tells for the block at the window's end how far the window may jump, the patterns that
-end in a block lie in a bucket of their own, and the words before it are compared directly. Occurrences are joined to
-passages by aligning the words around them, which tolerates changed, added and missing words.
+end in a block lie in a bucket of their own, and the words before it are compared directly. Occurrences grow to passages
+over changed, added and missing words: a passage of 15 words or more with an edit in eight has a run of five common words,
+so none is without an occurrence.
 
 The corpus is read once for each block of evaluation items (``block_words``); only that block's tables reach the tasks.
 """
@@ -18,15 +19,15 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from sparkloom.sources.shared import written
+
 SEED = 5
 #: Words of a run by which stock instructions are known; shorter ones may be shared by chance.
 STOCK = 8
 FOUND = "doc_id bigint, item_id bigint, passage_words int, edits int"
-#: A passage's ends may be changed words too: so many words less than asked for are still accepted.
-SLACK = 1
 
 #: Tags, character references and written-out line ends are no words; soft hyphens and zero-width signs part none.
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|&(?:[a-z]+|#\d+);|\\[nrt]")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|&(?:[a-z]+|#\d+);|\\[nrt]")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-\u00ad]\r?\n[ \t]*(?:(?:>|//|#|\*)+[ \t]*)?(?=[a-z])|[\u00ad\u200b-\u200d\ufeff]")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -93,47 +94,59 @@ def _grow(text: list[int], item: list[int], hits: list[tuple[int, int]]) -> list
     return runs
 
 
-def _aligned(text: list[int], item: list[int], least: int, rate: float) -> tuple[int, int]:
-    """Item words and edits of the best local alignment (+1 a common word, -2.5 an edit) that has few enough edits."""
-    best, width = (0, 0), len(item)
-    # A cell: score, item start, edits.
-    row = [(0.0, i, 0) for i in range(width + 1)]
-    for word in text:
-        new = [(0.0, 0, 0)]
-        diagonal = row[0]
-        for i in range(1, width + 1):
-            if item[i - 1] == word:
-                cell = (diagonal[0] + 1, diagonal[1], diagonal[2])
-            else:
-                score, start, edits = max(diagonal, row[i], new[i - 1])
-                cell = (score - 2.5, start, edits + 1) if score > 2.5 else (0.0, i, 0)
-            diagonal = row[i]
-            new.append(cell)
-            span = i - cell[1]
-            if span > best[0] and cell[0] > 0 and (span < least or cell[2] <= span * rate) and item[i - 1] == word:
-                best = (span, cell[2])
-        row = new
-    return best
+def _extended(text: list[int], item: list[int], d: int, i: int, step: int, edits: int) -> list[int]:
+    """Item words gained from ``text[d]``, ``item[i]`` on in the direction ``step`` with 0, 1, .. ``edits`` edits.
+
+    Furthest-reaching diagonals: for each number of edits and each shift of text against item the furthest text position,
+    each slid over the words that agree. What is gained ends with a common word.
+    """
+    room, width = (len(text) - d, len(item) - i) if step > 0 else (d + 1, i + 1)
+
+    def slide(at: int, shift: int) -> int:
+        while at < room and 0 <= at - shift < width and text[d + step * at] == item[i + step * (at - shift)]:
+            at += 1
+        return at
+
+    far = {0: slide(0, 0)}
+    gains = [far[0]]
+    for _ in range(edits):
+        new, gain = {}, gains[-1]
+        for shift in range(min(far) - 1, max(far) + 2):
+            # A changed word, one more in the text, one missing from it.
+            tried = [far[s] + more for s, more in ((shift, 1), (shift - 1, 1), (shift + 1, 0)) if s in far]
+            at = min(max(tried), room, width + shift)
+            if at < 0 or at < shift:
+                continue
+            new[shift] = slide(at, shift)
+            if new[shift] > at:
+                gain = max(gain, new[shift] - shift)
+        far = new
+        gains.append(gain)
+        if not far:
+            break
+    return gains
 
 
 def passage(text: list[int], item: list[int], hits: list[tuple[int, int]], least: int, rate: float) -> tuple[int, int]:
-    """``(item words, edits)`` of the longest passage of the item in the text, ``(0, 0)`` if all are too short."""
+    """``(item words, edits)`` of the longest passage of the item around a hit, ``(0, 0)`` if all are too short.
+
+    A passage begins and ends with common words and has at most ``rate`` edits a word of the item, whatever its length. One of
+    twice ``least`` words or more has a half that keeps the rate too, so the edits of such a half are all that need be tried.
+    """
     runs = _grow(text, item, hits)
     longest = max(n for _, _, n in runs)
     if longest >= least:
         return longest, 0
-    runs.sort()
-    reach, best = 2 * SEED, (0, 0)
-    # Neighbouring runs share one alignment.
-    group = [runs[0]]
-    for run in [*runs[1:], (10**9, 0, 0)]:
-        if run[0] - (group[-1][0] + group[-1][2]) > reach:
-            a, b = group[0][0], max(d + n for d, _, n in group)
-            i, j = min(i for _, i, _ in group), max(i + n for _, i, n in group)
-            best = max(best, _aligned(text[max(0, a - reach) : b + reach], item[max(0, i - reach) : j + reach], least, rate))
-            group = []
-        group.append(run)
-    return best if best[0] >= least - SLACK else (0, 0)
+    best, edits = (0, 0), int(2 * least * rate) + 1
+    for d, i, n in runs:
+        after = _extended(text, item, d + n, i + n, 1, edits)
+        before = _extended(text, item, d - 1, i - 1, -1, edits)
+        for e, gained in enumerate(after):
+            for f, more in enumerate(before):
+                span = n + gained + more
+                if span > best[0] and e + f <= span * rate:
+                    best = (span, e + f)
+    return best if best[0] >= least else (0, 0)
 
 
 def item_words(items: DataFrame, stock_items: int) -> DataFrame:
@@ -151,8 +164,9 @@ def item_words(items: DataFrame, stock_items: int) -> DataFrame:
     return words.join(shared, "item_id", "left")
 
 
-def _searched(patterns: Patterns, least: int, rate: float):
+def _searched(block, least: int, rate: float):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        patterns = block.value
         known = patterns.ids.get
         for batch in batches:
             rows = []
@@ -172,29 +186,29 @@ def leaked_passages(
 ) -> DataFrame:
     """Documents that repeat a connected passage of at least ``least`` words of an item, with the longest passage's size.
 
-    ``rate``: edits (changed, added, missing words) allowed per word of the passage. A changed word at a passage's end
-    is no part of it, hence ``SLACK``. Runs of words that at least ``stock_items`` items share are stock instructions and
-    belong to no passage. Null and blank texts, missing ids and items shorter than a passage give no rows; an item
-    given several times counts once (its greatest text); repeated documents give a row each; empty tables give none;
-    further columns are ignored. Texts are searched whole, whatever their length.
+    ``rate``: edits (changed, added, missing words) allowed per word of the passage; a changed word at a passage's end is no
+    part of it. Runs of words that at least ``stock_items`` items share are stock instructions and belong to no passage. Null
+    and blank texts, missing ids and items shorter than a passage give no rows; an item given several times counts once (its
+    greatest text); repeated documents give a row each; empty tables give none; further columns are ignored. Texts are
+    searched whole, whatever their length.
+
+    The items are dealt into blocks of about ``block_words`` words. One block at a time is on the driver; it is broadcast,
+    and with several blocks each is searched and given up before the next is read.
     """
+    spark = documents.sparkSession
     corpus = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    found, tables = [], {}
-
-    def searched() -> None:
-        patterns = Patterns({item: (words, frozenset(at + k - 1 for at in stock or [] for k in range(STOCK))) for item, words, stock in tables.values()})
-        found.append(corpus.mapInPandas(_searched(patterns, least, rate), FOUND))
-        tables.clear()
-
-    held = 0
-    for row in item_words(items, stock_items).toLocalIterator():
-        if held and held + len(row["words"]) > block_words:
-            searched()
-            held = 0
-        held += len(row["words"])
-        tables[row["item_id"]] = (row["item_id"], row["words"], row["stock"])
-    if tables or not found:
-        searched()
+    known = written(item_words(items, stock_items), "eval-items")
+    blocks = max(1, -(-(known.agg(F.sum(F.size("words"))).first()[0] or 0) // block_words))
+    found = []
+    for number in range(blocks):
+        part = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number)
+        held = {r["item_id"]: (r["words"], frozenset(at + k - 1 for at in r["stock"] or [] for k in range(STOCK))) for r in part.toLocalIterator()}
+        block = spark.sparkContext.broadcast(Patterns(held))
+        rows = corpus.mapInPandas(_searched(block, least, rate), FOUND)
+        if blocks > 1:
+            rows = written(rows, "leaks")
+            block.destroy()
+        found.append(rows)
     return reduce(DataFrame.unionByName, found)
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from sparkloom.llm.leaks import SEED, Patterns, leaked_items, leaked_passages, words_of
+from sparkloom.llm.leaks import SEED, Patterns, leaked_items, leaked_passages, passage, words_of
 from sparkloom.llm.truncation import cut_rates, judged, shape_of, strict_prefixes
 
 ITEM = (
@@ -56,6 +56,43 @@ def test_occurrences_equal_brute_force():
         assert {(k, d, i) for k, hits in got.items() for d, i in hits} == want
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+def test_passages_equal_brute_force():
+    """A passage is found exactly if some stretch of the item is in the text with few enough edits."""
+    rnd = random.Random(5)
+    for _ in range(60):
+        item = list(range(1, 27))
+        text = item[rnd.randrange(8) : rnd.randrange(18, 27)]
+        for _ in range(rnd.randrange(5)):
+            at = rnd.randrange(len(text))
+            text[at : at + rnd.randrange(2)] = [0] * rnd.randrange(2)
+        text = [0, 0, *text, 0]
+        patterns = Patterns({1: ([str(x) for x in item], frozenset())})
+        hits = patterns.occurrences([patterns.ids.get(str(x), 0) for x in text]).get(1)
+        got = passage(text, item, hits, 15, 1 / 8)[0] if hits else 0
+        ends = [(a, b) for a in range(26) for b in range(a + 15, 27) if item[a] in text and item[b - 1] in text]
+        want = any(_edits(item[a:b], text[text.index(item[a]) : text.index(item[b - 1]) + 1]) <= (b - a) / 8 for a, b in ends)
+        assert bool(got) == want and (not got or got >= 15)
+
+
+def test_edits_count_in_short_passages_too(spark):
+    w = ITEM.split()
+    three = [*w[:14]]
+    three[5], three[8], three[11] = "many", "folder", "later"
+    one = [*w[:15]]
+    one[2] = "many"
+    docs = [(1, " ".join(three)), (2, " ".join(w[:14])), (3, " ".join(one)), (4, "<a href='" + "x" * 300 + "'>" + "</a> ".join([" ".join(w[:9]), "<p id='" + " q" * 200 + "'>", " ".join(w[9:16])]))]
+    assert leaks(spark, docs) == {(3, 1), (4, 1)}
+
+
 def test_words_of():
     assert words_of("Half-writ-\n// ten, <b>Bold</b>\\nnext &amp; ünd") == ["half", "written", "bold", "next", "ünd"]
 
