@@ -142,8 +142,18 @@ def named_calls(nodes: DataFrame, names: list[str]) -> DataFrame:
 
 def taint(nodes: DataFrame, sources: list[str], sinks: list[str], sanitizers: list[str] = [], max_steps: int = 64) -> DataFrame:
     """``(source, sink, depth)``: sink calls that a source call's value reaches, not through a sanitizer."""
-    from sparkloom.operators.traverse import Graph, reach
+    from sparkloom.operators.traverse import reached_targets
 
-    found = reach(Graph(value_edges(nodes)), named_calls(nodes, sources), max_steps, blocked=named_calls(nodes, sanitizers) if sanitizers else None)
-    met = found.where("depth > 0").join(named_calls(nodes, sinks), "node", "left_semi")
-    return met.select(F.col("origin").alias("source"), F.col("node").alias("sink"), "depth")
+    barred = named_calls(nodes, sanitizers) if sanitizers else None
+    found = reached_targets(value_edges(nodes), named_calls(nodes, sources), named_calls(nodes, sinks), max_steps, blocked=barred)
+    return found.where("depth > 0").select(F.col("start").alias("source"), F.col("target").alias("sink"), "depth")
+
+
+def taint_paths(nodes: DataFrame, sources: list[str], sinks: list[str], sanitizers: list[str] = [], max_steps: int = 64) -> DataFrame:
+    """``(source, sink, depth, path)``: one shortest path of nodes from each source to each sink of ``taint``."""
+    from sparkloom.operators.traverse import Graph, paths, reach
+
+    barred = named_calls(nodes, sanitizers) if sanitizers else None
+    found = reach(Graph(value_edges(nodes)), named_calls(nodes, sources), max_steps, blocked=barred)
+    met = found.where("depth > 0").join(named_calls(nodes, sinks), "node", "left_semi").select("origin", "node", "depth")
+    return met.join(paths(found, met), ["origin", "node"]).select(F.col("origin").alias("source"), F.col("node").alias("sink"), "depth", "path")

@@ -1,20 +1,19 @@
 """Changes between consecutive full snapshots (problem 4).
 
-A bucketed key-to-hash index is kept of every delivered snapshot: one row ``(key, hash)`` per record, written once,
-bucketed and sorted by key. The next snapshot, bucketed alike, is probed against it bucket by bucket: no shuffle. Only
-changed keys leave the probe, and only for these old and new values are fetched (``change_details``). Afterwards the
-new snapshot's index takes the old one's place.
+A bucketed key-to-hash index is kept of every repository's last snapshot: one row ``(key, hash)`` per record, bucketed and
+sorted by key. A delivery is written as the next generation of the index, bucketed alike, and probed against the last one
+bucket by bucket: no shuffle. Only changed keys leave the probe, and only for these old and new values are fetched
+(``change_details``). Then the generations are swapped: the new one is the index, the old one's files are deleted.
 """
 
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
-from sparkloom.sources.shared import shared_dir, written
+from sparkloom.sources.shared import append_bucketed, bucketed, delete, shared_dir, written
 
 CHANGES = "repo_name string, rev string, file_id bigint, change_kind string, old_hash string, new_hash string"
 
@@ -43,31 +42,63 @@ def delivered_chain(file_versions: DataFrame, revisions: DataFrame) -> DataFrame
     return known.join(delivered, "rev", "left_semi").select("rev", "repo_name", F.row_number().over(order).alias("round"))
 
 
+_KEYS = ["repo_name", "file_id"]
+
+
 class SnapshotIndex:
-    """Bucketed ``key -> hash`` index of every round, as one partitioned and bucketed table in the shared folder."""
-
-    def __init__(self, rows: DataFrame, buckets: int):
-        spark = rows.sparkSession
-        self.spark, self.name = spark, f"snapshot_index_{uuid.uuid4().hex}"
-        (
-            rows.repartition(buckets, "repo_name", "file_id")
-            .write.partitionBy("round")
-            .bucketBy(buckets, "repo_name", "file_id")
-            .sortBy("repo_name", "file_id")
-            .option("path", f"{shared_dir(spark)}/{self.name}")
-            .format("parquet")
-            .saveAsTable(self.name)
-        )
+    """Bucketed ``(repo_name, file_id) -> hash`` index of the last snapshots, in the shared folder.
+
+    Each generation is a partition of one bucketed table. ``generations`` are complete ones known beforehand, numbered from 1
+    in the column ``round`` (a chain that was delivered already); they are bucketed together, by one shuffle.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None, generations: DataFrame | None = None):
+        self.spark, self.round = spark, 0
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        empty = spark.createDataFrame([], "repo_name string, file_id bigint, hash string, round int")
+        self.name = bucketed(empty if generations is None else generations, "snapshot_index", _KEYS, self.buckets, "round")
 
     def of(self, number: int) -> DataFrame:
         return self.spark.table(self.name).where(F.col("round") == number).drop("round")
 
+    def last(self) -> DataFrame:
+        """The present index: ``(repo_name, file_id, hash)``."""
+        return self.of(self.round)
+
+    def advance(self, path: str, revs: DataFrame) -> None:
+        """Probes the next generation with the index, appends the changes to ``path`` and swaps the two.
+
+        ``revs``: the ``(repo_name, rev)`` that were delivered with it.
+        """
+        changes = _probe(self.last(), self.of(self.round + 1), revs)
+        changes.write.mode("append").parquet(path)
+        if self.round:
+            delete(self.spark, f"{shared_dir(self.spark)}/{self.name}/round={self.round}")
+            self.spark.catalog.refreshTable(self.name)
+        self.round += 1
+
+    def deliver(self, snapshot: DataFrame, revs: DataFrame) -> DataFrame:
+        """Takes in one delivery and returns its changes (``CHANGES``), written.
+
+        ``snapshot``: ``(repo_name, file_id, hash)``, the whole new snapshots of the repositories in ``revs`` (``repo_name``,
+        ``rev``; one of each); keys are unique, rows of other repositories are left out. Repositories without a delivery stay as they
+        are; one that is new has all its records added; one delivered empty has all removed.
+        """
+        next_round = F.lit(self.round + 1).alias("round")
+        new = snapshot.join(revs.select("repo_name"), "repo_name", "left_semi").select(*_KEYS, "hash", next_round)
+        append_bucketed(new.repartition(self.buckets, *_KEYS), self.name, _KEYS, self.buckets, "round")
+        kept = self.last().join(revs.select("repo_name"), "repo_name", "left_anti").select(*_KEYS, "hash", next_round)
+        append_bucketed(kept, self.name, _KEYS, self.buckets, "round")
+        path = f"{shared_dir(self.spark)}/changes-{uuid.uuid4().hex}"
+        self.advance(path, revs)
+        return self.spark.read.schema(CHANGES).parquet(path)
+
 
 def _probe(index: DataFrame, new: DataFrame, revs: DataFrame) -> DataFrame:
     """Probes one round's rows against the index of the round before. ``revs``: the round's ``(repo_name, rev)``."""
     old, new = index.withColumnRenamed("hash", "old_hash"), new.withColumnRenamed("hash", "new_hash")
     changed = (
-        old.join(new, ["repo_name", "file_id"], "full_outer")
+        old.join(new, _KEYS, "full_outer")
         .where(~F.col("old_hash").eqNullSafe(F.col("new_hash")))
     )
     kind = F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "removed").otherwise("changed")
@@ -83,11 +114,11 @@ def snapshot_changes(file_versions: DataFrame, revisions: DataFrame, buckets: in
     with only such rows is a delivered, empty snapshot. Repeated rows change nothing; an empty table gives no rows;
     other columns are ignored, whatever they are called.
 
-    ``buckets``: buckets of the index, by default ``spark.sql.shuffle.partitions``. The number of rounds (revisions of
-    the longest chain) is read on the driver: one number.
+    The index goes through the chains of all repositories together, one probe and swap a round, so that no plan grows with
+    their length. ``buckets``: buckets of the index, by default ``spark.sql.shuffle.partitions``. The number of rounds
+    (revisions of the longest chain) is read on the driver: one number.
     """
     spark = file_versions.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     chain = written(delivered_chain(file_versions, revisions), "snapshot-chain")
     rounds = chain.agg(F.max("round")).first()[0] or 0
     if rounds < 2:
@@ -100,12 +131,15 @@ def snapshot_changes(file_versions: DataFrame, revisions: DataFrame, buckets: in
         .agg(F.max(F.struct("loaded_at", "hash"))["hash"].alias("hash"))
         .select("repo_name", F.col("file_id").cast(T.LongType()).alias("file_id"), "hash", "round")
     )
-    index = SnapshotIndex(rows, buckets)
-    changes = [
-        _probe(index.of(k - 1), index.of(k), chain.where(F.col("round") == k).select("repo_name", "rev"))
-        for k in range(2, rounds + 1)
-    ]
-    return reduce(DataFrame.unionByName, changes)
+    index, path = SnapshotIndex(spark, buckets, rows), f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}"
+    index.round = 1  # first snapshots have no changes
+    for number in range(2, rounds + 1):
+        index.advance(path, chain.where(F.col("round") == number).select("repo_name", "rev"))
+    return spark.read.schema(CHANGES).parquet(path)
+
+
+#: Changes up to which their keys are broadcast to fetch values; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def change_details(changes: DataFrame, file_versions: DataFrame) -> DataFrame:
@@ -113,8 +147,11 @@ def change_details(changes: DataFrame, file_versions: DataFrame) -> DataFrame:
 
     Several sizes for one hash: the greatest. Removed records have none.
     """
+    wanted = changes.select("rev", "file_id", "new_hash").where("new_hash is not null").distinct()
+    if changes.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     sizes = file_versions.select("rev", "file_id", normal_hash(F.col("blob_hash")).alias("new_hash"), F.col("size").alias("new_size"))
-    sizes = sizes.groupBy("rev", "file_id", "new_hash").agg(F.max("new_size").alias("new_size"))
+    sizes = sizes.join(wanted, ["rev", "file_id", "new_hash"], "left_semi").groupBy("rev", "file_id", "new_hash").agg(F.max("new_size").alias("new_size"))
     return changes.join(sizes, ["rev", "file_id", "new_hash"], "left")
 
 

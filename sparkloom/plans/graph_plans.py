@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparkloom.operators import frontend
 from sparkloom.operators.textsearch import consecutive, last_before, resolved_names
-from sparkloom.operators.traverse import Graph, expand, first_nodes, reach
+from sparkloom.operators.traverse import Graph, expand, first_nodes, paths, reach, reached_targets
 from sparkloom.sources.tables import table
 
 
@@ -90,9 +90,13 @@ def g_query_depth_all(spark, sf_dir):
     return _query_depth(spark, sf_dir, _customers(spark, sf_dir))
 
 
+def _regions(spark, sf_dir) -> DataFrame:
+    return _nodes(table(spark, sf_dir, "region"), "r_regionkey", "R")
+
+
 def _reachability_len(spark, sf_dir, starts: DataFrame) -> DataFrame:
-    found = reach(Graph(order_edges(spark, sf_dir)), starts, 5, kinds=["ORDERED", "SUPPLIED", "IN"])
-    return found.where(F.col("node").startswith("R:")).select(F.col("origin").alias("src"), F.col("node").alias("dst"), F.col("depth").alias("distance"))
+    found = reached_targets(order_edges(spark, sf_dir), starts, _regions(spark, sf_dir), 5, kinds=["ORDERED", "SUPPLIED", "IN"])
+    return found.select(F.col("start").alias("src"), F.col("target").alias("dst"), F.col("depth").alias("distance"))
 
 
 def g_reachability_len(spark, sf_dir):
@@ -119,8 +123,8 @@ def g_callgraph_edges_all(spark, sf_dir):
 def _taint_reach(spark, sf_dir, starts: DataFrame) -> DataFrame:
     """Regions that customers' orders reach when nothing passes the suppliers of nation 3 (the sanitizers)."""
     barred = _nodes(table(spark, sf_dir, "supplier").where("s_nationkey = 3"), "s_suppkey", "S")
-    found = reach(Graph(order_edges(spark, sf_dir)), starts, 5, blocked=barred)
-    return found.where(F.col("node").startswith("R:")).select(F.col("origin").alias("source"), F.col("node").alias("sink"))
+    found = reached_targets(order_edges(spark, sf_dir), starts, _regions(spark, sf_dir), 5, blocked=barred)
+    return found.select(F.col("start").alias("source"), F.col("target").alias("sink"))
 
 
 def g_taint_reach(spark, sf_dir):

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import frontend
 from sparkloom.operators.textsearch import consecutive, last_before, resolved_names
-from sparkloom.operators.traverse import Graph, expand, first_nodes, path_to, reach
+from sparkloom.operators import traverse
+from sparkloom.operators.traverse import Graph, expand, first_nodes, path_to, paths, reach, reached_targets
 from sparkloom.plans import graph_plans
 
 EDGES = "src string, dst string, kind string, depth int"
@@ -39,6 +40,42 @@ def test_reach_equals_brute_force(spark):
     assert found == want
 
 
+def test_large_frontiers_and_heavy_starts_give_the_same(spark, monkeypatch):
+    """Bucketed edges, with and without salted starts, instead of a broadcast frontier."""
+    rnd = random.Random(6)
+    pairs = [("n0" if rnd.random() < 0.4 else f"n{rnd.randrange(20)}", f"n{rnd.randrange(20)}") for _ in range(80)]
+    pairs += pairs[:5]
+    graph = lambda heavy: Graph(edges(spark, pairs), heavy)
+    near = [sorted(map(tuple, f.collect())) for f in (reach(graph(99), nodes(spark, "n0", "n1"), 3), expand(graph(99), nodes(spark, "n0"), 2), reach(graph(99), nodes(spark, "n0"), 3, fan_out=2))]
+    monkeypatch.setattr(traverse, "BROADCAST_CHARS", 0)
+    for heavy in (99, 7):
+        far = [sorted(map(tuple, f.collect())) for f in (reach(graph(heavy), nodes(spark, "n0", "n1"), 3), expand(graph(heavy), nodes(spark, "n0"), 2))]
+        assert far == near[:2]
+    assert sorted(map(tuple, reach(graph(99), nodes(spark, "n0"), 3, fan_out=2).collect())) == near[2]
+
+
+def test_targets_from_either_side(spark):
+    rnd = random.Random(9)
+    pairs = [(f"n{rnd.randrange(25)}", f"n{rnd.randrange(25)}") for _ in range(50)]
+    barred = ["n3", "n4", "n7"]
+    few, many = ["n1", "n3"], [f"n{k}" for k in range(0, 25, 2)] + ["n3"]
+    for starts, targets in ((few, many), (many, few)):
+        got = {(r.start, r.target): r.depth for r in reached_targets(edges(spark, pairs), nodes(spark, *starts, None), nodes(spark, *targets), 4, blocked=nodes(spark, *barred)).collect()}
+        assert got == {(s, t): d for s in starts for t, d in brute(pairs, s, 4, barred).items() if t in targets}
+
+
+def test_paths_are_shortest(spark):
+    rnd = random.Random(4)
+    pairs = [(f"n{rnd.randrange(25)}", f"n{rnd.randrange(25)}") for _ in range(50)]
+    found = reach(Graph(edges(spark, pairs)), nodes(spark, "n1", "n2"), 6)
+    want = depths(found)
+    got = {(r.origin, r.node): r.path for r in paths(found, found.select("origin", "node")).collect()}
+    assert set(got) == set(want)
+    for (origin, node), path in got.items():
+        assert path[0] == origin and path[-1] == node and len(path) == want[origin, node] + 1 and all(p in pairs for p in zip(path, path[1:]))
+    assert paths(found, nodes(spark).selectExpr("node as origin", "node")).count() == 0
+
+
 def test_kinds_blocks_and_caps(spark):
     graph = Graph(edges(spark, [("a", "b", "x"), ("b", "c", "x"), ("a", "d", "y"), ("c", "e", "x"), ("a", "b", "x")]))
     assert depths(reach(graph, nodes(spark, "a"), 9, kinds=["x"])) == {("a", "a"): 0, ("a", "b"): 1, ("a", "c"): 2, ("a", "e"): 3}
@@ -66,6 +103,7 @@ def test_all_customers_equal_brute_force(spark, tmp_path):
         "lineitem": ([(rnd.randrange(50), rnd.randrange(9), rnd.randrange(8)) for _ in range(110)], "l_orderkey int, l_partkey int, l_suppkey int"),
         "supplier": ([(k, k % 5) for k in range(8)], "s_suppkey int, s_nationkey int"),
         "nation": ([(k, k % 3) for k in range(5)], "n_nationkey int, n_regionkey int"),
+        "region": ([(k,) for k in range(3)], "r_regionkey int"),
     }
     for name, (rows, schema) in made.items():
         spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
@@ -155,6 +193,8 @@ def test_taint(spark):
     assert met == {4, 9}
     assert {line[r.sink] for r in frontend.taint(nodes, ["input"], ["eval", "exec"]).collect()} == {4, 5, 9}
     assert frontend.taint(nodes, ["nothing"], ["eval"]).count() == 0
+    shown = {line[r.sink]: [line[n] for n in r.path] for r in frontend.taint_paths(nodes, ["input"], ["exec"]).collect()}
+    assert list(shown) == [9] and shown[9][0] == 1 and shown[9][-1] == 9 and 7 in shown[9]
 
 
 def test_starts_together_meet_each_node_once(spark):

@@ -2,7 +2,7 @@ from datetime import datetime
 
 import pytest
 
-from sparkloom.operators.snapshots import change_counts, change_details, snapshot_changes
+from sparkloom.operators.snapshots import SnapshotIndex, change_counts, change_details, snapshot_changes
 
 FV = "rev string, file_id bigint, blob_hash string, size bigint, mtime double, loaded_at timestamp_ntz, hash string, repo_name int"
 REV = "rev string, base_rev string, created_at double, repo_name string"
@@ -62,3 +62,20 @@ def test_ties_take_the_greatest_hash_and_details(spark):
 def test_equal_times_are_ordered_by_rev(spark):
     revs = [("r2", None, 1.0, "x"), ("r1", None, 1.0, "x"), ("r1", None, 9.0, "x")]
     assert run(spark, [version("r1", 1, "h"), version("r2", 2, "h")], revs)[0] == {("r2", 1, "removed"), ("r2", 2, "added")}
+
+
+def test_one_delivery_at_a_time(spark):
+    """Kept index: each delivery is compared with the last snapshot of its repositories only, the others stay."""
+    index = SnapshotIndex(spark, buckets=3)
+
+    def deliver(rev, *rows, repos=("x",)):
+        snapshot = spark.createDataFrame(rows, "repo_name string, file_id bigint, hash string")
+        revs = spark.createDataFrame([(r, rev) for r in repos], "repo_name string, rev string")
+        return {(r.repo_name, r.rev, r.file_id, r.change_kind, r.old_hash, r.new_hash) for r in index.deliver(snapshot, revs).collect()}
+
+    assert deliver("a", ("x", 1, "h1"), ("x", 2, "h2"), ("z", 9, "h9")) == {("x", "a", 1, "added", None, "h1"), ("x", "a", 2, "added", None, "h2")}
+    assert deliver("b", ("y", 1, "k1"), repos=("y",)) == {("y", "b", 1, "added", None, "k1")}
+    assert deliver("c", ("x", 1, "h1"), ("x", 2, "new")) == {("x", "c", 2, "changed", "h2", "new")}
+    assert deliver("d", ("x", 1, "h1"), ("y", 1, "k2"), repos=("x", "y")) == {("x", "d", 2, "removed", "new", None), ("y", "d", 1, "changed", "k1", "k2")}
+    assert deliver("e") == {("x", "e", 1, "removed", "h1", None)}
+    assert {tuple(r) for r in index.last().collect()} == {("y", 1, "k2")}

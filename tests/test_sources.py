@@ -86,3 +86,32 @@ def test_imports_of_whole_texts(spark):
         (11, "github.com/o/r/pkg/x", None, 12), (11, "github.com/o/r/pkg/x", None, 13), (11, "pkg/y", None, 14), (17, "org.x.*", None, 18), (17, "org.x.*", None, 19), (17, "org.x.K.run", None, 18), (17, "org.x.K", None, 18), (20, "./h", None, 21),
     }
     assert {(f, m) for f, _, m in got} == {(f, m) for f, m, _, _ in targets}
+
+
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    """Intermediates are deleted by release; off one machine a folder must be named."""
+    import pytest
+
+    from sparkloom.sources import shared
+
+    kept = shared.written(spark.range(5), "x")
+    name = shared.bucketed(spark.range(5), "y", ["id"], 2)
+    assert kept.count() == 5 and spark.table(name).count() == 5
+    folder = shared.shared_dir(spark).removeprefix("file://")
+    import os
+
+    assert os.path.isdir(folder)
+    shared.release(spark)
+    assert not os.path.exists(folder) and not spark.catalog.tableExists(name)
+
+    class Elsewhere:
+        master, getCheckpointDir = "spark://h:7077", staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Elsewhere
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Session)
