@@ -16,10 +16,15 @@ _BLOCK = r"/\*(?:[^*]|\*(?!/))*(?:\*/|\Z)"
 _TEMPLATE = r"`(?:\\.|\$\{(?:[^{}`]|`(?:\\.|[^`\\])*`|\{[^{}]*\})*\}|[^`\\])*(?:`|\Z)"
 _REGEX = r"(?<=[(,=:\[!&|?{};~])[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*"
 
+#: Behind the prefix of a formatted string: its quote. Its fields may hold literals with the same quotes.
+_FORMATTED = r"(?:(?<=[fFtT])(?<!\w[fFtT])|(?<=[fFtT][rR])(?<!\w[fFtT][rR])|(?<=[rR][fFtT])(?<!\w[rR][fFtT]))"
+_FIELD = r"""\{(?:[^{}"'\\]|"[^"\n]*"|'[^'\n]*'|\{[^{}\n]*\})*\}"""
+_FSTRINGS = rf"""{_FORMATTED}(?:"(?!"")(?:\\.|\{{\{{|\}}\}}|{_FIELD}|[^"\\\n{{}}])*"|'(?!'')(?:\\.|\{{\{{|\}}\}}|{_FIELD}|[^'\\\n{{}}])*')"""
+
 #: Comments and literals of each language, the longer forms first. The group ``c`` marks comments.
 TOKENS = {
     "python": re.compile(
-        r'''(?P<c>\#[^\n]*)|(?P<long>"""(?:\\.|[^\\"]|"(?!""))*(?:"""|\Z)|\'\'\'(?:\\.|[^\\']|'(?!''))*(?:\'\'\'|\Z))|"(?:\\.|[^"\\\n])*(?P<open1>["\n]|\Z)|'(?:\\.|[^'\\\n])*(?P<open2>['\n]|\Z)''', re.S
+        r'''(?P<c>\#[^\n]*)|(?P<long>"""(?:\\.|[^\\"]|"(?!""))*(?:"""|\Z)|\'\'\'(?:\\.|[^\\']|'(?!\'\'))*(?:\'\'\'|\Z))|''' + _FSTRINGS + r'''|"(?:\\.|[^"\\\n])*(?P<open1>["\n]|\Z)|'(?:\\.|[^'\\\n])*(?P<open2>['\n]|\Z)''', re.S
     ),
     "typescript": re.compile(rf"(?P<c>//[^\n]*|(?P<block>{_BLOCK}))|{_DOUBLE}|{_SINGLE}|(?P<long>{_TEMPLATE})|(?P<rx>{_REGEX})", re.S),
     "go": re.compile(rf"(?P<c>//[^\n]*|(?P<block>{_BLOCK}))|{_DOUBLE}|{_SINGLE}|(?P<long>`[^`]*(?:`|\Z))", re.S),
@@ -46,13 +51,22 @@ def goes_on(language: str, fault: str) -> bool:
     return fault in SPANNING[language] or fault.startswith("<<")
 
 
+#: What ends a literal or comment that a text begins in, with all that stands before.
+_REST = {
+    ("python", '"""'): r'(?:\\.|[^\\"]|"(?!""))*"""', ("python", "'''"): r"(?:\\.|[^\\']|'(?!''))*'''", ("java", '"""'): r'(?:\\.|[^\\"]|"(?!""))*"""',
+    ("typescript", "`"): r"(?:\\.|\$\{(?:[^{}`]|`(?:\\.|[^`\\])*`|\{[^{}]*\})*\}|[^`\\])*`", ("go", "`"): r"[^`]*`", ("ruby", "'"): r"(?:\\.|[^'\\])*'",
+    ("ruby", '"'): r'(?:\\.|\#\{(?:[^{}"]|"(?:\\.|[^"\\])*"|\{[^{}]*\})*\}|[^"\\])*"', ("ruby", "=begin"): r"(?:.*?\n)??=end[^\n]*",
+} | {(language, "/*"): r".*?\*/" for language in ("typescript", "go", "java")}
+_REST = {key: re.compile(pattern, re.S) for key, pattern in _REST.items()}
+
+
 def end_of(language: str, state: str, text: str) -> int:
     """Where the literal or comment that a text begins in ends, -1 if it does not."""
     if state.startswith("<<"):
         m = re.search(rf"^[ \t]*{state[2:]}\b", text, re.M)
-        return m.end() if m else -1
-    at = text.find(SPANNING[language][state])
-    return at + len(SPANNING[language][state]) if at >= 0 else -1
+    else:
+        m = _REST[language, state].match(text)
+    return m.end() if m else -1
 
 
 def decoded(source: bytes) -> str:

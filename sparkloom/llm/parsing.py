@@ -2,10 +2,12 @@
 
 Every file is cut into chunks at line ends. A chunk is summarised, for each lexer state it may be entered in (code, or
 one of the literals and comments that go on over lines), by the state it is left in and its brackets that find no partner
-within it. Summaries compose associatively; Spark reduces them over a file's chunks in any grouping, so that one long file
-is worked on by many tasks. What is balanced is parsed statement by statement with local grammars; Python's by the
-``ast`` module, of which every top-level statement is one unit, the others' by the words and operators that may stand
-next to each other and by the heads that top-level statements may have.
+within it. Summaries compose associatively; Spark reduces them over a file's chunks in runs of neighbours and hands down
+the state and the open brackets that each chunk is entered with. With these each chunk finds its top-level statements and
+parses them with local grammars; only statements that cross chunks are put together first. Python's grammar is the ``ast``
+module, the others' are the words and operators that may stand next to each other and the heads of top-level statements.
+
+Files of one chunk go through the same functions in the task that reads them; the chunks of longer ones are dealt out.
 """
 
 from __future__ import annotations
@@ -23,9 +25,16 @@ from sparkloom.llm.lexing import LANGUAGES, SPANNING, decoded, end_of, goes_on,
 from sparkloom.sources.shared import written
 
 CODE = ""
-CHUNK = 1 << 20
+#: Characters of a chunk. The verdicts do not depend on it.
+CHUNK = 4096
+#: A file's verdict if it is one chunk, else its chunks and the states that each may be entered in. ``file_id`` numbers rows,
+#: ``of`` is the file's id.
+CUT = "file_id bigint, of bigint, lang string, chunk int, n_chunks int, states array<string>, text string, broken boolean"
 #: Of a chunk entered in ``enter``: the state it is left in, unpaired brackets, and whether it is broken whatever follows.
 SUMMARY = "file_id bigint, lang string, chunk int, n_chunks int, enter string, leave string, closers string, openers string, broken boolean"
+ENTRY = "file_id bigint, chunk int, enter string, open string"
+#: Statements at a chunk's edges, ``at`` in order, with their masked code; ``begins``: not the rest of one begun before.
+EDGE = "file_id bigint, lang string, chunk int, at int, begins boolean, text string, code string, broken boolean"
 
 _PAIRS = ("()", "[]", "{}", "<>")
 _OTHER = bytes(set(range(256)) - set(b"()[]{}"))
@@ -85,7 +94,6 @@ def summary(text: str, language: str, enter: str) -> tuple[str, str, str, bool,
 _CONFLICT = re.compile(r"^(?:<{7}|>{7}|={7}|\|{7})(?:[ \t].*)?$", re.M)
 #: Two words side by side on a line.
 _NEIGHBOURS = re.compile(r"\b(?<![$.])([A-Za-z_$][\w$]*+)[ \t]++([A-Za-z_$][\w$]*+|[\"`])")
-_LINE_HEADS = re.compile(r"^[^\s)\]}].*", re.M)
 #: Words that may stand before any other, and those that may stand after any other, on one line (JavaScript).
 _BEFORE = frozenset(
     "async await break case catch class const continue default delete do else export extends finally for from function get if import in "
@@ -111,44 +119,43 @@ _HEADS = {
     "go": (re.compile(r"package\s+\w+\s*;?\s*(?=\n|\Z)"), re.compile(r"(?:import|func|type|var|const)\b")),
     "java": (None, re.compile(r"(?:package|import|public|protected|private|abstract|final|static|sealed|non-sealed|strictfp|class|interface|enum|record|module|open)\b|@|;|void\b|[A-Z]\w*[\w<>,\[\] ]*\s\w+\s*\(")),
 }
-_EDGES = re.compile(r"[()\[\]{}]|\n(?=[^\s)\]}])|;")
+_EDGES = re.compile(r"[()\[\]{}]|(?:\A|(?<=\n))(?=[^\s)\]}])")
+_CLAUSE = re.compile(r"(?:else|elif|except|finally)\b")
+_SEMICOLONS = re.compile(r"[()\[\]{}]|;")
 
 
-def statements(code: str) -> list[str]:
-    """Top-level statements of balanced code: they end outside of brackets, at a ``;`` or before a line that begins in the
-    first column."""
-    depth, begun, found = 0, 0, []
+def heads(code: str, language: str, depth: int = 0) -> list[int]:
+    """Where top-level statements begin in masked code entered with ``depth`` open brackets: at the first column, outside of
+    brackets, and in Python neither at a clause of the statement before nor after a backslash."""
+    found = []
     for m in _EDGES.finditer(code):
         c = m[0]
-        if c in "([{":
+        if not c:
+            at = m.start()
+            if depth <= 0 and not (language == "python" and (code[at - 2 : at] == "\\\n" or _CLAUSE.match(code, at))):
+                found.append(at)
+        elif c in "([{":
             depth += 1
-        elif c in ")]}":
+        else:
             depth -= 1
-        elif not depth:
-            found.append(code[begun : m.end()])
-            begun = m.end()
-    found.append(code[begun:])
-    return [s.strip() for s in found if s.strip()]
-
-
-def python_statements(text: str, code: str) -> list[str]:
-    """Top-level statements of Python text, decorators, ``else`` and the like with what they belong to."""
-    depth, cuts = 0, [0]
-    for m in _EDGES.finditer(code):
-        c = m[0]
-        if c in "([{":
-            depth += 1
-        elif c in ")]}":
-            depth -= 1
-        elif c == "\n" and depth <= 0 and not re.match(r"(?:else|elif|except|finally)\b|#", code[m.end() : m.end() + 8]):
-            cuts.append(m.end())
-    units, open_ = [], ""
-    for a, b in zip(cuts, [*cuts[1:], len(text)]):
-        open_ += text[a:b]
-        if not code[a:b].startswith("@"):
-            units.append(open_)
-            open_ = ""
-    return [*units, open_] if open_ else units
+    return found
+
+
+def split_units(text: str, code: str, language: str, depth: int = 0) -> list[tuple[bool, str, str]]:
+    """``(begins, text, code)`` of the statements of a chunk, what belongs to a statement begun before first. Python's
+    decorators are one with what they belong to."""
+    cuts = heads(code, language, depth)
+    spans = [(True, a, b) for a, b in zip(cuts, [*cuts[1:], len(text)])]
+    if not cuts or cuts[0]:
+        spans.insert(0, (False, 0, cuts[0] if cuts else len(text)))
+    merged: list[tuple[bool, int, int]] = []
+    for begins, a, b in spans:
+        if language == "python" and merged and merged[-1][0] and code.startswith("@", last):
+            merged[-1] = (True, merged[-1][1], b)
+        else:
+            merged.append((begins, a, b))
+        last = a
+    return [(begins, text[a:b], code[a:b]) for begins, a, b in merged]
 
 
 def _is_python(text: str) -> bool:
@@ -161,68 +168,106 @@ def _is_python(text: str) -> bool:
     return True
 
 
-def grammatical(text: str, code: str, language: str) -> bool:
-    """Whether balanced code is made of statements that its language's local grammar knows."""
+def _parts(code: str) -> list[str]:
+    """Statements of a line, ended by semicolons outside of brackets."""
+    depth, begun, found = 0, 0, []
+    for m in _SEMICOLONS.finditer(code):
+        c = m[0]
+        depth += (c in "([{") - (c in ")]}")
+        if c == ";" and depth <= 0:
+            found.append(code[begun : m.end()])
+            begun = m.end()
+    found.append(code[begun:])
+    return [x.strip() for x in found if x.strip()]
+
+
+def grammatical(text: str, code: str, language: str, first: bool = False, last: bool = False) -> bool:
+    """Whether the local grammar of its language knows a balanced top-level statement; ``first`` and ``last`` of its file."""
     if language == "python":
-        # Statements that fit into one chunk are parsed in one go.
-        return _is_python(text) if len(text) <= CHUNK else all(map(_is_python, python_statements(text, code)))
-    if ("<<<<<<<" in code or ">>>>>>>" in code or "\n=======" in code) and _CONFLICT.search(code):
+        return not text.strip() or _is_python(text)
+    if ("<<<<<<<" in code or ">>>>>>>" in code or "=======" in code) and _CONFLICT.search(code):
         return False
     begin, end = code.lstrip()[:2], code.rstrip()[-1:]
-    if begin[:1] == "<" or end and end in "=+*/%&|^,([{.?<-" and not code.rstrip().endswith(("++", "--")):
+    if first and begin[:1] == "<" or last and end and end in "=+*/%&|^,([{.?<-" and not code.rstrip().endswith(("++", "--")):
         return False
     if any(p.search(code) for p in _NEVER[language]):
         return False
     if language == "typescript":
-        if begin[:1] == "{" and re.match(r"\s*\{\s*\"s*\"\s*:", code):
+        if first and begin[:1] == "{" and re.match(r"\s*\{\s*\"s*\"\s*:", code):
             return False
         return all(m[1] in _BEFORE or m[2] in _AFTER for m in _NEIGHBOURS.finditer(code))
     if language in _HEADS:
-        opening, heads = _HEADS[language]
-        lines = _LINE_HEADS.findall(code)
-        if opening and lines:
-            if not opening.match(code.lstrip()):
+        opening, known = _HEADS[language]
+        code = code.strip()
+        if opening and first:
+            m = opening.match(code)
+            if not m:
                 return False
-            lines = lines[1:]
-        if not all(map(heads.match, lines)):
-            # Lines that begin in the first column within brackets, or several statements on one: looked at closely.
-            units = statements(code)
-            return all(map(heads.match, units[1:] if opening else units))
+            code = code[m.end() :].strip()
+        return not code or bool(known.match(code)) or all(map(known.match, _parts(code)))
     return True
 
 
+def _sound(units: list[tuple[str, str]], language: str, whole: bool) -> bool:
+    """Whether all statements are grammatical; ``whole``: they are a whole file's, so some are its first and its last."""
+    stated = [(text, code) for text, code in units if code.strip() or language == "python"]
+    n = len(stated) - 1
+    return all(grammatical(text, code, language, whole and not k, whole and k == n) for k, (text, code) in enumerate(stated))
+
+
 # --- Spark ----------------------------------------------------------------------------------------------------------
 
 
 def _chunks(text: str, size: int) -> list[str]:
+    """Chunks of at least ``size`` characters, at line ends that no backslash takes back."""
     chunks, begun = [], 0
     while len(text) - begun > size:
-        end = text.find("\n", begun + size) + 1 or len(text)
+        end = text.find("\n", begun + size - 1) + 1
+        while end and text[end - 2 : end - 1] == "\\":
+            end = text.find("\n", end) + 1
+        if not end or end == len(text):
+            break
         chunks.append(text[begun:end])
         begun = end
     return [*chunks, text[begun:]]
 
 
-def _summarised(size: int):
-    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _whole(text: str, language: str) -> bool:
+    """Whether a file of one chunk is broken."""
+    leave, closers, openers, broken, code = summary(text, language, CODE)
+    sound = not (broken or leave or closers or openers) and _sound([u[1:] for u in split_units(text, code, language)], language, True)
+    # What the masks misread, Python's own grammar knows.
+    return not sound and not (language == "python" and _is_python(text))
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+
+def _cut(size: int):
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for file, path, source in zip(batch["file_id"], batch["path"], batch["source"]):
-                language, chunks = language_of(path), _chunks(decoded(bytes(source)), size)
-                states = [CODE, *SPANNING[language], *(heredocs("".join(chunks)) if language == "ruby" else [])] if len(chunks) > 1 else []
-                for k, chunk in enumerate(chunks):
-                    for enter in states if k else [CODE]:
-                        leave, closers, openers, broken, code = summary(chunk, language, enter)
-                        # A file in one chunk is done with at once; Python's own grammar also settles what the masks may
-                        # misread there (nested quotes of f-strings).
-                        if len(chunks) == 1:
-                            unbalanced = broken or bool(leave or closers or openers)
-                            broken = (unbalanced and language != "python") or not grammatical(chunk, code, language)
-                            leave = closers = openers = ""
-                        rows.append((file, language, k, len(chunks), enter, leave, closers, openers, broken))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SUMMARY.split(", ")])
-
-    return summarise
+            for file, of, path, source in zip(batch["row"], batch["file_id"], batch["path"], batch["source"]):
+                language, text = language_of(path), decoded(bytes(source))
+                chunks = _chunks(text, size)
+                if len(chunks) == 1:
+                    rows.append((file, of, language, 0, 1, None, None, _whole(text, language)))
+                    continue
+                states = [CODE, *SPANNING[language], *(heredocs(text) if language == "ruby" else [])]
+                rows += [(file, of, language, k, len(chunks), states if k else [CODE], chunk, None) for k, chunk in enumerate(chunks)]
+            yield _frame(rows, CUT)
+
+    return cut
+
+
+def _summarised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for r in batch.itertuples(index=False):
+            for enter in r.states:
+                rows.append((r.file_id, r.lang, r.chunk, r.n_chunks, enter, *summary(r.text, r.lang, enter)[:4]))
+        yield _frame(rows, SUMMARY)
 
 
 def _composed(parts: pd.DataFrame) -> pd.DataFrame:
@@ -230,50 +275,109 @@ def _composed(parts: pd.DataFrame) -> pd.DataFrame:
     done = []
     for file, rows in parts.groupby("file_id", sort=False):
         table = {(r.chunk, r.enter): r for r in rows.itertuples(index=False)}
-        for enter in sorted({e for k, e in table if k == rows["chunk"].min()}):
-            state, total = enter, (CODE, "", "", False)
-            brackets = ("", "", False)
-            for k in sorted(rows["chunk"].unique()):
+        order = sorted(rows["chunk"].unique())
+        for enter in sorted({e for k, e in table if k == order[0]}):
+            state, brackets = enter, ("", "", False)
+            for k in order:
                 r = table[k, state]
                 brackets = compose(brackets, (r.closers, r.openers, r.broken))
                 state = r.leave
-            total = (state, *brackets)
-            done.append((file, rows["lang"].iloc[0], int(rows["chunk"].min()), int(rows["n_chunks"].iloc[0]), enter, *total))
-    return pd.DataFrame(done, columns=[c.split()[0] for c in SUMMARY.split(", ")])
-
-
-def _statement_check(size: int):
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for file, path, source in zip(batch["file_id"], batch["path"], batch["source"]):
-                text, language = decoded(bytes(source)), language_of(path)
-                rows.append((file, not grammatical(text, masked(text, language)[0], language)))
-            yield pd.DataFrame(rows, columns=["file_id", "broken"])
-
-    return check
+            done.append((file, rows["lang"].iloc[0], int(order[0]), int(rows["n_chunks"].iloc[0]), enter, state, *brackets))
+    return _frame(done, SUMMARY)
+
+
+def _handed_down(key: tuple, parts: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+    """State and open brackets that each chunk of a run is entered with, from those of the run."""
+    if entry.empty or parts.empty:
+        return _frame([], ENTRY)
+    table = {(r.chunk, r.enter): r for r in parts.itertuples(index=False)}
+    state, open_, done = entry["enter"].iloc[0], entry["open"].iloc[0], []
+    for k in sorted(parts["chunk"].unique()):
+        done.append((key[0], int(k), state, open_))
+        r = table[k, state]
+        open_ = _split(open_ + r.closers)[1] + r.openers
+        state = r.leave
+    return _frame(done, ENTRY)
+
+
+def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Checks the statements within each chunk and passes on those at its edges."""
+    for batch in batches:
+        rows = []
+        for r in batch.itertuples(index=False):
+            code = summary(r.text, r.lang, r.enter)[4].ljust(len(r.text))
+            units = split_units(r.text, code, r.lang, len(r.open.replace("<", "")))
+            first = next((k for k, u in enumerate(units) if u[0]), len(units))
+            inner = units[first + 1 : -1]
+            broken = not _sound([u[1:] for u in inner], r.lang, False)
+            outer = [*units[: first + 1], *units[max(first + 1, len(units) - 1) :]]
+            rows += [(r.file_id, r.lang, r.chunk, k, begins, text, part, broken) for k, (begins, text, part) in enumerate(outer)]
+        yield _frame(rows, EDGE)
+
+
+def _assembled(parts: pd.DataFrame) -> pd.DataFrame:
+    """Checks the statements of a file that cross chunks or lie at their edges."""
+    file, language = int(parts["file_id"].iloc[0]), parts["lang"].iloc[0]
+    units: list[list[str]] = []
+    for r in parts.sort_values(["chunk", "at"]).itertuples(index=False):
+        if units and (not r.begins or language == "python" and units[-1][1].startswith("@")):
+            units[-1][0] += r.text
+            units[-1][1] += r.code
+        else:
+            units.append([r.text, r.code])
+    broken = bool(parts["broken"].any()) or not _sound([(t, c) for t, c in units], language, True)
+    return _frame([(file, language, broken)], "file_id bigint, lang string, broken boolean")
+
+
+def _reparsed(parts: pd.DataFrame) -> pd.DataFrame:
+    whole = "".join(parts.sort_values("chunk")["text"])
+    return _frame([(int(parts["file_id"].iloc[0]), "python", not _is_python(whole))], "file_id bigint, lang string, broken boolean")
+
+
+def _long_files(parts: DataFrame, run: int) -> DataFrame:
+    """``(file_id, lang, broken)`` of the files cut into chunks: reduction, then statements."""
+    verdict = "file_id bigint, lang string, broken boolean"
+    spread = parts.select("file_id", "lang", "chunk", "n_chunks", "states", "text").repartition("file_id", "chunk")
+    levels = [written(spread.mapInPandas(_summarised, SUMMARY), "chunk-summaries")]
+    most = levels[0].agg(F.max("n_chunks")).first()[0] or 0
+    while most > 1:
+        runs = levels[-1].groupBy("file_id", F.floor(F.col("chunk") / run).alias("run")).applyInPandas(lambda rows: _composed(rows), SUMMARY)
+        levels.append(written(runs.withColumn("chunk", F.floor(F.col("chunk") / run).cast("int")), "chunk-runs"))
+        most = -(-most // run)
+    whole = levels[-1].where(F.col("enter") == CODE).select("file_id", "lang", (F.col("broken") | (F.concat("leave", "closers", "openers") != "")).alias("broken"))
+    entries = whole.where("not broken").select("file_id", F.lit(0).alias("chunk"), F.lit(CODE).alias("enter"), F.lit("").alias("open"))
+    for level in reversed(levels[:-1]):
+        up = F.floor(F.col("chunk") / run).alias("up")
+        below = level.select("file_id", "chunk", "enter", "leave", "closers", "openers", up).groupBy("file_id", "up")
+        above = entries.select("file_id", F.col("chunk").cast("bigint").alias("up"), "enter", "open").groupBy("file_id", "up")
+        entries = written(below.cogroup(above).applyInPandas(_handed_down, ENTRY), "chunk-entries")
+    edges = spread.join(entries, ["file_id", "chunk"]).mapInPandas(_edges, EDGE)
+    judged = whole.where("broken").unionByName(edges.groupBy("file_id").applyInPandas(_assembled, verdict))
+    judged = written(judged, "chunk-verdicts")
+    # What the masks misread, Python's own grammar knows: its few broken files are parsed whole.
+    doubted = judged.where("broken and lang = 'python'").select("file_id")
+    again = parts.select("file_id", "chunk", "text").join(doubted, "file_id", "left_semi").groupBy("file_id").applyInPandas(_reparsed, verdict)
+    return judged.where("not (broken and lang = 'python')").unionByName(again)
 
 
 def unparsable(parsed: DataFrame, chunk: int = CHUNK, run: int = 64) -> DataFrame:
     """``(file_id, lang, broken)`` for every file of a code language.
 
     A byte order mark and CRLF are valid, and so is an empty source, which gives no row; neither does a missing source, id
-    or path, or another extension; of repeated parses the latest counts, all of equally late ones (broken if one is); undecodable bytes are replacement characters; further columns are ignored.
-    Files beyond ``chunk`` characters are reduced over their chunks, ``run`` neighbours at a time.
+    or path, or another extension; of repeated parses the latest counts, all of equally late ones (broken if one is); undecodable
+    bytes are replacement characters; further columns are ignored. Files beyond ``chunk`` characters are reduced over their
+    chunks, ``run`` neighbours at a time. A statement is parsed as a whole, by one task; a file never is, but for Python files that
+    are broken.
     """
     files = latest_sources(parsed, tuple(LANGUAGES))
-    parts = written(files.mapInPandas(_summarised(chunk), SUMMARY), "chunk-summaries")
-    single = parts.where("n_chunks = 1").select("file_id", "lang", "broken")
-    many = parts.where("n_chunks > 1")
-    level, most = many, many.agg(F.max("n_chunks")).first()[0] or 0
-    while most > 1:
-        runs = level.groupBy("file_id", F.floor(F.col("chunk") / run).alias("run")).applyInPandas(lambda rows: _composed(rows), SUMMARY)
-        level, most = written(runs.withColumn("chunk", F.floor(F.col("chunk") / run).cast("int")), "chunk-runs"), -(-most // run)
-    whole = level.where(F.col("enter") == CODE).select("file_id", "lang", (F.col("broken") | (F.concat("leave", "closers", "openers") != "")).alias("broken"))
-    # Balanced long files: their statements.
-    rest = files.join(whole.where("not broken").select("file_id"), "file_id", "left_semi").mapInPandas(_statement_check(chunk), "file_id bigint, broken boolean")
-    long = whole.where("broken").unionByName(whole.where("not broken").drop("broken").join(rest, "file_id"))
-    return single.unionByName(long).groupBy("file_id", "lang").agg(F.max("broken").alias("broken"))
+    # Several rows of equally late parses are files of their own until the end.
+    parts = written(files.withColumn("row", F.monotonically_increasing_id()).mapInPandas(_cut(chunk), CUT), "chunks")
+    single = parts.where("n_chunks = 1").select("of", "lang", "broken")
+    long = parts.where("n_chunks > 1")
+    if not long.isEmpty():
+        names = long.where("chunk = 0").select("file_id", "of")
+        single = single.unionByName(_long_files(long, run).join(names, "file_id").select("of", "lang", "broken"))
+    return single.groupBy(F.col("of").alias("file_id"), "lang").agg(F.max("broken").alias("broken"))
 
 
 def broken_rates(verdicts: DataFrame, files: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ import random
 import pytest
 
 from sparkloom.llm.credentials import DICTIONARY, credential_lines, credentials, mask, redacted, residual, spans
-from sparkloom.llm.lexing import decoded, language_of, masked
-from sparkloom.llm.parsing import broken_rates, compose, python_statements, summary, unparsable
+from sparkloom.llm.lexing import decoded, end_of, language_of, masked
+from sparkloom.llm.parsing import broken_rates, compose, split_units, summary, unparsable
 from sparkloom.llm.provenance import foreign_files, provenance, provenance_totals
 
 PARSED = "file_id bigint, path string, lang string, source binary, blob_hash string, parsed_at timestamp_ntz, line_no int, kind string"
@@ -77,7 +77,7 @@ def test_credentials_table(spark):
 # --- Parsing --------------------------------------------------------------------------------------------------------
 
 VALID = [
-    ("a.py", "def f(x):\n    return x\n"), ("a.py", '"""\n=======\n<<<<<<< HEAD\n"""\n'), ("a.py", "f(f\"{a['b']}(\")\n"), ("a.py", "@d\ndef f():\n    pass\nelse_ = 1\n"), ("a.py", "﻿x = 1\r\n"),
+    ("a.py", "def f(x):\n    return x\n"), ("a.py", '"""\n=======\n<<<<<<< HEAD\n"""\n'), ("a.py", "f(f\"{a['b']}(\")\n"), ("a.py", "x = f\"{d[\"(\"]}\"\ny = 1\n"), ("a.py", "x = 1 + \\\n2\n@d(\n1)\n@e\ndef f():\n    pass\n"), ("a.py", "@d\ndef f():\n    pass\nelse_ = 1\n"), ("a.py", "﻿x = 1\r\n"),
     ("a.js", "const a = { b: 1, c: `x${d ? `y` : 2}` };\n// it's (fine\nexport default async function go() {}\n"), ("a.js", "const r = /[(/]/g.test(s);\nfor (const x of y) z++;\n"), ("a.jsx", "if (a) b(); else c();\n/* ======= */\n"),
     ("a.go", "package x\n\nimport (\n\t\"fmt\"\n)\n\ntype T struct {\n\tA int\n}\n\nfunc (t *T) F(a, b int) (int, error) {\n\treturn `(`, nil\n}\n"), ("a.java", "package a.b;\nimport java.util.List;\n@X\npublic final class Q<T> {\n  char c = '(';\n  int[] a = {1, 2};\n}\n"),
     ("a.rb", "class A\n  def f(x)\n    return 1 if x\n    x.map do |y|\n      y[:end] # it's\n    end\n  end\nend\nputs \"#{a}(\"\n"), ("a.rb", "x = <<~T\n  (unbalanced end\nT\nwhile a do\n  b\nend\n"), ("a.py", ""),
@@ -106,11 +106,35 @@ def test_parse_odd_rows(spark):
 
 
 def test_chunks_give_the_same_verdicts(spark):
-    """Small chunks reduced in runs of two: the same verdicts as whole files."""
+    """Small chunks reduced in runs of two, longer ones, padded and grown files: the same verdicts as whole files."""
     rows = [(i, p, s) for i, (p, s) in enumerate([*VALID, *BROKEN])]
-    got = {r.file_id: r.broken for r in unparsable(parsed(spark, *rows), chunk=8, run=2).collect()}
+    for chunk in (8, 30):
+        got = {r.file_id: r.broken for r in unparsable(parsed(spark, *rows), chunk=chunk, run=2).collect()}
+        wrong = {i for i, b in got.items() if b != (i >= len(VALID))}
+        assert not wrong, [rows[i] for i in wrong]
+
+
+def test_grown_files_keep_their_verdicts(spark):
+    filling = {"py": "y = [1,\n  2]\n", "js": "z(1);\n", "ts": "z(1);\n", "tsx": "z(1);\n", "jsx": "z(1);\n", "rb": "y = 1\n"}
+    rows = [(i, p, s + ("" if s.endswith("\n") else "\n") + filling[p.split(".")[1]] * 900) for i, (p, s) in enumerate([*VALID, *BROKEN]) if p.split(".")[1] in filling]
+    got = {r.file_id: r.broken for r in unparsable(parsed(spark, *rows)).collect()}
     wrong = {i for i, b in got.items() if b != (i >= len(VALID))}
-    assert not wrong, [rows[i] for i in wrong]
+    assert not wrong, [r for r in rows if r[0] in wrong]
+
+
+def test_statements_at_every_cut():
+    """The ends of a text's statements do not depend on where it is cut."""
+    for path, text in VALID:
+        language, text = language_of(path), decoded(text.encode())
+        *_, code = summary(text, language, "")
+        units = split_units(text, code, language)
+        assert "".join(u[1] for u in units) == text and all(len(u[1]) == len(u[2]) for u in units)
+
+
+def test_end_of_literals():
+    assert end_of("python", '"""', 'a \\""" b""" c') == 11 and end_of("python", '"""', 'a"" b') == -1
+    assert end_of("ruby", '"', 'a \\" b" c') == 7 and end_of("ruby", "=begin", "x\n=end\ny") == 6 and end_of("typescript", "/*", "x */ y") == 4
+    assert end_of("typescript", "`", "a ${b ? `c` : 1} d` e") == 19 and end_of("go", "`", "x") == -1 and end_of("ruby", "<<EOS", "a\n  EOS\nb") == 7
 
 
 def test_summaries_are_associative():
@@ -135,7 +159,7 @@ def test_python_statements_parse_like_the_whole():
                 whole = True
             except SyntaxError:
                 whole = False
-            units = python_statements(text, masked(text, "python")[0])
+            units = [u[1] for u in split_units(text, masked(text, "python")[0], "python")]
             assert "".join(units) == text
             try:
                 for unit in units:
