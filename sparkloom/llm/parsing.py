@@ -26,7 +26,7 @@ from sparkloom.sources.shared import written
 
 CODE = ""
 #: Characters of a chunk. The verdicts do not depend on it.
-CHUNK = 4096
+CHUNK = 8192
 #: A file's verdict if it is one chunk, else its chunks and the states that each may be entered in. ``file_id`` numbers rows,
 #: ``of`` is the file's id.
 CUT = "file_id bigint, of bigint, lang string, chunk int, n_chunks int, states array<string>, text string, broken boolean"
@@ -270,34 +270,50 @@ def _summarised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _frame(rows, SUMMARY)
 
 
-def _composed(parts: pd.DataFrame) -> pd.DataFrame:
-    """Summaries of runs of neighbouring chunks joined to one per run and entry state."""
+def _by_group(rows: DataFrame, keys: list[str], order: list[str], work, schema: str) -> DataFrame:
+    """``work(key, rows)`` of every group, over sorted partitions: groups are small, and a frame for each would cost more."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, done = None, [], []
+        for batch in batches:
+            for at, r in zip(zip(*(batch[k] for k in keys)), batch.itertuples(index=False)):
+                if at != key and held:
+                    done += work(key, held)
+                    held = []
+                key = at
+                held.append(r)
+            yield _frame(done, schema)
+            done = []
+        yield _frame(work(key, held) if held else [], schema)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(each, schema)
+
+
+def _composed(key: tuple, rows: list) -> list[tuple]:
+    """Summaries of a run of neighbouring chunks joined to one per entry state."""
+    table = {(r.chunk, r.enter): r for r in rows}
+    order = sorted({r.chunk for r in rows})
     done = []
-    for file, rows in parts.groupby("file_id", sort=False):
-        table = {(r.chunk, r.enter): r for r in rows.itertuples(index=False)}
-        order = sorted(rows["chunk"].unique())
-        for enter in sorted({e for k, e in table if k == order[0]}):
-            state, brackets = enter, ("", "", False)
-            for k in order:
-                r = table[k, state]
-                brackets = compose(brackets, (r.closers, r.openers, r.broken))
-                state = r.leave
-            done.append((file, rows["lang"].iloc[0], int(order[0]), int(rows["n_chunks"].iloc[0]), enter, state, *brackets))
-    return _frame(done, SUMMARY)
-
-
-def _handed_down(key: tuple, parts: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-    """State and open brackets that each chunk of a run is entered with, from those of the run."""
-    if entry.empty or parts.empty:
-        return _frame([], ENTRY)
-    table = {(r.chunk, r.enter): r for r in parts.itertuples(index=False)}
-    state, open_, done = entry["enter"].iloc[0], entry["open"].iloc[0], []
-    for k in sorted(parts["chunk"].unique()):
-        done.append((key[0], int(k), state, open_))
+    for enter in sorted(e for k, e in table if k == order[0]):
+        state, brackets = enter, ("", "", False)
+        for k in order:
+            r = table[k, state]
+            brackets = compose(brackets, (r.closers, r.openers, r.broken))
+            state = r.leave
+        done.append((key[0], rows[0].lang, key[1], rows[0].n_chunks, enter, state, *brackets))
+    return done
+
+
+def _handed_down(key: tuple, rows: list) -> list[tuple]:
+    """State and open brackets that each chunk of a run is entered with, from those of the run (``state``, ``open``)."""
+    table = {(r.chunk, r.enter): r for r in rows}
+    state, open_, done = rows[0].state, rows[0].open, []
+    for k in sorted({r.chunk for r in rows}):
+        done.append((key[0], k, state, open_))
         r = table[k, state]
         open_ = _split(open_ + r.closers)[1] + r.openers
         state = r.leave
-    return _frame(done, ENTRY)
+    return done
 
 
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -315,23 +331,22 @@ def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _frame(rows, EDGE)
 
 
-def _assembled(parts: pd.DataFrame) -> pd.DataFrame:
+def _assembled(key: tuple, rows: list) -> list[tuple]:
     """Checks the statements of a file that cross chunks or lie at their edges."""
-    file, language = int(parts["file_id"].iloc[0]), parts["lang"].iloc[0]
-    units: list[list[str]] = []
-    for r in parts.sort_values(["chunk", "at"]).itertuples(index=False):
-        if units and (not r.begins or language == "python" and units[-1][1].startswith("@")):
-            units[-1][0] += r.text
-            units[-1][1] += r.code
+    language = rows[0].lang
+    units: list[list[list[str]]] = []
+    for r in rows:
+        if units and (not r.begins or language == "python" and units[-1][1][0].startswith("@")):
+            units[-1][0].append(r.text)
+            units[-1][1].append(r.code)
         else:
-            units.append([r.text, r.code])
-    broken = bool(parts["broken"].any()) or not _sound([(t, c) for t, c in units], language, True)
-    return _frame([(file, language, broken)], "file_id bigint, lang string, broken boolean")
+            units.append([[r.text], [r.code]])
+    broken = any(r.broken for r in rows) or not _sound([("".join(t), "".join(c)) for t, c in units], language, True)
+    return [(key[0], language, broken)]
 
 
-def _reparsed(parts: pd.DataFrame) -> pd.DataFrame:
-    whole = "".join(parts.sort_values("chunk")["text"])
-    return _frame([(int(parts["file_id"].iloc[0]), "python", not _is_python(whole))], "file_id bigint, lang string, broken boolean")
+def _reparsed(key: tuple, rows: list) -> list[tuple]:
+    return [(key[0], "python", not _is_python("".join(r.text for r in rows)))]
 
 
 def _long_files(parts: DataFrame, run: int) -> DataFrame:
@@ -341,22 +356,21 @@ def _long_files(parts: DataFrame, run: int) -> DataFrame:
     levels = [written(spread.mapInPandas(_summarised, SUMMARY), "chunk-summaries")]
     most = levels[0].agg(F.max("n_chunks")).first()[0] or 0
     while most > 1:
-        runs = levels[-1].groupBy("file_id", F.floor(F.col("chunk") / run).alias("run")).applyInPandas(lambda rows: _composed(rows), SUMMARY)
-        levels.append(written(runs.withColumn("chunk", F.floor(F.col("chunk") / run).cast("int")), "chunk-runs"))
+        rows = levels[-1].withColumn("run", F.floor(F.col("chunk") / run).cast("int"))
+        levels.append(written(_by_group(rows, ["file_id", "run"], ["chunk"], _composed, SUMMARY), "chunk-runs"))
         most = -(-most // run)
     whole = levels[-1].where(F.col("enter") == CODE).select("file_id", "lang", (F.col("broken") | (F.concat("leave", "closers", "openers") != "")).alias("broken"))
     entries = whole.where("not broken").select("file_id", F.lit(0).alias("chunk"), F.lit(CODE).alias("enter"), F.lit("").alias("open"))
     for level in reversed(levels[:-1]):
-        up = F.floor(F.col("chunk") / run).alias("up")
-        below = level.select("file_id", "chunk", "enter", "leave", "closers", "openers", up).groupBy("file_id", "up")
-        above = entries.select("file_id", F.col("chunk").cast("bigint").alias("up"), "enter", "open").groupBy("file_id", "up")
-        entries = written(below.cogroup(above).applyInPandas(_handed_down, ENTRY), "chunk-entries")
+        above = entries.select("file_id", F.col("chunk").alias("run"), F.col("enter").alias("state"), "open")
+        rows = level.withColumn("run", F.floor(F.col("chunk") / run).cast("int")).join(above, ["file_id", "run"])
+        entries = written(_by_group(rows.select("file_id", "run", "chunk", "enter", "leave", "closers", "openers", "state", "open"), ["file_id", "run"], ["chunk"], _handed_down, ENTRY), "chunk-entries")
     edges = spread.join(entries, ["file_id", "chunk"]).mapInPandas(_edges, EDGE)
-    judged = whole.where("broken").unionByName(edges.groupBy("file_id").applyInPandas(_assembled, verdict))
+    judged = whole.where("broken").unionByName(_by_group(edges, ["file_id"], ["chunk", "at"], _assembled, verdict))
     judged = written(judged, "chunk-verdicts")
     # What the masks misread, Python's own grammar knows: its few broken files are parsed whole.
     doubted = judged.where("broken and lang = 'python'").select("file_id")
-    again = parts.select("file_id", "chunk", "text").join(doubted, "file_id", "left_semi").groupBy("file_id").applyInPandas(_reparsed, verdict)
+    again = _by_group(parts.select("file_id", "chunk", "text").join(doubted, "file_id", "left_semi"), ["file_id"], ["chunk"], _reparsed, verdict)
     return judged.where("not (broken and lang = 'python')").unionByName(again)
 
 
