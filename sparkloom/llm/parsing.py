@@ -119,7 +119,7 @@ _HEADS = {
     "go": (re.compile(r"package\s+\w+\s*;?\s*(?=\n|\Z)"), re.compile(r"(?:import|func|type|var|const)\b")),
     "java": (None, re.compile(r"(?:package|import|public|protected|private|abstract|final|static|sealed|non-sealed|strictfp|class|interface|enum|record|module|open)\b|@|;|void\b|[A-Z]\w*[\w<>,\[\] ]*\s\w+\s*\(")),
 }
-_EDGES = re.compile(r"[()\[\]{}]|(?:\A|(?<=\n))(?=[^\s)\]}])")
+_FIRST_COLUMN = re.compile(r"^(?=[^\s)\]}])", re.M)
 _CLAUSE = re.compile(r"(?:else|elif|except|finally)\b")
 _SEMICOLONS = re.compile(r"[()\[\]{}]|;")
 
@@ -127,17 +127,15 @@ _SEMICOLONS = re.compile(r"[()\[\]{}]|;")
 def heads(code: str, language: str, depth: int = 0) -> list[int]:
     """Where top-level statements begin in masked code entered with ``depth`` open brackets: at the first column, outside of
     brackets, and in Python neither at a clause of the statement before nor after a backslash."""
-    found = []
-    for m in _EDGES.finditer(code):
-        c = m[0]
-        if not c:
-            at = m.start()
-            if depth <= 0 and not (language == "python" and (code[at - 2 : at] == "\\\n" or _CLAUSE.match(code, at))):
-                found.append(at)
-        elif c in "([{":
-            depth += 1
-        else:
-            depth -= 1
+    found, last = [], 0
+    for m in _FIRST_COLUMN.finditer(code):
+        at = m.start()
+        if last < at:
+            count = code.count
+            depth += count("(", last, at) + count("[", last, at) + count("{", last, at) - count(")", last, at) - count("]", last, at) - count("}", last, at)
+            last = at
+        if depth <= 0 and not (language == "python" and (code[at - 2 : at] == "\\\n" or _CLAUSE.match(code, at))):
+            found.append(at)
     return found
 
 
@@ -208,10 +206,24 @@ def grammatical(text: str, code: str, language: str, first: bool = False, last:
     return True
 
 
+def _suspect(code: str, language: str) -> bool:
+    """Whether a pattern that no valid statement has is met in the code of several."""
+    if ("<<<<<<<" in code or ">>>>>>>" in code or "=======" in code) and _CONFLICT.search(code):
+        return True
+    if any(p.search(code) for p in _NEVER[language]):
+        return True
+    return language == "typescript" and not all(m[1] in _BEFORE or m[2] in _AFTER for m in _NEIGHBOURS.finditer(code))
+
+
 def _sound(units: list[tuple[str, str]], language: str, whole: bool) -> bool:
     """Whether all statements are grammatical; ``whole``: they are a whole file's, so some are its first and its last."""
     stated = [(text, code) for text, code in units if code.strip() or language == "python"]
     n = len(stated) - 1
+    if language != "python" and not _suspect("".join(code for _, code in stated), language):
+        # No pattern is met anywhere: what depends on a statement's place is left to look at.
+        if language not in _HEADS:
+            stated = [stated[k] for k in sorted({0, n})] if whole and stated else []
+            n = len(stated) - 1
     return all(grammatical(text, code, language, whole and not k, whole and k == n) for k, (text, code) in enumerate(stated))
 
 
