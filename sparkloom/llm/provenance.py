@@ -1,9 +1,11 @@
 """Generated, minified, vendored source files and data saved as code (problem 2).
 
-Every file is lexed and emitted again in a canonical layout (one statement or block edge a line, comments dropped, white
-space evened out). The original layout is compared with it: a file that grows many times over was compressed for delivery,
-one whose lines are a few forms that differ by their numbering only was written by a tool, one whose tokens are almost all
-literals is data. Canonical forms that more than one repository holds were copied in, whatever header or layout they got.
+Every file is lexed and emitted again in a canonical layout: one statement or block edge a line, comments dropped, white
+space evened out. Each emitted line is compared with the layout it had: a file that grows many times over was compressed for
+delivery; one made of a few forms that differ by their numbering only, each laid out alike every time, was written by a
+tool; one whose tokens are almost all literals is data. Layout cannot tell two kinds of cases, which follow it: generated
+files of an ordinary layout are known by their notice, files of another project by their canonical form (if more than one
+repository holds it, whatever header or layout it got), a foreign notice or their folder.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from sparkloom.llm.latest import latest_sources
 from sparkloom.llm.lexing import LANGUAGES, TOKENS, decoded, language_of
 from sparkloom.sources.shared import written
 
-FEATURES = "file_id bigint, repo_name string, canonical string, canonical_chars int, expansion double, uniform double, literal double, says_generated boolean, is_foreign boolean"
+FEATURES = "file_id bigint, path string, canonical string, canonical_chars int, lines int, expansion double, uniform double, literal double, says_generated boolean, owner string"
+#: What a verdict rests on, in this order, and the kind that follows from it. The first three compare layouts.
+EVIDENCE = {"expansion": "minified", "literals": "data", "uniformity": "generated", "notice": "generated", "copies": "vendored", "owner": "vendored", "folder": "vendored"}
 
 #: Thresholds; own code of the usual layout is far below each.
 EXPANSION, UNIFORM, LITERAL = 8.0, 0.85, 0.65
@@ -32,46 +36,74 @@ _GENERATED = re.compile(
     r"|\bautomatically (?:produced|created|written)\b|do not (?:edit|modify)\W+(?:output|generated|this (?:file|code) (?:is|was))|\b(?:automatisch|maschinell) (?:erzeugt|erstellt|generiert)\b|自动生成|自動生成"
 )
 _FOREIGN = re.compile(r"(?i)(?:\(c\)|copyright|©)[^\n]{0,20}?\bthe ([\w.-]+) (?:authors|contributors|developers|project|foundation)\b")
-_VERSIONED = re.compile(r"/[a-z][\w.-]*?-v?\d+\.\d+(?:\.\d+)?/|/(?:node_modules|site-packages|bower_components|third_party)/|^[^/]+/(?:vendor|ext|external)/")
+#: Folders of other projects: with a version, of package managers, and by their usual names below a repository's root.
+_FOLDERS = r"/[a-z][\w.-]*?-v?\d+\.\d+(?:\.\d+)?/|/(?:node_modules|site-packages|bower_components|third[_-]party|3rdparty)/|^[^/]+/(?:vendor|vendored|ext|extern|external|externals|deps)/"
 _NAME, _NUMBER = re.compile(r"\b[^\W\d]\w*+"), re.compile(r"\b\d[\w.]*+")
 _DIGITS = re.compile(r"\d+")
 
 
-def canonical(code: str, braces: bool) -> str:
-    """Canonical layout of a file without its comments: even spaces, and in languages with braces a line for each
-    statement and block edge. Literals are laid out alike, which changes nothing for comparisons."""
-    form = " ".join(code.split())
-    return form.replace("; ", ";").replace(";", ";\n").replace("{ ", "{").replace("{", "{\n").replace(" }", "}").replace("}", "\n}") if braces else form
-
-
-def features(text: str, language: str, path: str, repo: str | None) -> tuple:
-    """The columns of ``FEATURES`` after the ids."""
-    bare, whole, last, literals, comments = [], [], 0, 0, []  # bare: without comments and literals; whole: with literals
+_STOPS = {True: re.compile(r"[()\[\]{};\n]"), False: re.compile(r"[()\[\]{}\n;]")}
+
+
+def emitted(code: str, braces: bool) -> list[tuple[int, int]]:
+    """Spans of the lines that code without comments and literals is emitted as: statements end at semicolons and at line
+    ends outside of parentheses, with braces also at every block edge."""
+    spans, begun, depth = [], 0, 0
+    for m in _STOPS[braces].finditer(code):
+        c, at = m[0], m.start()
+        if c in "([" or c == "{" and not braces:
+            depth += 1
+        elif c in ")]" or c == "}" and not braces:
+            depth = max(0, depth - 1)
+        elif c == "}" and begun < at:
+            spans.append((begun, at))
+            begun = at
+        elif c in "{;" and (c == "{" or not depth) or c == "\n" and not depth:
+            spans.append((begun, m.end()))
+            begun = m.end()
+    spans.append((begun, len(code)))
+    return spans
+
+
+def features(text: str, language: str) -> tuple:
+    """The columns of ``FEATURES`` after the path."""
+    # Of the same length as the text: without comments, and without literals too.
+    whole, bare, last, literals, comments = [], [], 0, 0, []
     for m in TOKENS[language].finditer(text):
         between = text[last : m.start()]
-        bare.append(between)
         whole.append(between)
+        bare.append(between)
+        blank = " " * (m.end() - m.start())
+        bare.append(blank)
         if m["c"] is None:
             whole.append(m[0])
             literals += 1
         else:
+            # What follows a comment's line end is a line of its own.
+            whole.append(blank if "\n" not in m[0] else blank[1:] + "\n")
             comments.append((m.start(), m.end()))
         last = m.end()
-    bare.append(text[last:])
     whole.append(text[last:])
-    form = canonical("".join(whole), language in ("typescript", "go", "java"))
-    code = " ".join(bare)
-    lines = [x for x in map(str.strip, _DIGITS.sub("0", text).split("\n")) if x]
-    edges = code.count(";") + (code.count("{") + code.count("}") if language != "python" else 0)
-    expansion = edges / max(1, len(lines))
-    # Lines with words that are the same but for their numbers, each form at least four times.
-    worded = [n for x, n in Counter(lines).items() if len(x) > 8 and not x.startswith(("//", "#", "*", "/*"))]
-    uniform = sum(n for n in worded if n >= 4) / sum(worded) if sum(worded) >= LEAST_LINES else 0.0
+    bare.append(text[last:])
+    shown, code = "".join(whole), "".join(bare)
+    spans = emitted(code, language in ("typescript", "go", "java"))
+    forms = [(" ".join(shown[a:b].split()), shown[a:b].strip("\n")) for a, b in spans]
+    forms = [(form, layout) for form, layout in forms if form]
+    canonical = "\n".join(form for form, _ in forms)
+    lines = sum(1 for x in text.split("\n") if x.strip())
+    expansion = len(forms) / max(1, lines)
+    # Lines with words that are the same but for their numbers, each form at least four times and always laid out alike.
+    met: dict[str, Counter] = {}
+    for form, layout in forms:
+        if len(form) > 8:
+            met.setdefault(_DIGITS.sub("0", form), Counter())[_DIGITS.sub("0", layout)] += 1
+    worded = sum(map(Counter.total, met.values()))
+    alike = sum(n for layouts in met.values() for n in [layouts.total()] if n >= 4 and len(layouts) == 1)
+    uniform = alike / worded if worded >= LEAST_LINES else 0.0
     names, numbers = len(_NAME.findall(code)), len(_NUMBER.findall(code))
     tokens = literals + numbers + names
     # Dominant are literals that are most of the tokens and most of the characters.
-    shown = sum(map(len, "".join(whole).split()))
-    told = 1 - sum(map(len, _NUMBER.sub("", code).split())) / max(1, shown)
+    told = 1 - sum(map(len, _NUMBER.sub("", code).split())) / max(1, sum(len("".join(form.split())) for form, _ in forms))
     literal = min((literals + numbers) / tokens, told) if tokens >= LEAST_TOKENS else 0.0
     # A notice is a comment before the first or after the last line of code.
     first, end = 0, len(text)
@@ -88,45 +120,48 @@ def features(text: str, language: str, path: str, repo: str | None) -> tuple:
         end = a
     notice = "\n".join(marks)
     owner = _FOREIGN.search(notice)
-    foreign = bool(owner) and owner[1].lower() != (repo or "").lower() or bool(_VERSIONED.search(path))
-    digest = hashlib.md5(form.encode("utf-8", "replace")).hexdigest()
-    return digest, len(form), expansion, uniform, literal, bool(_GENERATED.search(notice)), foreign
+    digest = hashlib.md5(" ".join(canonical.split()).encode("utf-8", "replace")).hexdigest()
+    return digest, len(canonical), lines, expansion, uniform, literal, bool(_GENERATED.search(notice)), owner and owner[1].lower()
 
 
 def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for file, path, repo, source in zip(batch["file_id"], batch["path"], batch["repo_name"], batch["source"]):
-            rows.append((file, repo, *features(decoded(bytes(source)), language_of(path), path, repo)))
+        for file, path, source in zip(batch["file_id"], batch["path"], batch["source"]):
+            rows.append((file, path, *features(decoded(bytes(source)), language_of(path))))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")])
 
 
 def provenance(files: DataFrame, parsed: DataFrame, versions: DataFrame) -> DataFrame:
-    """``(file_id, repo_name, size, kind)`` of every code file with content; ``kind`` is ``generated``, ``minified``,
-    ``vendored``, ``data`` or ``own``, the first that holds in the order minified, data, generated, vendored.
+    """``(file_id, repo_name, size, kind, evidence)`` of every code file with content; ``kind`` is ``generated``, ``minified``,
+    ``vendored``, ``data`` or ``own``, by the first evidence that holds in the order of ``EVIDENCE``.
 
-    The path is that of ``files`` (smallest of repeated ones), the language that of its extension, so that a missing or odd
-    ``lang`` does no harm. ``size`` is the greatest one delivered for the file, else the source's. Files without source,
-    with an empty one, of other extensions or without id give no row; of repeated parses the latest counts; a missing
-    repository counts as one; empty tables give no rows; further columns are ignored.
+    Folders and repository are those of ``files`` (smallest path of repeated ones), the language that of the parsed path's
+    extension, so that a missing or odd ``lang`` does no harm. ``size`` is the greatest one delivered for the file, else the
+    source's. Files without source, with an empty one, of other extensions or without id give no row; of repeated parses the
+    latest counts; a missing repository counts as one; empty tables give no rows; further columns are ignored.
+
+    Sources are read once and not moved: only the features are joined.
     """
     known = files.select(F.col("file_id").cast("bigint").alias("file_id"), "path", F.coalesce("repo_name", F.lit("")).alias("repo_name"))
     known = known.where("file_id is not null and path is not null").groupBy("file_id").agg(F.min(F.struct("path", "repo_name")).alias("f"))
-    known = known.select("file_id", "f.path", "f.repo_name").where(F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)).isin(*LANGUAGES))
-    sources = latest_sources(parsed).select("file_id", "source")
-    rows = written(sources.join(known, "file_id").mapInPandas(_featured, FEATURES), "provenance")
+    known = known.select("file_id", F.col("f.path").alias("at"), "f.repo_name")
+    rows = written(latest_sources(parsed, tuple(LANGUAGES)).mapInPandas(_featured, FEATURES), "provenance")
+    rows = rows.drop("path").join(known, "file_id")
     copied = (
         rows.where(F.col("canonical_chars") >= LEAST_CHARS).groupBy("canonical").agg(F.min("repo_name").alias("a"), F.max("repo_name").alias("z"))
         .where("a <> z").select("canonical", F.lit(True).alias("is_copied"))
     )
     sizes = versions.select(F.col("file_id").cast("bigint").alias("file_id"), "size").groupBy("file_id").agg(F.max("size").alias("size"))
-    kind = (
-        F.when(F.col("expansion") >= EXPANSION, "minified").when(F.col("literal") >= LITERAL, "data")
-        .when(F.col("says_generated") | (F.col("uniform") >= UNIFORM), "generated")
-        .when(F.col("is_copied") | F.col("is_foreign"), "vendored").otherwise("own")
-    )
-    judged = rows.join(copied, "canonical", "left").select("file_id", "repo_name", "canonical_chars", kind.alias("kind"))
-    return judged.join(sizes, "file_id", "left").select("file_id", "repo_name", F.coalesce("size", "canonical_chars").alias("size"), "kind").distinct()
+    holds = {
+        "expansion": F.col("expansion") >= EXPANSION, "literals": F.col("literal") >= LITERAL, "uniformity": F.col("uniform") >= UNIFORM, "notice": F.col("says_generated"),
+        "copies": F.col("is_copied"), "owner": F.col("owner") != F.lower("repo_name"), "folder": F.col("at").rlike(_FOLDERS),
+    }
+    evidence = F.coalesce(*[F.when(holds[name], name) for name in EVIDENCE], F.lit("none"))
+    kind = F.create_map(*[F.lit(x) for pair in {**EVIDENCE, "none": "own"}.items() for x in pair])
+    judged = rows.join(copied, "canonical", "left").select("file_id", "repo_name", "canonical_chars", evidence.alias("evidence"))
+    judged = judged.select("*", kind[F.col("evidence")].alias("kind"))
+    return judged.join(sizes, "file_id", "left").select("file_id", "repo_name", F.coalesce("size", "canonical_chars").alias("size"), "kind", "evidence").distinct()
 
 
 def foreign_files(verdicts: DataFrame) -> DataFrame:

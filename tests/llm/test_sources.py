@@ -9,7 +9,7 @@ import pytest
 from sparkloom.llm.credentials import DICTIONARY, credential_lines, credentials, mask, redacted, residual, spans
 from sparkloom.llm.lexing import decoded, end_of, language_of, masked
 from sparkloom.llm.parsing import broken_rates, compose, split_units, summary, unparsable
-from sparkloom.llm.provenance import foreign_files, provenance, provenance_totals
+from sparkloom.llm.provenance import emitted, features, foreign_files, provenance, provenance_totals
 
 PARSED = "file_id bigint, path string, lang string, source binary, blob_hash string, parsed_at timestamp_ntz, line_no int, kind string"
 
@@ -197,6 +197,25 @@ def test_provenance(spark):
     assert sum(r.n_files for r in provenance_totals(verdicts).collect()) == len(got)
 
 
+def test_evidence(spark):
+    got = {r.file_id: r.evidence for r in provenance_of(spark, FILES).collect()}
+    assert [got[k] for k in (1, 2, 3, 4, 5, 6, 7, 9, 10)] == ["none", "notice", "uniformity", "expansion", "literals", "copies", "copies", "folder", "owner"]
+
+
+def test_emitted_lines_and_layout():
+    lines = lambda code, braces: [code[a:b].strip() for a, b in emitted(code, braces) if code[a:b].strip()]
+    assert lines("for(i=0;i<n;i++){a();b()}c()", True) == ["for(i=0;i<n;i++){", "a();", "b()", "}c()"]
+    assert lines("f(1,\n  2)\nx = 1; y = 2\n", False) == ["f(1,\n  2)", "x = 1;", "y = 2"]
+    names = ("digest", "chars", "lines", "expansion", "uniform", "literal", "says", "owner")
+    of = lambda text, language="python": dict(zip(names, features(text, language)))
+    alike = "".join(f"value_{i} = row[{i}]\n" for i in range(20))
+    assert of(alike)["uniform"] == 1.0
+    # The same statements, each twice as often laid out another way: no tool's work.
+    assert of(alike.replace("value_7 = ", "value_7  =  "))["uniform"] == 0.0
+    assert of("a();b();" * 30, "typescript")["expansion"] == 60
+    assert of(OWN)["digest"] == of("# note\n" + OWN.replace("    ", "\t"))["digest"] and of("")["digest"] == of("# only\n")["digest"]
+
+
 def test_provenance_of_nothing(spark):
     files = spark.createDataFrame([(None, "a.py", None, None), (1, None, None, None), (2, "a.py", None, None)], "file_id bigint, path string, lang string, repo_name string")
     versions = spark.createDataFrame([], "rev string, file_id bigint, size bigint")
