@@ -9,15 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.operators.latest import latest_rows
 from sparkloom.functions.text import API_WORDS, RISKY_WORDS, STRONG_WORDS, count_words, has_word, type_weight
 
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
 def latest_diffs(states: DataFrame) -> DataFrame:
-    """``(review_id, repo_name, diff_context)`` of each review's latest state."""
-    best = states.where("review_id is not null").groupBy("review_id").agg(F.max(F.struct("updated_at", "diff_context", "repo_name")).alias("s"))
-    return best.select("review_id", "s.repo_name", "s.diff_context").where("diff_context is not null")
+    """``(review_id, repo_name, diff_context)`` of each review's latest state; only repeated reviews are moved."""
+    rows = states.where("review_id is not null").select("review_id", "updated_at", "diff_context", "repo_name")
+    best = latest_rows(rows, "review_id", "updated_at", ["diff_context", "repo_name"])
+    return best.select("review_id", "repo_name", "diff_context").where("diff_context is not null")
 
 
 def diff_lines(diffs: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.operators.latest import latest_rows
+
 NODES = "file_id bigint, seq int, parent int, kind string, name string, role string, start_line int, start_col int, end_line int, end_col int"
 
 _KINDS = {
@@ -70,8 +72,8 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def python_nodes(parsed: DataFrame) -> DataFrame:
     """Nodes of every Python file's latest parse; files that do not parse have none."""
     rows = parsed.where(F.col("path").rlike(r"(?i)\.py$") & F.col("source").isNotNull() & F.col("file_id").isNotNull())
-    best = rows.groupBy("file_id").agg(F.max(F.struct("parsed_at", "source"))["source"].alias("source"))
-    return best.mapInPandas(_parsed, NODES)
+    best = latest_rows(rows.select("file_id", "parsed_at", "source"), "file_id", "parsed_at", ["source"])
+    return best.select("file_id", "source").mapInPandas(_parsed, NODES)
 
 
 def tree_edges(nodes: DataFrame) -> DataFrame:

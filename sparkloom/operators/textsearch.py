@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions.text import language, words
+from sparkloom.operators.latest import latest_rows
 
 #: Import statements of each language by line (the group is the module).
 IMPORTS = {
@@ -24,21 +25,13 @@ DECLARATIONS = {
 }
 
 
-#: Ids of repeated files up to which they are broadcast; beyond it the joins shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
 def latest_text(parsed: DataFrame) -> DataFrame:
     """``(file_id, path, text)`` of each file's latest parse, line ends as line feeds.
 
     Only the sources of repeated files are shuffled; equal times are decided by path and source.
     """
     rows = parsed.where("file_id is not null and source is not null").select("file_id", "parsed_at", "path", "source")
-    repeated = rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("file_id")
-    if repeated.count() <= BROADCAST_ROWS:
-        repeated = F.broadcast(repeated)
-    best = rows.join(repeated, "file_id", "left_semi").groupBy("file_id").agg(F.max(F.struct("parsed_at", "path", "source")).alias("s"))
-    latest = rows.join(repeated, "file_id", "left_anti").select("file_id", "path", "source").unionByName(best.select("file_id", "s.path", "s.source"))
+    latest = latest_rows(rows, "file_id", "parsed_at", ["path", "source"])
     return latest.select("file_id", "path", F.regexp_replace(F.decode("source", "UTF-8"), "\r\n", "\n").alias("text"))
 
 
