@@ -4,21 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-#: Rows (two numbers each) up to which the table of repeated files is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+from sparkloom.operators.latest import flagged_latest
 
 
 def latest_sources(parsed: DataFrame, extensions: tuple[str, ...] | None = None) -> DataFrame:
-    """``(file_id, path, source)``: each file's latest parse that has a source.
+    """``(file_id, path, source)``: each file's latest parse, if it has a source.
 
-    A missing ``parsed_at`` is the earliest; of equal times all rows remain. Rows without ``file_id`` or with a missing or
-    empty source are left out before the latest is chosen, and so are other extensions if some are given.
+    A missing ``parsed_at`` is the earliest; of equal times all rows remain. Rows without ``file_id`` are left out; a file
+    whose latest parse has a missing or empty source gives no row; nor do other extensions if some are given.
     """
-    rows = parsed.select(F.col("file_id").cast("bigint").alias("file_id"), "path", "source", F.coalesce(F.unix_micros(F.col("parsed_at").cast("timestamp")), F.lit(-(2**62))).alias("_at"))
-    rows = rows.where("file_id is not null and octet_length(source) > 0")
+    rows = parsed.select(F.col("file_id").cast("bigint").alias("file_id"), "path", "source", "parsed_at").where("file_id is not null and source is not null")
     if extensions:
         rows = rows.where(F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)).isin(*extensions))
-    repeated = rows.groupBy("file_id").agg(F.max("_at").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    if repeated.count() <= BROADCAST_ROWS:
-        repeated = F.broadcast(repeated)
-    return rows.join(repeated, "file_id", "left").where("_last is null or _at = _last").select("file_id", "path", "source")
+    return flagged_latest(rows, "file_id", "parsed_at").where("octet_length(source) > 0").select("file_id", "path", "source")

@@ -1,9 +1,11 @@
 """Filling fixed-capacity containers with texts (problem 7).
 
 Hierarchical multi-length packing. Texts are measured in tokens and dealt into pack groups of a fixed amount of tokens
-(so a group's size is bounded whatever the input), in each of which they are routed to context-size tiers. The longest
-tier opens the containers; gaps are filled from the shorter tiers, best fit first; what is left of a shorter tier opens
-containers of its own. The containers of a group are dealt into step groups of nearly equal load.
+(so a group's size is bounded whatever the input), in each of which they are routed to context-size tiers. From the
+longest tier to the shortest, a tier's texts first fill the gaps that longer windows have left, then windows of the tier's
+own size; these windows are then combined to containers of the full capacity, whose gaps the next tier fills. The shortest
+tier is kept for the gaps and opens containers only with what is left. The containers of a group are dealt into step groups
+of nearly equal load.
 """
 
 from __future__ import annotations
@@ -55,31 +57,72 @@ def token_parts(documents: DataFrame, capacity: int, vocabulary: str = VOCABULAR
     return texts.mapInPandas(_measured(vocabulary, capacity), PARTS)
 
 
-def fill(lengths: list[int], capacity: int, tiers: tuple[int, ...]) -> list[int]:
-    """A container number for every length: longest tier first, then each shorter tier into the gaps by best fit."""
-    route = [min(t for t in tiers if t >= n) for n in lengths]
-    order = sorted(range(len(lengths)), key=lambda i: (-route[i], -lengths[i]))
-    holds, gaps, open_, used = [0] * len(lengths), 0, {}, 0  # gaps: a bit for each free space some container has
+class _Gaps:
+    """Free spaces of open containers, found by best fit: a bit for each size that some container has free."""
+
+    def __init__(self):
+        self.bits, self.at = 0, {}
+
+    def put(self, container: int, space: int) -> None:
+        if space:
+            self.at.setdefault(space, []).append(container)
+            self.bits |= 1 << space
+
+    def take(self, n: int) -> tuple[int, int] | None:
+        """``(container, space)`` with the least space of at least ``n``."""
+        fitting = self.bits >> n
+        if not fitting:
+            return None
+        space = n + (fitting & -fitting).bit_length() - 1
+        container = self.at[space].pop()
+        if not self.at[space]:
+            self.bits &= ~(1 << space)
+        return container, space
+
+
+def _windows(order: list[int], lengths: list[int], size: int) -> list[list[int]]:
+    """Windows of ``size`` for the texts in ``order`` (longest first), best fit."""
+    gaps, windows = _Gaps(), []
     for i in order:
-        n = lengths[i]
-        fitting = gaps >> n
-        if fitting:
-            space = n + (fitting & -fitting).bit_length() - 1
-            at = open_[space].pop()
-            if not open_[space]:
-                gaps &= ~(1 << space)
-        else:
-            at, space, used = used, capacity, used + 1
-        holds[i] = at
-        if space > n:
-            open_.setdefault(space - n, []).append(at)
-            gaps |= 1 << (space - n)
+        found = gaps.take(lengths[i])
+        if found is None:
+            found = len(windows), size
+            windows.append([])
+        windows[found[0]].append(i)
+        gaps.put(found[0], found[1] - lengths[i])
+    return windows
+
+
+def fill(lengths: list[int], capacity: int, tiers: tuple[int, ...]) -> list[int]:
+    """A container number for every length. ``tiers``: window sizes, ascending, the last of them ``capacity``."""
+    holds, gaps, used = [0] * len(lengths), _Gaps(), 0
+    routed: dict[int, list[int]] = {t: [] for t in tiers}
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        routed[next(t for t in tiers if t >= lengths[i])].append(i)
+    for tier in reversed(tiers):
+        left = []
+        for i in routed[tier]:
+            found = gaps.take(lengths[i])
+            if found is None:
+                left.append(i)
+            else:
+                holds[i] = found[0]
+                gaps.put(found[0], found[1] - lengths[i])
+        # What fits in no gap: windows of the tier, combined to containers; the shortest tier's are the containers.
+        windows = _windows(left, lengths, capacity if tier == tiers[0] else tier)
+        loads = [sum(lengths[i] for i in w) for w in windows]
+        for together in _windows(sorted(range(len(windows)), key=lambda w: -loads[w]), loads, capacity):
+            for w in together:
+                for i in windows[w]:
+                    holds[i] = used
+            gaps.put(used, capacity - sum(loads[w] for w in together))
+            used += 1
     return holds
 
 
-def _packed(capacity: int, tiers: tuple[int, ...], step: int):
+def _packed(capacity: int, tiers: tuple[int, ...], step: int, bits: int):
     def pack(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        parts = parts.sort_values(["doc_id", "part_no", "row"], ignore_index=True)
+        parts = parts.sort_values(["doc_id", "part_no", "n_tokens"], ignore_index=True)
         lengths = parts["n_tokens"].tolist()
         at = pd.Series(fill(lengths, capacity, tiers))
         load = parts["n_tokens"].groupby(at).sum().sort_values(ascending=False, kind="stable")
@@ -87,7 +130,7 @@ def _packed(capacity: int, tiers: tuple[int, ...], step: int):
         # Dealt to and fro, the fullest first, so that the groups' loads differ little.
         turn = [(k // steps) % 2 * (steps - 1 - 2 * (k % steps)) + k % steps for k in range(len(load))]
         group = dict(zip(load.index, turn))
-        base = int(key[0]) << 32
+        base = ((int(key[0]) << 20) + int(key[1])) << bits
         return parts.assign(
             container_id=at + base, step_group=at.map(group) + base, tier=[min(t for t in tiers if t >= n) for n in lengths]
         )[[c.split()[0] for c in PLACED.split(", ")]]
@@ -108,15 +151,22 @@ def pack_texts(
     A text is in one part unless it is longer than ``capacity``; then all its parts but the last fill a container each.
     Missing and blank texts are left out; equal and repeated rows are placed each for itself; an empty table gives no
     rows; a missing ``doc_id`` is kept as missing; further columns are ignored. ``group_containers``: containers a pack
-    group is expected to fill; ``step``: containers a step group.
+    group is expected to fill; ``step``: containers a step group. Texts go to groups by id, part and size, however the input is
+    partitioned; only a group that rows of one id make more than twice as large is dealt out further.
     """
     tiers = tuple(sorted(t for t in {*tiers, capacity} if t <= capacity))
     parts = written(token_parts(documents, capacity, vocabulary), "token-parts")
     tokens = parts.agg(F.sum("n_tokens")).first()[0] or 0
-    groups = max(1, round(tokens / (capacity * group_containers)))
-    # The written rows' numbers are the same at every reading; hashed, they spread copies and hot keys evenly.
-    dealt = parts.withColumn("row", F.monotonically_increasing_id()).withColumn("pack_group", F.pmod(F.xxhash64("row"), F.lit(groups)))
-    return dealt.groupBy("pack_group").applyInPandas(_packed(capacity, tiers, step), PLACED)
+    expected = capacity * group_containers
+    groups = max(1, round(tokens / expected))
+    dealt = parts.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "part_no", "n_tokens"), F.lit(groups)))
+    loads = dealt.groupBy("pack_group").agg(F.sum("n_tokens").alias("load")).where(F.col("load") > 2 * expected)
+    # At most half as many as groups. The written rows' numbers are the same at every reading.
+    loads = loads.select("pack_group", F.ceil(F.col("load") / expected).alias("parts"))
+    row = F.xxhash64(F.monotonically_increasing_id())
+    dealt = dealt.withColumn("row", row).join(loads, "pack_group", "left")
+    dealt = dealt.withColumn("part_group", F.pmod("row", F.coalesce("parts", F.lit(1)))).drop("row", "parts")
+    return dealt.groupBy("pack_group", "part_group").applyInPandas(_packed(capacity, tiers, step, (8 * group_containers).bit_length()), PLACED)
 
 
 def container_fill(placed: DataFrame, capacity: int = 2048) -> DataFrame:

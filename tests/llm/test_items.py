@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 
 from sparkloom.llm.packing import container_fill, fill, pack_texts, token_parts
-from sparkloom.llm.splitting import cut_sections, sections, split_oversized, split_text
+from sparkloom.llm.splitting import cut_files, cut_sections, split_oversized, split_text
 from sparkloom.llm.topn import top_n
 
 RISK = "risk_id bigint, review_id bigint, risk_type string, file_path string, line_number struct<start int, end int>, confidence double, created_at timestamp_ntz, rank int, is_bound boolean, _type string"
@@ -44,6 +44,16 @@ def test_top_n_empty_and_repeated(spark):
         best(spark, [item(1)], 0)
 
 
+def test_bounds_cut_before_the_ranking(spark, monkeypatch):
+    """A partition of better items sets a bound that drops another partition's items; the same without broadcasts."""
+    from sparkloom.llm import topn
+
+    rows = [item(i, confidence=0.9) for i in range(10)] + [item(i, confidence=0.1) for i in range(10, 20)] + [item(3, confidence=0.2, day=2)]
+    for limit in (1_000_000, -1):
+        monkeypatch.setattr(topn, "BROADCAST_ROWS", limit)
+        assert best(spark, rows) == {(0, 1), (1, 2), (2, 3)}
+
+
 def test_top_n_of_hot_groups_equals_brute_force(spark):
     rnd = random.Random(3)
     rows = [item(i, rnd.choice(["hot"] * 8 + ["x", "y"]), start=rnd.randrange(1, 4), confidence=rnd.choice([0.1, 0.5, 0.5, 0.9, None])) for i in range(3000)]
@@ -62,12 +72,12 @@ def test_top_n_of_hot_groups_equals_brute_force(spark):
 
 
 def joined(text, limit, overlap):
-    pieces = [text[max(0, a - overlap) : b] for a, b in split_text(text, limit, overlap)]
+    pieces = [text[max(0, a - overlap) : b] for a, b in split_text(text, limit, overlap)[0]]
     assert all(len(p) <= limit for p in pieces)
-    for before, after, (a, _) in zip(pieces, pieces[1:], split_text(text, limit, overlap)[1:]):
+    for before, after, (a, _) in zip(pieces, pieces[1:], split_text(text, limit, overlap)[0][1:]):
         shared = min(overlap, a)
         assert after[:shared] == before[-shared:] or not shared
-    return pieces[0] + "".join(p[min(overlap, a) :] for p, (a, _) in zip(pieces[1:], split_text(text, limit, overlap)[1:]))
+    return pieces[0] + "".join(p[min(overlap, a) :] for p, (a, _) in zip(pieces[1:], split_text(text, limit, overlap)[0][1:]))
 
 
 def test_split_round_trip_on_random_diffs():
@@ -80,16 +90,25 @@ def test_split_round_trip_on_random_diffs():
 
 def test_split_prefers_natural_ends():
     file = "diff --git a/x b/x\n" + "+abc\n" * 10
-    ends = [b for _, b in split_text(file * 6, 150, 10)]
+    ends = [b for _, b in split_text(file * 6, 150, 10)[0]]
     assert all(e % len(file) == 0 for e in ends)
     hunks = "diff --git a/x b/x\n" + ("@@ -1 +1 @@\n" + "+abc\n" * 10) * 5
-    assert all(hunks[b:].startswith("@@") or b == len(hunks) for _, b in split_text(hunks, 150, 10))
+    assert all(hunks[b:].startswith("@@") or b == len(hunks) for _, b in split_text(hunks, 150, 10)[0])
 
 
-def test_sections():
-    text = "mail\ndiff --git a b\r\nx\n diff --git no\ndiff --cc q\nrest"
-    assert [text[a:b] for a, b in sections(text)] == ["diff --git a b\r\nx\n diff --git no\n", "diff --cc q\nrest"]
-    assert sections("") == [] and sections("diff --gitx") == [] and len(sections("diff --git ")) == 1
+def test_sections_that_cannot_stay_whole():
+    def cut(text, limit=40):
+        return [k for _, k in cut_files(text, split_text(text, limit, 5)[1], limit)]
+
+    small, big, edge = "diff --git a b\nx\n", "diff --git c d\n" + "+y\n" * 20, "diff --cc q\n" + "z" * 28
+    assert cut("mail\n" * 20 + small + big + small) == [2] and cut(small * 9) == [] and cut("mail\n" * 20) == [] and cut(big + " diff --git no\n") == [1]
+    assert len(edge) == 40 and cut(small + edge) == [] and cut(small + edge + "z") == [2]
+    rnd = random.Random(3)
+    for _ in range(100):
+        parts = ["diff --git x\n" + "+l\n" * rnd.randrange(25) for _ in range(rnd.randrange(1, 8))]
+        text = "head\n" + "".join(parts)
+        want = [k for k, p in enumerate(parts, 1) if len(p) > 40] if len(text) > 40 else []
+        assert cut(text) == want
 
 
 STATE = "review_id bigint, diff_context string, updated_at timestamp_ntz, piece string, overlap string"
@@ -128,6 +147,33 @@ def test_fill_never_overflows():
         assert len(loads) <= 1.3 * sum(lengths) / 100 + 2
 
 
+def test_tiers_change_the_result_and_cost_little():
+    rnd = random.Random(7)
+    differing = 0
+    for _ in range(40):
+        lengths = [rnd.choice([rnd.randrange(1, 12), rnd.randrange(1, 40), rnd.randrange(40, 101)]) for _ in range(rnd.randrange(50, 300))]
+        tiered, plain = fill(lengths, 100, (25, 50, 100)), fill(lengths, 100, (100,))
+        groups = lambda at: {tuple(i for i, k in enumerate(at) if k == c) for c in set(at)}
+        differing += groups(tiered) != groups(plain)
+        assert len(set(tiered)) <= len(set(plain)) * 1.05 + 1
+    assert differing > 20
+
+
+def test_containers_do_not_depend_on_partitions(spark):
+    rnd = random.Random(8)
+    rows = [(i, " ".join("word" for _ in range(rnd.randrange(1, 60)))) for i in range(300)]
+    made = []
+    for parts in (1, 7):
+        placed = pack_texts(documents(spark, *rows).repartition(parts), capacity=100, tiers=(25, 50), group_containers=20, step=4)
+        made.append({(r.doc_id, r.container_id, r.step_group) for r in placed.collect()})
+    assert made[0] == made[1]
+
+
+def test_rows_of_one_id_are_dealt_out(spark):
+    placed = pack_texts(documents(spark, *[(7, "one two three four five six")] * 600), capacity=50, tiers=(25,), group_containers=4, step=2).collect()
+    assert len(placed) == 600 and len({r.container_id >> 6 for r in placed}) > 5 and len({r.container_id for r in placed}) < 600 * 6 / 50 * 1.4
+
+
 def documents(spark, *rows):
     return spark.createDataFrame([(i, t, 1, "clash") for i, t in rows], "doc_id bigint, text string, n_tokens int, container_id string")
 
