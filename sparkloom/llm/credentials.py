@@ -42,16 +42,21 @@ def dictionary(path: str) -> dict[str, float]:
     return {w: math.log(2000) for w in _OWN_WORDS} | costs
 
 
+@functools.cache
+def _longest(path: str) -> int:
+    return max(map(len, dictionary(path)))
+
+
 @functools.lru_cache(1 << 16)
 def unexplained(letters: str, path: str) -> int:
     """Letters of a lower-case run that its cheapest segmentation leaves outside of words."""
-    words, n = dictionary(path), len(letters)
+    words, n, longest = dictionary(path), len(letters), _longest(path)
     if letters in words:
         return 0
     cost, rest = [0.0] * (n + 1), [0] * (n + 1)
     for end in range(1, n + 1):
         cost[end], rest[end] = cost[end - 1] + _UNKNOWN, rest[end - 1] + 1
-        for begin in range(max(0, end - 16), end - 2):
+        for begin in range(max(0, end - longest), end - 2):
             c = words.get(letters[begin:end])
             # Three letters are a word by chance more often than not: they must save their cost twice.
             if c is not None and cost[begin] + c + (8 if end - begin == 3 else 0) < cost[end]:
@@ -105,7 +110,7 @@ def names_digest(name: str) -> bool:
 def is_secret(value: str, strong: bool, digest: bool, path: str) -> bool:
     """Whether a literal is a credential: beside a name that holds one (``strong``) or beside any other."""
     n = len(value)
-    if n < 6 or n > 4096 or value.isspace():
+    if not n or value.isspace():
         return False
     if _TOKEN.fullmatch(value):
         return not re.search(r"(.)\1{5,}", value)
@@ -125,15 +130,18 @@ def is_secret(value: str, strong: bool, digest: bool, path: str) -> bool:
 
 # --- Contexts -------------------------------------------------------------------------------------------------------
 
+#: Names bound to a literal, read backwards from its quote, so that what lies between may be of any length.
 _NAMED = [
     re.compile(p)
     for p in (
-        r"""["']([\w.-]+)["']\s*(?:[:,]|=>)\s*$""",  # "name": or get("NAME",
-        r"/\*\s*([\w-]+)\s*[:=]?\s*\*/\s*$",  # /* pw */
-        r"([\w$-]+)[\"'\])]*\s*(?:\|\||\?\?|\bor)\s*$",  # env.NAME ||
-        r"([\w$-]+)[\"'\])]*\s*(?::\s*[\w<>\[\]?| ]+?|\s+string)?\s*(?::=|=>|=|:)\s*(?:[brfuBRFU]{1,2}|[\w.]*\(|\[\]byte\(|new \w+\()?\s*$",
+        r"""[^\S\n]*(?:[:,]|>=)[^\S\n]*["']([\w.-]+)["']""",  # "name": or get("NAME",
+        r"[^\S\n]*/\*[^\S\n]*[:=]?[^\S\n]*([\w-]+)[^\S\n]*\*/",  # /* pw */
+        r"[^\S\n]*(?:\|\||\?\?|ro\b)[^\S\n]*[\"'\])]*([\w$-]+)",  # env.NAME ||
+        r"[^\S\n]*(?:[brfuBRFU]{1,2}(?=[^\S\n]*[=:>])|\([\w.]*+|\(etyb\]\[|\(\w+ wen)?[^\S\n]*(?:=:|>=|=|:)[^\S\n]*(?:[\w<>\[\]?| ]+?[^\S\n]*:[^\S\n]*|gnirts[^\S\n]+)?[\"'\])]*([\w$-]+)",
     )
 ]
+_LINE_BEGIN = re.compile(r"[ \t(+]*(?:\n|\Z)")
+_BEFORE_BREAK = re.compile(r"\s*(?=[=(:])[( \t]*")
 _REMARK = re.compile(
     r"(?i)(?<![\w-])(?:--?)?(?:[\w-]*(?:password|passwort|kennwort|passwd|passphrase|secret|token|credentials?)|pwd|pw|(?:\w+[ _-])?key|schlüssel)\b(?:\s*[:=]\s*|\s+(?:is|was|ist|war|lautet|als|as)\s*:?\s+|\s+)[\"'`]?([^\s\"'`<>]{8,})"
     r"|(?:密码|口令|密钥|令牌|凭据)\s*(?:[:：=]|是|为)?\s*[\"'`“]?([^\s\"'`<>，。；”]{8,})"
@@ -145,10 +153,15 @@ _SPEAKING = re.compile(r"(?i)pass|key|token|secret|pwd|\bpw\b|credential|kennwor
 _USERINFO = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@\"'`<>]*:([^\s/@\"'`<>]+)@[\w.\[-]")
 _SCHEME = re.compile(r"(?i)(?:\bauthorization\s*[:=]\s*)?\b(bearer|basic|token|apikey)\s+([A-Za-z0-9+/=._~:!*%-]{8,})\s*$")
 _HEADED = re.compile(r"(?:[Bb]earer|BEARER|[Bb]asic|BASIC|[Tt]oken|TOKEN|[Aa]pi[Kk]ey|APIKEY)\s+\S{8,}\s*$")
+#: ``name=value`` pairs of a connection string.
+_PAIRS = re.compile(r"(?:^|(?<=[;\s&?]))([A-Za-z][\w.-]*(?: [A-Za-z][\w.-]*)?)[ \t]*=[ \t]*([^\s;&\"'`<>]+)")
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----((?:\\r|\\n|[\sA-Za-z0-9+/=:,*+\"'#;-])*?)(-----END|\Z)")
 #: A digit, a sign of passwords, or upper case after lower: what any candidate has.
 _MIXED = re.compile(r"[\d!?%*&#^+=@$~]|[a-z][A-Z]|[A-Z]{2}[a-z]|[A-Z]{12}")
 _CONTINUED = re.compile(r"""\s*(?:\+|\.\.|\\)?\s*["'`]([^"'`\n]*)["'`]""")
+_JOINED = re.compile(r"""\s*\+\s*["'`]([^"'`\n]*)["'`]""")
+#: A setting wherever it stands, several on a line.
+_QUOTED_SETTING = re.compile(r"""["']([A-Za-z_][\w.-]*)["'][ \t]*:[ \t]*["']([^"'\n]+)["']""")
 _SETTING = re.compile(r"""^[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]+)?["']?([A-Za-z_][\w.-]*)["']?[ \t]*[=:][ \t]*(?:"([^"\n]*)"|'([^'\n]*)'|([^\s"'\n][^\n]*?))[ \t]*,?[ \t]*\r?$""", re.M)
 
 
@@ -177,7 +190,10 @@ def _inside(text: str, at: int, path: str, remarks: bool, found: list) -> None:
         password = plain.partition(":")[2]
         if (password and not _PLACEHOLDER.fullmatch(password)) or (not plain and is_secret(value, True, False, path) and residual(value, path) > 5):
             found.append(("header", at + scheme.start(2), at + scheme.end(2), at + scheme.start(2)))
-            return
+    if "=" in text and not remarks:
+        for m in _PAIRS.finditer(text):
+            if holds_credential(m[1].replace(" ", "_")) and is_secret(m[2], True, False, path) and residual(m[2], path) > 1:
+                found.append(("pair", at + m.start(2), at + m.end(2), at + m.start(2)))
     if remarks and _SPEAKING.search(text):
         for m in _REMARK.finditer(text):
             value = m[m.lastindex].rstrip(".,;)")
@@ -189,20 +205,19 @@ def _inside(text: str, at: int, path: str, remarks: bool, found: list) -> None:
                 found.append(("remark", at + m.start(), at + m.end(), at + m.start()))
 
 
-def _name_before(text: str, at: int) -> str | None:
-    """Name that the literal at ``at`` is bound to, from its line or, at a line's beginning, the line before."""
-    begin = text.rfind("\n", 0, at) + 1
-    left = text[max(begin, at - 160) : at]
-    if not left.strip(" \t(+"):
-        before = text[max(0, begin - 160) : max(0, begin - 1)].rstrip()
-        left = before[before.rfind("\n") + 1 :]
-        if left[-1:] not in ("=", "(", ":"):
+def _name_before(backwards: str, at: int) -> str | None:
+    """Name that the literal is bound to that begins where ``backwards[at:]`` does: from its line or, at a line's beginning,
+    from the line before."""
+    begins = _LINE_BEGIN.match(backwards, at)
+    if begins:
+        before = _BEFORE_BREAK.match(backwards, begins.end())
+        if not before:
             return None
-        left = left.rstrip("( \t")
+        at = before.end()
     for pattern in _NAMED:
-        m = pattern.search(left)
+        m = pattern.match(backwards, at)
         if m:
-            return m[1]
+            return m[1][::-1]
     return None
 
 
@@ -221,6 +236,9 @@ def spans(text: str, path: str | None, words: str) -> list[tuple[str, int, int,
                 found.append(("setting", m.start(group), m.start(group) + len(value), m.start(group)))
             elif value:
                 _inside(value, m.start(group), words, False, found)
+        for m in _QUOTED_SETTING.finditer(text):
+            if is_secret(m[2], holds_credential(m[1]), names_digest(m[1]), words):
+                found.append(("setting", m.start(2), m.end(2), m.start(2)))
         for m in remarks.finditer(text):
             _inside(m[0], m.start(), words, True, found)
         if "-----BEGIN" in text:
@@ -229,31 +247,33 @@ def spans(text: str, path: str | None, words: str) -> list[tuple[str, int, int,
             if "PRIVATE KEY" in _decoded(value[0]):
                 found.append(("private key", value.start(), value.end(), value.start()))
         return _distinct(found)
-    joined = 0
+    joined, backwards = 0, text[::-1]
     for m in TOKENS[language].finditer(text):
         token = m[0]
         if m["c"] is not None:
-            if len(token) > 12:
-                _inside(token, m.start(), words, True, found)
+            _inside(token, m.start(), words, True, found)
             continue
-        if m.start() < joined or len(token) < 8 and text[m.end() : m.end() + 3].lstrip()[:1] != "+":
+        if m.start() < joined or len(token) < 3:
             continue
         quote = 3 if token[:3] in ('"""', "'''") else 1
         value, at = token[quote : -quote or None], m.start() + quote
         if "://" in value or "-----BEGIN" in value or " " in value or "\n" in value:
             _inside(value, at, words, "\n" in value or "--" in value, found)
             continue
-        follows = text[m.end() : m.end() + 40].lstrip()[:1]
-        if follows != "+" and not _MIXED.search(value):
-            continue
-        name = _name_before(text, m.start())
-        if name is None:
+        more = _CONTINUED.match(text, m.end())
+        if not more and not _MIXED.search(value):
             continue
+        name = _name_before(backwards, len(text) - m.start())
         end, whole = m.end(), value
-        more = _CONTINUED.match(text, end) if follows in ("+", '"', "'") and follows else None
         while more:
             whole, end = whole + more[1], more.end()
-            more = _CONTINUED.match(text, end) if text[end : end + 40].lstrip()[:1] == "+" else None
+            more = _JOINED.match(text, end)
+        if name is None:
+            # No name tells what it is: only a token's own format does.
+            if _TOKEN.fullmatch(whole) and is_secret(whole, False, False, words):
+                found.append(("token", at, at + len(value), at))
+                joined = end
+            continue
         if is_secret(whole, holds_credential(name), names_digest(name), words):
             found.append(("literal", at, at + len(value), at))
             for piece in re.finditer(r"""["'`]([^"'`\n]*)["'`]""", text[m.end() : end]):
