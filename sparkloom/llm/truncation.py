@@ -2,8 +2,9 @@
 
 Three kinds of evidence meet in one verdict:
 
-* Self-join by prefix. Distinct texts are sorted; a text is a strict prefix of a longer one exactly if it is a prefix of
-  its successor. The same join on words finds last words that occur nowhere else but begin longer words of the corpus.
+* Self-join by prefix. Prefixes of doubling lengths are hashed; a text can only begin a longer one if that has the same hash
+  at the greatest such length. Texts that share one are sorted: a text is a strict prefix of a longer one exactly if it is
+  a prefix of its successor. The same join on words finds last words that occur nowhere else but begin longer words.
 * Limits. A source whose longest texts pile up at one length (in characters or in UTF-8 bytes) cuts there.
 * The ending's shape: complete, stopped inside something, or open (a list item, a sign-off: complete as it stands, unless
   one of the two above says otherwise).
@@ -22,8 +23,11 @@ from pyspark.sql.window import Window
 from sparkloom.sources.shared import written
 
 SHAPES = "doc_id bigint, source string, n_chars int, n_bytes int, key string, shape string, tail string"
-#: Characters by which distinct texts are dealt into ranges; within a range whole texts are sorted.
-RANGE_CHARS = 256
+#: Characters by which distinct texts are dealt into ranges, doubled where more than ``HOT_TEXTS`` share them; within a
+#: range whole texts are sorted.
+RANGE_CHARS, HOT_TEXTS = 256, 100_000
+#: Rows of keys up to which they are broadcast; beyond it their joins shuffle.
+BROADCAST_ROWS = 1_000_000
 
 #: Notes that a text was cut, in the languages of the corpus.
 _NOTE = re.compile(r"\s*[\[(<](?:\.\.\.|…|[^\])>\n]{0,12}\b)?(?:truncated|more|cut off|snipp?ed|continued|abridged|gekürzt|abgeschnitten|mehr|已截断|截断|更多)[^\])>\n]{0,12}[\])>]$", re.I)
@@ -65,8 +69,12 @@ def shape_of(text: str) -> str:
             return "open"
         return "open" if "\n" not in before and _words(before) <= 8 and not re.search(r"[.!?。！？]\s*\S", before) else "cut"
     if line.lstrip().startswith("|"):
-        rows = [x for x in lines[-50:] if x.lstrip().startswith("|")]
-        return "complete" if line.endswith("|") and line.count("|") >= rows[0].count("|") else "cut"
+        head = line
+        for other in reversed(lines[:-1]):
+            if not other.lstrip().startswith("|"):
+                break
+            head = other
+        return "complete" if line.endswith("|") and line.count("|") >= head.count("|") else "cut"
     if re.match(r"^\s*(?://|#|\*|>)*\s*#{1,6} \S", line) and len(lines) > 1:
         return "cut"  # a heading of which the text is lost
     if _URL.search(line):
@@ -108,7 +116,7 @@ def shape_of(text: str) -> str:
 def _shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         tails = [_LAST_WORD.search(t.rstrip()) for t in batch["text"]]
-        yield batch.drop(columns="text").assign(shape=[shape_of(t) for t in batch["text"]], tail=[m[0].lower() if m and m[0].isascii() else None for m in tails])
+        yield batch.drop(columns="text").assign(shape=[shape_of(t) for t in batch["text"]], tail=[m[0].lower() if m else None for m in tails])
 
 
 def _edge(rows: list[tuple]) -> pd.DataFrame:
@@ -134,10 +142,50 @@ def _successors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _edge([(last[1], part, first, last[0])])
 
 
+def _small(rows: DataFrame, label: str) -> DataFrame:
+    """Rows written once, and broadcast if they are few."""
+    rows = written(rows, label)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def sharing_texts(texts: DataFrame) -> DataFrame:
+    """Distinct ``(key, text)`` of the texts that share a prefix hash with a longer or shorter one that may begin them.
+
+    Of every text the prefixes of 1, 2, 4, .. characters are hashed. A text is an opening at its greatest such length; a hash
+    is kept if an opening shorter than the longest text with this hash has it.
+    """
+    length = F.char_length("text")
+    powers = F.transform(F.sequence(F.lit(0), F.floor(F.log2(length)).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+    hashed = F.transform(powers, lambda p: F.struct(p.alias("p"), F.xxhash64(F.left("text", p)).alias("h")))
+    rows = texts.where(length > 0).select("key", length.alias("n"), F.explode(hashed).alias("x")).select("key", "n", "x.p", "x.h")
+    rows = written(rows, "prefix-hashes")
+    opening = F.when(F.col("n") < 2 * F.col("p"), F.col("n"))
+    shared = rows.groupBy("p", "h").agg(F.min(opening).alias("opening"), F.max("n").alias("longest")).where("opening < longest")
+    shared = _small(shared.select("p", "h", "opening"), "shared-prefixes")
+    # A text as long as the shortest opening or longer may be begun by it, an opening may begin others.
+    keys = rows.join(shared, ["p", "h"]).where("n >= opening").select("key").distinct()
+    return texts.join(_small(keys, "sharing"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+
+
+def _ranged(distinct: DataFrame, chars: int, hot: int) -> DataFrame:
+    """Texts with the prefix ``at`` that they are put in order by: ``chars`` characters, or twice as many as often as more than
+    ``hot`` texts share them. Texts that share ``chars`` characters have prefixes of one length, so that the order is theirs."""
+    rows = distinct.withColumn("chars", F.lit(chars))
+    while True:
+        shared = rows.where(F.length("text") > F.col("chars")).groupBy("chars", F.xxhash64(F.left("text", F.col("chars"))).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+        crowded = written(shared.where((F.col("n") > hot) & (F.col("chars") == chars)).select("h"), "hot-prefixes")
+        if crowded.isEmpty():  # at most one row for ``hot`` texts
+            return rows.withColumn("at", F.left("text", F.col("chars"))).drop("chars")
+        met = F.when(F.col("chars") == chars, F.xxhash64(F.left("text", F.col("chars"))))
+        rows = rows.withColumn("h", met).join(F.broadcast(crowded.withColumn("more", F.lit(2 * chars))), "h", "left")
+        rows = rows.withColumn("chars", F.coalesce("more", "chars")).drop("h", "more")
+        chars *= 2
+
+
 def strict_prefixes(texts: DataFrame) -> DataFrame:
     """Keys of the texts (``key``, ``text``) that are strict prefixes of a longer one; each once, copies or not."""
-    distinct = texts.groupBy("key").agg(F.first("text").alias("text"))
-    ranged = distinct.repartitionByRange(F.left("text", F.lit(RANGE_CHARS))).sortWithinPartitions("text")
+    distinct = written(sharing_texts(texts), "sharing-texts")
+    ranged = _ranged(distinct, RANGE_CHARS, HOT_TEXTS).repartitionByRange("at").sortWithinPartitions("text").drop("at")
     rows = written(ranged.mapInPandas(_successors, "key string, part int, first string, last string"), "prefixes")
     # One row per partition: its last text against the first of the next partition that holds any. Only the partitions'
     # numbers are put in order in one task; the texts meet in a join.
@@ -149,11 +197,17 @@ def strict_prefixes(texts: DataFrame) -> DataFrame:
 
 
 def partial_words(texts: DataFrame, tails: DataFrame) -> DataFrame:
-    """Of the last words ``tails`` (``tail``) those that stand nowhere else but begin longer words of the texts."""
-    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}_])[a-z]{2,40}(?![\p{L}\p{N}_])"), F.lit(0))).alias("word"))
+    """Of the last words ``tails`` (``tail``) those that stand nowhere else but begin longer words of the texts.
+
+    Words are runs of letters of any script and length, in lower case. Only their prefixes of lengths that a last word has
+    are looked up; the driver sees these lengths, at most as many as the longest last word has letters.
+    """
+    last = written(tails.where("tail is not null").groupBy("tail").agg(F.count(F.lit(1)).alias("as_tail")), "tails")
+    lengths = sorted(r[0] for r in last.select(F.length("tail")).distinct().collect())
+    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}_])\p{L}+(?![\p{L}\p{N}_])"), F.lit(0))).alias("word"))
     counts = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")  # looked up twice, counted once
-    last = tails.where("tail is not null").groupBy("tail").agg(F.count(F.lit(1)).alias("as_tail"))
-    begun = counts.where("n > 1").select("word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("k")).select(F.left("word", "k").alias("tail")).distinct()
+    cut = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda k: k < F.length("word"))
+    begun = counts.where("n > 1").select("word", F.explode(cut).alias("k")).select(F.left("word", F.col("k")).alias("tail")).distinct()
     elsewhere = counts.withColumnRenamed("word", "tail")
     return last.join(begun, "tail", "left_semi").join(elsewhere, "tail", "left").where("coalesce(n, 0) <= as_tail").select("tail")
 

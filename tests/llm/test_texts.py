@@ -5,6 +5,7 @@ import random
 import pytest
 
 from sparkloom.llm.leaks import SEED, Patterns, leaked_items, leaked_passages, passage, words_of
+from sparkloom.llm import truncation
 from sparkloom.llm.truncation import cut_rates, judged, shape_of, strict_prefixes
 
 ITEM = (
@@ -132,7 +133,21 @@ def test_complete_texts_at_the_limit_are_kept(spark):
     assert not any(r.is_cut for r in verdicts(spark, rows).collect())
 
 
-def test_strict_prefixes_equal_brute_force(spark):
+def test_long_tables_and_foreign_words(spark):
+    table = "| a | b |\n|---|---|\n" + "| 1 | 2 |\n" * 90
+    assert shape_of(table + "| 1 |") == "cut" and shape_of(table + "| 1 | 2 |") == "complete" and shape_of("| x |\n\n" + table + "| 1 | 2 |") == "complete"
+    rows = [
+        (1, "Gut.\n\n- späte Uhr\n- kalte Prüf", "a"), (2, "Die Prüfung und noch eine Prüfung laufen.", "a"), (3, "Gut.\n\n- späte Uhr\n- kalte Prüfung", "a"),
+        (4, "Ok.\n\n- late timer\n- cold " + "w" * 60, "b"), (5, "The " + "w" * 90 + " and " + "w" * 90 + " are open.", "b"),
+    ]
+    assert {r.doc_id for r in verdicts(spark, rows).where("is_cut").collect()} == {1, 4}
+
+
+@pytest.mark.parametrize("hot,chars,few", [(100_000, 256, 1_000_000), (2, 1, 1_000_000), (5, 2, -1)])
+def test_strict_prefixes_equal_brute_force(spark, monkeypatch, hot, chars, few):
+    """Also where many texts share their beginnings, and where nothing is broadcast."""
+    for name, value in (("HOT_TEXTS", hot), ("RANGE_CHARS", chars), ("BROADCAST_ROWS", few)):
+        monkeypatch.setattr(truncation, name, value)
     rnd = random.Random(6)
     texts = sorted({"".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 9))) for _ in range(200)} | {"é", "é中", "é中x", "z" * 300, "z" * 400})
     rows = spark.createDataFrame([(t, t) for t in texts] + [("ab", "ab")] * 3, "key string, text string").repartition(5)
