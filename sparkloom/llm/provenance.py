@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,25 +41,28 @@ _NAME, _NUMBER = re.compile(r"\b[^\W\d]\w*+"), re.compile(r"\b\d[\w.]*+")
 _DIGITS = re.compile(r"\d+")
 
 
-_STOPS = {True: re.compile(r"[()\[\]{};\n]"), False: re.compile(r"[()\[\]{}\n;]")}
+_STOPS = {True: re.compile(r"[{};\n]"), False: re.compile(r"[\n;]")}
 
 
 def emitted(code: str, braces: bool) -> list[tuple[int, int]]:
     """Spans of the lines that code without comments and literals is emitted as: statements end at semicolons and at line
     ends outside of parentheses, with braces also at every block edge."""
-    spans, begun, depth = [], 0, 0
+    spans, begun, seen, depth, count = [], 0, 0, 0, code.count
     for m in _STOPS[braces].finditer(code):
         c, at = m[0], m.start()
-        if c in "([" or c == "{" and not braces:
-            depth += 1
-        elif c in ")]" or c == "}" and not braces:
-            depth = max(0, depth - 1)
-        elif c == "}" and begun < at:
-            spans.append((begun, at))
-            begun = at
-        elif c in "{;" and (c == "{" or not depth) or c == "\n" and not depth:
-            spans.append((begun, m.end()))
-            begun = m.end()
+        if seen < at:
+            depth += count("(", seen, at) + count("[", seen, at) - count(")", seen, at) - count("]", seen, at)
+            if not braces:
+                depth += count("{", seen, at) - count("}", seen, at)
+            depth = max(0, depth)
+        seen = at + 1
+        if c == "}":
+            if begun < at:
+                spans.append((begun, at))
+                begun = at
+        elif c == "{" or not depth:
+            spans.append((begun, seen))
+            begun = seen
     spans.append((begun, len(code)))
     return spans
 
@@ -87,23 +89,31 @@ def features(text: str, language: str) -> tuple:
     bare.append(text[last:])
     shown, code = "".join(whole), "".join(bare)
     spans = emitted(code, language in ("typescript", "go", "java"))
-    forms = [(" ".join(shown[a:b].split()), shown[a:b].strip("\n")) for a, b in spans]
-    forms = [(form, layout) for form, layout in forms if form]
-    canonical = "\n".join(form for form, _ in forms)
+    forms, layouts = [], []
+    for a, b in spans:
+        layout = shown[a:b]
+        form = " ".join(layout.split())
+        if form:
+            forms.append(form)
+            layouts.append(layout.strip("\n"))
+    canonical = "\n".join(forms)
     lines = sum(1 for x in text.split("\n") if x.strip())
     expansion = len(forms) / max(1, lines)
     # Lines with words that are the same but for their numbers, each form at least four times and always laid out alike.
-    met: dict[str, Counter] = {}
-    for form, layout in forms:
-        if len(form) > 8:
-            met.setdefault(_DIGITS.sub("0", form), Counter())[_DIGITS.sub("0", layout)] += 1
-    worded = sum(map(Counter.total, met.values()))
-    alike = sum(n for layouts in met.values() for n in [layouts.total()] if n >= 4 and len(layouts) == 1)
-    uniform = alike / worded if worded >= LEAST_LINES else 0.0
+    uniform = 0.0
+    if len(forms) >= LEAST_LINES:
+        met: dict[str, list] = {}
+        for form, layout in zip(_DIGITS.sub("0", canonical).split("\n"), _DIGITS.sub("0", "\0".join(layouts)).split("\0")):
+            if len(form) > 8:
+                seen = met.setdefault(form, [0, layout, True])
+                seen[0] += 1
+                seen[2] = seen[2] and seen[1] == layout
+        worded = sum(n for n, *_ in met.values())
+        uniform = sum(n for n, _, alike in met.values() if n >= 4 and alike) / worded if worded >= LEAST_LINES else 0.0
     names, numbers = len(_NAME.findall(code)), len(_NUMBER.findall(code))
     tokens = literals + numbers + names
     # Dominant are literals that are most of the tokens and most of the characters.
-    told = 1 - sum(map(len, _NUMBER.sub("", code).split())) / max(1, sum(len("".join(form.split())) for form, _ in forms))
+    told = 1 - sum(map(len, _NUMBER.sub("", code).split())) / max(1, len(canonical.replace(" ", "").replace("\n", "")))
     literal = min((literals + numbers) / tokens, told) if tokens >= LEAST_TOKENS else 0.0
     # A notice is a comment before the first or after the last line of code.
     first, end = 0, len(text)
