@@ -14,6 +14,9 @@ RISKY_WORDS = (
     "auth permission acl scope role token secret csrf oauth jwt signature sql deserialize pickle subprocess shell cmd async await promise "
     "thread lock transaction retry queue task cron cache session cookie singleton global"
 ).split()
+#: Further risky words: statements, which count with the blank and the word behind them, and what is no plain word (fixed values).
+RISKY_STATEMENTS = "select insert update delete".split()
+RISKY_FORMS = [r"yaml\.load", r"feature\s*flag"]
 API_WORDS = "export public def class interface type".split()
 #: Names by which data enters, acts and is made harmless, by language (fixed values).
 TAINT_NAMES = {
@@ -23,6 +26,18 @@ TAINT_NAMES = {
 }
 
 
+#: Paths that reviews leave out: dependencies, build output, logs, binaries, media and documents (fixed values).
+DEFAULT_EXCLUDES = [
+    "**/package-lock.json", "**/yarn.lock", "**/pnpm-lock.yaml", "**/bun.lockb", "**/Gemfile.lock", "**/Cargo.lock", "**/go.sum", "**/go.mod", "**/poetry.lock", "**/Pipfile.lock", "**/*.lock",
+    "**/dist/**", "**/build/**", "**/out/**", "**/.next/**", "**/.nuxt/**", "**/.svelte-kit/**", "**/.cache/**", "**/coverage/**", "**/node_modules/**", "**/generated/**", "**/@generated/**",
+    "**/__generated__/**", "**/__generated/**", "**/_generated/**", "**/gen/**", "**/@gen/**", "**/__gen__/**", "**/__gen/**", "**/_gen/**",
+    "**/*.log",
+    "**/*.exe", "**/*.dll", "**/*.so", "**/*.dylib", "**/*.class", "**/*.o", "**/*.a", "**/*.wasm", "**/*.jar", "**/*.war", "**/*.zip", "**/*.tar", "**/*.gz", "**/*.bz2", "**/*.xz", "**/*.7z", "**/*.rar",
+    "**/*.png", "**/*.jpg", "**/*.jpeg", "**/*.gif", "**/*.bmp", "**/*.tiff", "**/*.webm", "**/*.svg", "**/*.pdf", "**/*.doc", "**/*.docx", "**/*.xls", "**/*.xlsx", "**/*.ppt", "**/*.pptx",
+    "**/*.ttf", "**/*.otf", "**/*.woff", "**/*.woff2",
+]
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 
@@ -79,6 +94,32 @@ def count_words(text: Column, listed: list[str]) -> Column:
     return F.size(F.filter(all_words, lambda w: w.isin(*listed)))
 
 
+def count_danger(text: Column) -> Column:
+    """Occurrences of risky words, statements and forms (E4), by ASCII word bounds."""
+    words_ = "|".join([*RISKY_WORDS, *RISKY_FORMS])
+    statements = "|".join(RISKY_STATEMENTS)
+    return F.regexp_count(text, F.lit(rf"(?i)(?<![A-Za-z0-9_])(?:(?:{words_})(?![A-Za-z0-9_])|(?:{statements})\s(?=[A-Za-z0-9_]))"))
+
+
+def line_label(start: Column, end: Column) -> Column:
+    """A range of lines as ``start:end``, a single line as its number."""
+    return F.when(start == end, start.cast("string")).otherwise(F.concat_ws(":", start.cast("string"), end.cast("string")))
+
+
+def asset_key(repo: Column, branch: Column, commit: Column, longest: int = 200) -> Column:
+    """Key of a repository's map at a commit (E15); a long one has the start of its MD5 instead of branch and commit."""
+    plain = lambda c, missing: F.translate(F.coalesce(F.nullif(c, F.lit("")), F.lit(missing)), "/\\", "__")
+    name = F.regexp_replace(plain(repo, "unknown_repo"), r"\.\.", "")
+    key = F.concat(F.lit("repo_map_"), name, F.lit("_"), plain(branch, "unknown_branch"), F.lit("_"), plain(commit, "unknown_commit"))
+    return F.when(F.length(key) > longest, F.concat(F.lit("repo_map_"), name, F.lit("_"), F.left(F.md5(key), F.lit(12)))).otherwise(key)
+
+
+def byte_range(node: Column) -> Column:
+    """``struct(first, last)`` of a node id ``prefix:first-last``, zeros where it is none."""
+    part = lambda k: F.coalesce(F.expr("1") * F.regexp_extract(node, r"^[^:]*:([0-9]+)-([0-9]+)$", k).try_cast("bigint"), F.lit(0))
+    return F.struct(part(1).alias("first"), part(2).alias("last"))
+
+
 def heuristic_summary(text: Column) -> list[Column]:
     """First line and what the code seems to do (E10), with the intended word bounds."""
     first = F.trim(F.substring_index(F.trim(text), "\n", 1))
@@ -108,9 +149,16 @@ def glob_regex(glob: str) -> str:
     return f"^{out}$"
 
 
-def excluded(path: Column, globs: list[str]) -> Column:
-    """Whether any glob matches (F1)."""
-    return reduce(lambda a, b: a | b, (plain_path(path).rlike(glob_regex(g)) for g in globs))
+def any_glob(path: Column, globs: list[str]) -> Column:
+    """Whether any glob matches the path: one pattern for all of them."""
+    if not globs:
+        return F.lit(False)
+    return plain_path(path).rlike("|".join(map(glob_regex, globs)))
+
+
+def excluded(path: Column, globs: list[str] = DEFAULT_EXCLUDES, included: list[str] = []) -> Column:
+    """Whether a path is left out (F1): an exclude glob matches and no include glob does."""
+    return any_glob(path, globs) & ~any_glob(path, included)
 
 
 def severity_rank(severity: Column) -> Column:

@@ -5,19 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sparkloom.functions.text import language
+from sparkloom.operators.import_specs import even
 from sparkloom.operators.textsearch import imports
 
 _TS = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js"]
 
 
-def _without_dots(path):
-    """``x/./y`` and up to two ``x/../y`` evened out."""
-    path = F.regexp_replace(path, r"/\./", "/")
-    for _ in range(2):
-        path = F.regexp_replace(path, r"[^/]+/\.\./", "")
-    return path
-
-
 def resolved_imports(texts: DataFrame, files: DataFrame) -> DataFrame:
     """``(file_id, line_no, module, target_id)``: imports with the file of the same repository that they name, else -1.
 
@@ -34,7 +27,7 @@ def resolved_imports(texts: DataFrame, files: DataFrame) -> DataFrame:
     script = F.when(F.col("module").startswith("."), F.array(*[lit(beside, "/", F.col("module"), end) for end in _TS])).otherwise(F.array())
     ruby = F.array(lit(beside, "/", F.col("module"), ".rb"), lit(F.col("repo_name"), "/", F.col("module"), ".rb"))
     candidates = F.when(F.col("lang") == "python", python).when(F.col("lang") == "typescript", script).when(F.col("lang") == "ruby", ruby)
-    tried = found.select("file_id", "line_no", "module", F.explode(F.transform(candidates, _without_dots)).alias("path"))
+    tried = found.select("file_id", "line_no", "module", F.explode(F.transform(candidates, even)).alias("path"))
     by_path = tried.join(known.select("path", F.col("file_id").alias("target_id")), "path").select("file_id", "line_no", "module", "target_id")
     java = found.where("lang = 'java'").withColumn("name", F.concat(F.substring_index("module", ".", -1), F.lit(".java"))).withColumn("end", F.concat(F.lit("/"), dotted, F.lit(".java")))
     named = known.select(F.substring_index("path", "/", -1).alias("name"), "repo_name", F.col("path").alias("other"), F.col("file_id").alias("target_id"))
@@ -52,14 +45,13 @@ def dependency_edges(resolved: DataFrame) -> DataFrame:
 def signatures(texts: DataFrame, per_name: int = 5) -> DataFrame:
     """``(name, file_id, line_no, signature)``: the declaring line of the first ``per_name`` declarations of a name (Q-SIG)."""
     from sparkloom.operators.store import first_per_group
-    from sparkloom.operators.textsearch import declarations, text_lines
+    from sparkloom.operators.textsearch import declarations
 
-    lines = text_lines(texts).select("file_id", "line_no", F.trim("line").alias("signature"))
-    declared = declarations(texts).select("file_id", "line_no", "name").join(lines, ["file_id", "line_no"])
+    declared = declarations(texts).select("file_id", "line_no", "name", F.trim("line").alias("signature"))
     return first_per_group(declared, ["name"], [F.col("file_id"), F.col("line_no")], per_name).drop("rank")
 
 
-def directory_map(files: DataFrame, depth: int = 3) -> DataFrame:
+def directory_map(files: DataFrame, depth: int = 10) -> DataFrame:
     """Files below every directory of a repository down to ``depth`` (S11): counts merge, no list is collected."""
     parts = F.split("path", "/")
     levels = F.sequence(F.lit(1), F.least(F.lit(depth), F.size(parts) - 1))

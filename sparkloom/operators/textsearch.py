@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.functions.text import language, words
+from sparkloom.functions.text import any_glob, language, words
 from sparkloom.operators.latest import latest_rows
 
 #: Import statements of each language by line (the group is the module).
@@ -60,9 +60,29 @@ def text_lines(texts: DataFrame) -> DataFrame:
     return texts.select("file_id", "path", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("file_id", "path", (F.col("at") + 1).alias("line_no"), "line")
 
 
-def grep(texts: DataFrame, pattern: str) -> DataFrame:
-    """Matching lines; texts without a match anywhere are not split."""
-    return text_lines(texts.where(F.col("text").rlike("(?m)" + pattern))).where(F.col("line").rlike(pattern))
+def grep(texts: DataFrame, pattern: str, include: list[str] | None = None, exclude: list[str] = [], literal: bool = False, ignore_case: bool = False) -> DataFrame:
+    """Matching lines (F4); texts without a match anywhere are not split.
+
+    ``include`` and ``exclude`` are globs on the path or, without a slash, on the file's name; ``literal``: the pattern is plain text.
+    The whole result, in no order; ``first_hits`` gives the first ones in the order (path, line).
+    """
+    if include is not None:
+        texts = texts.where(_any_name(include))
+    if exclude:
+        texts = texts.where(~_any_name(exclude))
+    if literal:
+        pattern = "".join(c if c.isalnum() or c in "_ " or ord(c) > 127 else "\\" + c for c in pattern)
+    flags = "i" if ignore_case else ""
+    return text_lines(texts.where(F.col("text").rlike(f"(?m{flags})" + pattern))).where(F.col("line").rlike((f"(?{flags})" if flags else "") + pattern))
+
+
+def _any_name(globs: list[str]):
+    return any_glob(F.col("path"), [g if "/" in g else "**/" + g for g in globs])
+
+
+def first_hits(hits: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` matching lines in the order (path, line): a report's top, found without sorting the rest."""
+    return hits.orderBy("path", "line_no").limit(n)
 
 
 def grep_context(texts: DataFrame, pattern: str, around: int = 1) -> DataFrame:
@@ -79,10 +99,23 @@ def inverted_index(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def with_all_terms(rows: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
-    """Keys whose text holds all terms."""
-    terms = sorted({t.lower() for t in terms})
-    met = inverted_index(rows, key, text).where(F.col("term").isin(*terms))
-    return met.groupBy(key).agg(F.count_distinct("term").alias("n")).where(F.col("n") == len(terms)).select(key)
+    """Keys whose text holds all terms: a filter of each row, no join and no shuffle."""
+    held = words(F.col(text), "[a-z0-9]+")
+    return rows.where(F.col(text).isNotNull()).where(F.size(F.array_except(F.array(*[F.lit(t.lower()) for t in set(terms)]), held)) == 0).select(key)
+
+
+def marked_snippets(rows: DataFrame, key: str, text: str, terms: list[str], around: int = 5) -> DataFrame:
+    """``(key, snippet)`` of the texts with all terms: the first hit with ``around`` tokens on both sides, hits in brackets (Q-FTS)."""
+    wanted = [t.lower() for t in terms]
+    found = rows.where(F.col(text).isNotNull())
+    tokens = F.split(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")), " ")
+    bare = F.transform(tokens, lambda t: F.regexp_replace(F.lower(t), "[^a-z0-9]", ""))
+    hit = F.transform(bare, lambda b: b.isin(*wanted))
+    at = F.array_position(hit, True)
+    low = F.greatest(F.lit(1), at - around)
+    shown = F.zip_with(F.slice(tokens, low.cast("int"), 2 * around + 1), F.slice(hit, low.cast("int"), 2 * around + 1), lambda t, h: F.when(h, F.concat(F.lit("["), t, F.lit("]"))).otherwise(t))
+    held = words(F.col(text), "[a-z0-9]+")
+    return found.where(F.size(F.array_except(F.array(*[F.lit(t) for t in set(wanted)]), held)) == 0).select(key, F.when(at > 0, F.array_join(shown, " ")).alias("snippet"))
 
 
 def imports(texts: DataFrame) -> DataFrame:
@@ -96,12 +129,12 @@ def imports(texts: DataFrame) -> DataFrame:
 
 
 def declarations(texts: DataFrame) -> DataFrame:
-    """``(file_id, lang, line_no, name)`` of declared functions and types (Q-AST, G5)."""
+    """``(file_id, lang, line_no, name, line)`` of declared functions and types (Q-AST, G5)."""
     lines = text_lines(texts).withColumn("lang", language(F.col("path")))
     name = F.lit(None).cast("string")
     for lang, pattern in DECLARATIONS.items():
         name = F.when(F.col("lang") == lang, F.nullif(F.regexp_extract("line", pattern, 1), F.lit(""))).otherwise(name)
-    return lines.withColumn("name", name).where("name is not null").select("file_id", "lang", "line_no", "name")
+    return lines.withColumn("name", name).where("name is not null").select("file_id", "lang", "line_no", "name", "line")
 
 
 def resolved_names(uses: DataFrame, symbols: DataFrame, keys: list[str], target: str, order: str) -> DataFrame:

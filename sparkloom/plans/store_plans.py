@@ -10,13 +10,10 @@ from sparkloom.operators import import_specs, imports, store, textsearch
 from sparkloom.operators.snapshots import normal_hash
 from sparkloom.operators.traverse import Graph, reach
 from sparkloom.sources.shared import written
+from sparkloom.plans.review_plans import _LEFT_OUT
 from sparkloom.sources.tables import table
 from sparkloom.streaming import jobs
 
-#: Paths that reviews leave out (an excerpt of the usual patterns).
-EXCLUDED = ["**/*.lock", "**/dist/**", "**/build/**", "**/node_modules/**", "**/generated/**", "**/gen/**", "**/coverage/**", "**/*.min.js"]
-
-
 def r_latest_rev(spark, sf_dir):
     return store.latest_rev(table(spark, sf_dir, "revisions"), table(spark, sf_dir, "file_versions"))
 
@@ -98,7 +95,7 @@ def i_new_content(spark, sf_dir):
 
 def f_path_filter(spark, sf_dir):
     files = table(spark, sf_dir, "files")
-    return files.select("file_id", "path", excluded(F.col("path"), EXCLUDED).alias("is_excluded"))
+    return files.select("file_id", "path", excluded(F.col("path")).alias("is_excluded"))
 
 
 def f_lang_by_ext(spark, sf_dir):
@@ -133,7 +130,7 @@ def f_imports_all(spark, sf_dir):
 
 
 def f_declarations(spark, sf_dir):
-    return textsearch.declarations(textsearch.latest_text(table(spark, sf_dir, "parsed_files")))
+    return textsearch.declarations(textsearch.latest_text(table(spark, sf_dir, "parsed_files"))).drop("line")
 
 
 def f_redacted(spark, sf_dir):
@@ -283,7 +280,7 @@ SQL = {
         fit AS (SELECT path, "start", "end", lines, CASE WHEN high - low + 1 > 40 THEN narrow ELSE low END AS low, CASE WHEN high - low + 1 > 40 THEN least(narrow + 39, n) ELSE high END AS high FROM whole)
         SELECT path, "start", "end", array_to_string(list_transform(range(low, high + 1), lambda k: k::VARCHAR || ': ' || lines[k]), chr(10)) AS snippet FROM fit""",
     "q_signatures": f"WITH {_LINES}, named AS (SELECT file_id, line_no, trim(line, ' ') AS signature, {_by_language(textsearch.DECLARATIONS, False)} AS name FROM lines) SELECT name, file_id, line_no, signature FROM named WHERE name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name ORDER BY file_id, line_no) <= 5",
-    "s_directory_map": "SELECT repo_name, array_to_string(list_slice(string_split(path, '/'), 1, k), '/') AS directory, count(*) AS n_files FROM files, range(1, 4) r(k) WHERE k < len(string_split(path, '/')) GROUP BY ALL",
+    "s_directory_map": "SELECT repo_name, array_to_string(list_slice(string_split(path, '/'), 1, k), '/') AS directory, count(*) AS n_files FROM files, range(1, 11) r(k) WHERE k < len(string_split(path, '/')) GROUP BY ALL",
     "r_latest_rev": f"WITH {_LATEST} SELECT repo_name, rev FROM latest",
     "r_files_at_latest": f"""WITH {_LATEST} SELECT rev, path, hash FROM (SELECT rev, file_id, {_HASH} AS hash, loaded_at FROM file_versions WHERE rev IN (SELECT rev FROM latest) AND {_HASH} IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY rev, file_id ORDER BY loaded_at DESC, hash DESC) = 1) JOIN files USING (file_id)""",
@@ -300,7 +297,7 @@ SQL = {
     "i_content_hash_dedup": "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "i_fingerprint": "SELECT source, count(*) AS n_items, sum(('0x' || left(sha256(text), 10))::BIGINT)::BIGINT AS fingerprint FROM documents WHERE text IS NOT NULL GROUP BY source",
     "i_new_content": f"WITH {_LATEST}, h AS (SELECT rev, {_HASH} AS hash FROM file_versions WHERE {_HASH} IS NOT NULL) SELECT DISTINCT hash FROM h WHERE rev IN (SELECT rev FROM latest) AND hash NOT IN (SELECT hash FROM h WHERE rev NOT IN (SELECT rev FROM latest))",
-    "f_path_filter": f"SELECT file_id, path, regexp_matches({_NORMAL}, '^(?:.*/)?[^/]*\\.lock$|^(?:.*/)?(?:dist|build|node_modules|generated|gen|coverage)/.*$|^(?:.*/)?[^/]*\\.min\\.js$') AS is_excluded FROM files",
+    "f_path_filter": f"SELECT file_id, path, regexp_matches({_NORMAL}, {_LEFT_OUT}) AS is_excluded FROM files",
     "f_lang_by_ext": """SELECT repo_name, CASE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'js' THEN 'typescript' WHEN 'jsx' THEN 'typescript' WHEN 'ts' THEN 'typescript'
         WHEN 'tsx' THEN 'typescript' WHEN 'go' THEN 'go' WHEN 'java' THEN 'java' WHEN 'rb' THEN 'ruby' ELSE 'other' END AS language, count(*) AS n_files FROM files GROUP BY 1, 2""",
     "f_two_levels": f"SELECT array_to_string(list_slice(string_split({_NORMAL}, '/'), 1, 2), '/') AS directory, ({_WEIGHT})::DOUBLE AS weight, count(*) AS n_files FROM files GROUP BY 1, 2",

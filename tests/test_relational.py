@@ -217,3 +217,87 @@ def test_snippets_equal_brute_force(spark):
     got = {(r.path, r.start, r.end): r.snippet for r in textsearch.snippets(texts, ranges, context=2, max_lines=8).collect()}
     shown = lambda a, b: "\n".join(f"{k}: {lines[k - 1]}" for k in range(a, b + 1))
     assert got == {("a", 1, 1): shown(1, 3), ("a", 10, 12): shown(8, 14), ("a", 2, 29): shown(11, 18), ("a", 40, 50): shown(28, 30), ("b", 1, 3): "1: "}
+
+
+# --- Paths, JSON, diffs' contexts -----------------------------------------------------------------------------------
+
+
+def test_default_excludes_and_includes(spark):
+    paths = ["a/go.sum", "x/dist/y.js", "dist/y.js", "a/__generated__/b.py", "a/@gen/b.go", "i.PNG", "i.png", "a/b.lock", "src/a.py", "distant/a.py", ".next/x", "a/gen.py"]
+    rows = spark.createDataFrame([(p,) for p in paths], "p string")
+    out = {r.p for r in rows.where(text.excluded(F.col("p"))).collect()}
+    assert out == {"a/go.sum", "x/dist/y.js", "dist/y.js", "a/__generated__/b.py", "a/@gen/b.go", "i.png", "a/b.lock", ".next/x"}
+    kept = {r.p for r in rows.where(text.excluded(F.col("p"), included=["**/dist/**", "*.png"])).collect()}
+    assert out - kept == {"x/dist/y.js", "dist/y.js", "i.png"}
+    assert not rows.where(text.excluded(F.col("p"), [])).count()
+
+
+def test_danger_counts(spark):
+    cases = {"auth and Token, tokens": 2, "select x from": 1, "selectx": 0, "select": 0, "yaml.load(f)": 1, "feature  flag": 1, "featureflag": 1, "await lock_ lock": 2, "UPDATE\tt": 1}
+    rows = spark.createDataFrame([(k,) for k in cases], "v string").select("v", text.count_danger(F.col("v")).alias("n"))
+    assert {r.v: r.n for r in rows.collect()} == cases
+
+
+def test_labels_keys_and_ids(spark):
+    rows = spark.createDataFrame([("r/x..y", "b\\c", "k", "p:12-40", 3, 3), (None, "", None, "p:1-x", 3, 9), ("r", "b" * 300, "k", "nothing", 1, 2)], "repo string, branch string, c string, node string, a int, b int")
+    got = rows.select(text.asset_key(F.col("repo"), F.col("branch"), F.col("c")).alias("k"), text.byte_range(F.col("node")).alias("r"), text.line_label(F.col("a"), F.col("b")).alias("l")).collect()
+    assert [r.k for r in got[:2]] == ["repo_map_r_xy_b_c_k", "repo_map_unknown_repo_unknown_branch_unknown_commit"] and len(got[2].k) == len("repo_map_r_") + 12
+    assert [tuple(r.r) for r in got] == [(12, 40), (0, 0), (0, 0)] and [r.l for r in got] == ["3", "3:9", "1:2"]
+
+
+def test_json_in_text(spark):
+    from sparkloom.functions.json_text import extract_json, found_json
+
+    cases = {'x ```json\n{"a": 1}\n``` y': '{"a": 1}', 'say {"a": {"b": 2}} now': '{"a": {"b": 2}}', "{bad} {\"c\": 3}": '{"c": 3}', "none": None, "": None, "```\n[1, 2]\n```": "[1, 2]", "} {\"a\": 1}": None, ' {"a": "}"} ': '{"a": "}"}'}
+    assert {k: found_json(k) for k in cases} == cases
+    rows = spark.createDataFrame([(k,) for k in [*cases, None]], "v string")
+    assert {r.v: r.j for r in rows.select("v", extract_json(F.col("v")).alias("j")).collect()} == {**cases, None: None}
+
+
+def _context_tables(spark):
+    states = spark.createDataFrame([(1, "r", DIFF, datetime(2025, 1, 1))], "review_id bigint, repo_name string, diff_context string, updated_at timestamp_ntz")
+    rows = diffs.latest_diffs(states)
+    return rows, diffs.diff_lines(rows)
+
+
+def test_context_of_files(spark):
+    rows, lines = _context_tables(spark)
+    (whole,) = [r.context for r in diffs.context_texts(lines).where("path = 'x.py'").collect()]
+    rule = "=" * 80
+    assert whole.split("\n") == ["File: x.py", rule, "     1: one", "~    2: TWO", "+    3: more", "     4: three", "+   11: new", "    12: ten", rule]
+    (changed,) = [r.context for r in diffs.context_texts(lines, changed_only=True).where("path = 'x.py'").collect()]
+    assert changed.split("\n")[2:-1] == ["~    2: TWO", "+    3: more", "+   11: new"]
+    places = spark.createDataFrame([(1, "r/x.py", 3), (1, "r/x.py", 1), (1, "r/x.py", 7), (1, "r/none", 1), (2, "r/x.py", 1)], "review_id bigint, path string, line int")
+    got = {(r.review_id, r.path, r.line): (r.content, r.is_changed) for r in diffs.line_lookup(places, lines).collect()}
+    assert got == {(1, "r/x.py", 3): ("more", True), (1, "r/x.py", 1): ("one", False), (1, "r/x.py", 7): (None, False), (1, "r/none", 1): (None, False), (2, "r/x.py", 1): (None, False)}
+    wanted = spark.createDataFrame([(1, "x.py"), (1, "absent.py")], "review_id bigint, path string")
+    found = {r.path: r.diff for r in diffs.file_diffs(wanted, rows, lines, fallback=11).collect()}
+    assert found == {"x.py": whole, "absent.py": "mail header"}
+
+
+def test_files_of_a_diff(spark):
+    text_ = "diff --git a/o.py b/n.py\nrename from o.py\nrename to n.py\ndiff --git a/gone.py b/gone.py\n--- a/gone.py\n+++ /dev/null\n@@ -1 +0,0 @@\n-x\n--- a/go.sum\n+++ b/go.sum\n+++ /abs.py\n"
+    rows = spark.createDataFrame([(1, "r", text_), (2, "r", "")], "review_id bigint, repo_name string, diff_context string")
+    assert {(r.review_id, r.path) for r in diffs.changed_paths(rows).collect()} == {(1, p) for p in ("o.py", "n.py", "gone.py", "abs.py")}
+
+
+def test_anchors_of_any_range(spark):
+    _, lines = _context_tables(spark)
+    items = spark.createDataFrame(
+        [(1, 1, "r/x.py", 1, 2**31 - 10), (2, 1, "r/x.py", 3, 3), (3, 1, "r/x.py", 20, 30), (4, 1, "r/x.py", 16, 2), (5, 1, "r/y.py", 1, 1), (6, 1, "r/x.py", 9, 9)],
+        "risk_id bigint, review_id bigint, path string, start bigint, end bigint",
+    )
+    near = {r.risk_id: (r.is_anchored, r.first_line) for r in diffs.near_changes(items, lines).collect()}
+    assert near == {1: (True, 2), 2: (True, 2), 3: (False, 0), 4: (False, 0), 5: (False, 0), 6: (True, 11)}
+    assert {r.risk_id: r.line for r in diffs.snapped_lines(items, lines).collect()} == {1: 2, 2: 3, 3: None, 4: 11, 5: None, 6: 11}
+
+
+def test_grep_options_and_snippets(spark):
+    texts = spark.createDataFrame([(1, "a/x.py", "one (a.b)\nTwo\n"), (2, "a/y.go", "one (a.b)"), (3, "t/x.py", "one (a.b)\none (a,b)")], "file_id int, path string, text string")
+    found = lambda *a, **k: {(r.file_id, r.line_no) for r in textsearch.grep(texts, *a, **k).collect()}
+    assert found("(a.b)", literal=True) == {(1, 1), (2, 1), (3, 1)} and found("a.b") == {(1, 1), (2, 1), (3, 1), (3, 2)}
+    assert found("two", ignore_case=True) == {(1, 2)} and found("two") == set()
+    assert found("one", include=["*.py"], exclude=["t/**"]) == {(1, 1)}
+    assert [(r.path, r.line_no) for r in textsearch.first_hits(textsearch.grep(texts, "one"), 2).collect()] == [("a/x.py", 1), ("a/y.go", 1)]
+    docs = spark.createDataFrame([(1, "a b c d e f The Cache, and the lock g h i j k"), (2, "cache"), (3, None)], "doc_id int, body string")
+    assert {r.doc_id: r.snippet for r in textsearch.marked_snippets(docs, "doc_id", "body", ["lock", "cache"], 3).collect()} == {1: "e f The [Cache,] and the [lock]"}
