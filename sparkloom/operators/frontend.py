@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.functions.text import TAINT_NAMES
 from sparkloom.operators.latest import latest_rows
 
 NODES = "file_id bigint, seq int, parent int, kind string, name string, role string, start_line int, start_col int, end_line int, end_col int"
@@ -69,11 +70,17 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
 
 
+def nodes_of(sources: DataFrame) -> DataFrame:
+    """Nodes of Python ``source``s by their ``file_id`` (of any type); what does not parse has none."""
+    kind = sources.schema["file_id"].dataType.simpleString()
+    return sources.select("file_id", "source").mapInPandas(_parsed, NODES.replace("file_id bigint", f"file_id {kind}"))
+
+
 def python_nodes(parsed: DataFrame) -> DataFrame:
     """Nodes of every Python file's latest parse; files that do not parse have none."""
     rows = parsed.where(F.col("path").rlike(r"(?i)\.py$") & F.col("source").isNotNull() & F.col("file_id").isNotNull())
     best = latest_rows(rows.select("file_id", "parsed_at", "source"), "file_id", "parsed_at", ["source"])
-    return best.select("file_id", "source").mapInPandas(_parsed, NODES)
+    return nodes_of(best)
 
 
 def tree_edges(nodes: DataFrame) -> DataFrame:
@@ -87,18 +94,54 @@ def flow_edges(nodes: DataFrame) -> DataFrame:
     return statements.select("file_id", F.col("seq").alias("src"), F.lead("seq").over(order).alias("dst"), F.lit("CFG").alias("kind")).where("dst is not null")
 
 
+_CONTROL = ["if_statement", "for_statement", "while_statement", "try_statement", "ExceptHandler", "Match", "match_case"]
+
+
+def branch_edges(nodes: DataFrame) -> DataFrame:
+    """``CFG_BRANCH`` edges from control statements to the statements and clauses directly within."""
+    control = nodes.where(F.col("kind").isin(*_CONTROL)).select("file_id", F.col("seq").alias("src"))
+    inner = nodes.where(F.col("role").isin("statement", "declaration") | F.col("kind").isin("ExceptHandler", "match_case"))
+    inner = inner.select("file_id", F.col("parent").alias("src"), F.col("seq").alias("dst"))
+    return inner.join(control, ["file_id", "src"]).select("file_id", "src", "dst", F.lit("CFG_BRANCH").alias("kind"))
+
+
+def call_edges(resolved: DataFrame) -> DataFrame:
+    """``CFG_IP_CALL`` edges from resolved calls to their symbols and ``CFG_IP_RET`` edges back (G7); ends are ``file:node``."""
+    end = lambda file, seq: F.concat_ws(":", F.col(file).cast("string"), F.col(seq).cast("string"))
+    met = resolved.where("target_seq is not null").select(end("file_id", "seq").alias("call"), end("target_file", "target_seq").alias("symbol"))
+    there = met.select(F.col("call").alias("src"), F.col("symbol").alias("dst"), F.lit("CFG_IP_CALL").alias("kind"))
+    return there.unionByName(met.select(F.col("symbol").alias("src"), F.col("call").alias("dst"), F.lit("CFG_IP_RET").alias("kind")))
+
+
+def tagged(symbols: DataFrame, lang: str = "python") -> DataFrame:
+    """``symbols`` with ``kind`` ``source`` or ``sink`` where the name is one (G8); a sink wins."""
+    of = lambda role: F.col("name").isin(*TAINT_NAMES[role][lang])
+    return symbols.withColumn("kind", F.when(of("sink"), "sink").when(of("source"), "source").otherwise(F.col("kind")))
+
+
+def tagged_calls(nodes: DataFrame, lang: str = "python") -> DataFrame:
+    """``(file_id, seq, name, start_line, role)``: calls that enter, act or make harmless, by the table of names."""
+    calls = nodes.where("role = 'call' and name is not null")
+    role = F.coalesce(*[F.when(F.col("name").isin(*TAINT_NAMES[r][lang]), r) for r in ("sink", "source", "sanitizer")])
+    return calls.select("file_id", "seq", "name", "start_line", role.alias("role")).where("role is not null")
+
+
 def symbols(nodes: DataFrame) -> DataFrame:
     kind = F.when(F.col("kind") == "function_definition", "function").otherwise("type")
     return nodes.where("role = 'declaration'").select("file_id", "seq", "name", kind.alias("kind"), "start_line")
 
 
-def resolved_calls(nodes: DataFrame) -> DataFrame:
-    """Calls with the declaration of their name: of the own file, else the smallest (file, node) of all."""
+def resolved_calls(nodes: DataFrame, last_name: bool = False) -> DataFrame:
+    """Calls with the declaration of their name: of the own file, else the smallest (file, node) of all.
+
+    ``last_name``: a dotted call counts by its last name, as a method of whatever it is called on.
+    """
     declared = symbols(nodes)
-    calls = nodes.where("role = 'call' and name is not null").select("file_id", "seq", "name", "start_line")
-    own = declared.groupBy("file_id", "name").agg(F.min("seq").alias("own"))
-    anywhere = declared.groupBy("name").agg(F.min(F.struct("file_id", "seq")).alias("any"))
-    found = calls.join(own, ["file_id", "name"], "left").join(anywhere, "name", "left")
+    called = F.substring_index("name", ".", -1) if last_name else F.col("name")
+    calls = nodes.where("role = 'call' and name is not null").select("file_id", "seq", "name", "start_line", called.alias("called"))
+    own = declared.groupBy("file_id", F.col("name").alias("called")).agg(F.min("seq").alias("own"))
+    anywhere = declared.groupBy(F.col("name").alias("called")).agg(F.min(F.struct("file_id", "seq")).alias("any"))
+    found = calls.join(own, ["file_id", "called"], "left").join(anywhere, "called", "left")
     target = F.when(F.col("own").isNotNull(), F.col("file_id")).otherwise(F.col("any.file_id"))
     return found.select("file_id", "seq", "name", "start_line", target.alias("target_file"), F.coalesce("own", "any.seq").alias("target_seq"))
 
@@ -111,6 +154,22 @@ def def_use_edges(nodes: DataFrame) -> DataFrame:
     return names.withColumn("src", last).where("role = 'load' and src is not null").select("file_id", "src", F.col("seq").alias("dst"), "name", F.lit("DDG").alias("kind"))
 
 
+def value_flow(nodes: DataFrame) -> DataFrame:
+    """``DDG`` edges of a file (G9): definition to use, call on the right of an assignment to what it defines (``rhs_call``),
+    and definition to the call that it is an argument of (``arg``), with the name that flows."""
+    uses = def_use_edges(nodes).withColumn("via", F.lit("use"))
+    calls = nodes.where("role = 'call'")
+    stored = nodes.where("role = 'store' and name is not null").select("file_id", F.col("parent").alias("around"), F.col("seq").alias("dst"), "name")
+    assigned = nodes.where("kind = 'assignment'").select("file_id", F.col("seq").alias("around"))
+    made = calls.select("file_id", F.col("parent").alias("around"), F.col("seq").alias("src"))
+    edge = lambda rows, via: rows.select("file_id", "src", "dst", "name", F.lit("DDG").alias("kind"), F.lit(via).alias("via"))
+    rhs = edge(assigned.join(stored, ["file_id", "around"]).join(made, ["file_id", "around"]), "rhs_call")
+    inside = nodes.select("file_id", F.col("seq").alias("dst"), F.col("parent").alias("around"))
+    argument = uses.join(inside, ["file_id", "dst"]).join(calls.select("file_id", F.col("seq").alias("around")), ["file_id", "around"])
+    argument = edge(argument.select("file_id", "src", F.col("around").alias("dst"), "name"), "arg")
+    return uses.unionByName(rhs).unionByName(argument)
+
+
 def value_edges(nodes: DataFrame) -> DataFrame:
     """``(src, dst, kind)`` along which values go: definition to use, use to the nearest call or assignment around it, call
     to the one around it, assignment to the names it stores. Ends are ``file:node``."""

@@ -55,3 +55,45 @@ def names_like(rows: DataFrame, name: str, wanted: str) -> DataFrame:
         return exact.withColumn("is_exact", F.lit(True))
     pattern = "%" + wanted.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
     return rows.where(F.col(name).ilike(pattern)).withColumn("is_exact", F.lit(False))
+
+
+def required_revs(wanted: DataFrame, revisions: DataFrame, file_versions: DataFrame) -> DataFrame:
+    """``(repo_name, rev, used)``: each wanted revision if it was delivered, else its repository's latest, else null (R2)."""
+    delivered = file_versions.select("rev").where("rev is not null").distinct().withColumn("used", F.col("rev"))
+    rows = wanted.select("repo_name", "rev").join(delivered, "rev", "left").join(latest_rev(revisions, file_versions).withColumnRenamed("rev", "_latest"), "repo_name", "left")
+    return rows.select("repo_name", "rev", F.coalesce("used", "_latest").alias("used"))
+
+
+def file_ids(paths: DataFrame, files: DataFrame) -> DataFrame:
+    """``paths`` with the ``file_id`` of each ``path``, null if there is none."""
+    return paths.join(files.where("path is not null").groupBy("path").agg(F.min("file_id").alias("file_id")), "path", "left")
+
+
+def symbol_locations(symbols: DataFrame, versions: DataFrame, files: DataFrame) -> DataFrame:
+    """Symbols ``(file_id, name, line_no)`` of the files that the revisions hold, with ``rev`` and ``path``."""
+    known = files.select("file_id", "path")
+    return symbols.join(versions.select("rev", "file_id"), "file_id").join(known, "file_id").select("rev", "path", "name", "line_no")
+
+
+def repo_map_files(versions: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``(rev, path, hash, n_symbols)`` of every file that a revision holds (R18, R20): counts, no lists."""
+    counts = symbols.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_symbols"))
+    rows = versions.join(files.select("file_id", "path"), "file_id").join(counts, "file_id", "left")
+    return rows.select("rev", "path", "hash", F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"))
+
+
+def repo_map_symbols(symbols: DataFrame, files: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` symbols of every path in the order (line, name)."""
+    rows = symbols.join(files.select("file_id", "path"), "file_id").select("path", "line_no", "name")
+    return first_per_group(rows, ["path"], [F.col("line_no"), F.col("name")], limit)
+
+
+def greatest_content(versions: DataFrame, files: DataFrame) -> DataFrame:
+    """``(path, hash)``: the greatest hash that each path ever had."""
+    best = versions.where("hash is not null").groupBy("file_id").agg(F.max("hash").alias("hash"))
+    return best.join(files.select("file_id", "path"), "file_id").select("path", "hash")
+
+
+def paths_containing(files: DataFrame, query: str) -> DataFrame:
+    """Files whose path contains the query in any case."""
+    return files.where(F.contains(F.lower("path"), F.lit(query.lower())))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from sparkloom.functions.text import language
 from sparkloom.operators import frontend
-from sparkloom.operators.textsearch import consecutive, last_before, resolved_names
-from sparkloom.operators.traverse import Graph, expand, first_nodes, paths, reach, reached_targets
+from sparkloom.operators.latest import latest_rows
+from sparkloom.operators.ranges import last_value_before
+from sparkloom.operators.textsearch import consecutive, resolved_names
+from sparkloom.operators.traverse import Graph, expand, first_nodes, reach, reached_targets
+from sparkloom.sources.artifact_store import ArtifactStore, file_outline, symbol_search
+from sparkloom.sources.shared import shared_dir, written
 from sparkloom.sources.tables import table
 
 
@@ -148,7 +154,8 @@ def g_cfg_region(spark, sf_dir):
 
 def g_def_use(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    linked = last_before(events, ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup", "event_id")
+    signed = F.when(F.col("event_type") == "signup", F.col("event_id"))
+    linked = last_value_before(events, ["user_id"], F.to_date("ts"), [F.col("ts"), F.col("event_id")], signed, "def_id")
     return linked.where("event_type = 'purchase' and def_id is not null").select("user_id", F.col("event_id").alias("use_id"), "def_id")
 
 
@@ -188,8 +195,6 @@ def g_python_flow(spark, sf_dir):
 
 
 def g_python_calls(spark, sf_dir):
-    from sparkloom.sources.shared import written
-
     return frontend.resolved_calls(written(frontend.python_nodes(table(spark, sf_dir, "parsed_files")), "nodes"))
 
 
@@ -199,16 +204,75 @@ def g_python_def_use(spark, sf_dir):
 
 def g_python_taint(spark, sf_dir):
     """What is read from a row or opened that reaches a call keeping or returning it in another order."""
-    from sparkloom.sources.shared import written
-
     nodes = written(frontend.python_nodes(table(spark, sf_dir, "parsed_files")), "nodes")
     return frontend.taint(nodes, ["row.get", "open"], ["setdefault", "sorted", "append"], ["len"])
 
 
+def _python(spark, sf_dir):
+    return written(frontend.python_nodes(table(spark, sf_dir, "parsed_files")), "nodes")
+
+
+def g_python_branches(spark, sf_dir):
+    return frontend.branch_edges(_python(spark, sf_dir))
+
+
+def g_python_value_flow(spark, sf_dir):
+    return frontend.value_flow(_python(spark, sf_dir))
+
+
+def g_python_call_edges(spark, sf_dir):
+    return frontend.call_edges(frontend.resolved_calls(_python(spark, sf_dir), last_name=True))
+
+
+def g_python_tagged(spark, sf_dir):
+    """Calls whose names are sources, sinks or sanitizers, and symbols that have such a name."""
+    nodes = _python(spark, sf_dir)
+    calls = frontend.tagged_calls(nodes).select("file_id", "seq", "name", "role")
+    named = frontend.tagged(frontend.symbols(nodes)).where("kind in ('source', 'sink')")
+    return calls.unionByName(named.select("file_id", "seq", "name", F.col("kind").alias("role")))
+
+
+def g_python_taint_paths(spark, sf_dir):
+    return frontend.taint_paths(_python(spark, sf_dir), ["row.get", "open"], ["setdefault", "sorted", "append"], ["len"])
+
+
+def _indexed(spark, sf_dir):
+    """All parsed files as one revision of an artifact store in the shared folder."""
+    rows = latest_rows(table(spark, sf_dir, "parsed_files").where("file_id is not null and source is not null").select("file_id", "parsed_at", "path", "source"), "file_id", "parsed_at", ["path", "source"])
+    files = rows.select("path", language(F.col("path")).alias("lang"), F.octet_length("source").cast("bigint").alias("size"), "source", F.sha2("source", 256).alias("blob_hash"))
+    store = ArtifactStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.index_revision("all", files)
+    return store
+
+
+def g_store_edges(spark, sf_dir):
+    return _indexed(spark, sf_dir).at_rev("edges", "all", ["DDG", "CFG_BRANCH"]).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+def g_store_counts(spark, sf_dir):
+    return _indexed(spark, sf_dir).counts()
+
+
+def q_symbol_search(spark, sf_dir):
+    store = _indexed(spark, sf_dir)
+    return symbol_search(store.at_rev("symbols", "all"), store.at_rev("calls", "all"), "load", "python")[0]
+
+
+def q_call_sites(spark, sf_dir):
+    store = _indexed(spark, sf_dir)
+    return symbol_search(store.at_rev("symbols", "all"), store.at_rev("calls", "all"), "load", "python")[1]
+
+
+def q_file_outline(spark, sf_dir):
+    store = _indexed(spark, sf_dir)
+    return file_outline(store.at_rev("symbols", "all"), store.at_rev("calls", "all"))
+
+
 _FORWARD = {"to": "dst", "frm": "src"}
 QUERIES = {f.__name__: f for f in (
     g_slice_forward, g_slice_backward, g_query_depth, g_reachability_len, g_slice_store_cap, g_callgraph_edges, g_taint_reach, g_cfg_chain, g_cfg_region, g_def_use,
     g_resolve_calls, g_build_resolve, g_revision_chain, g_python_symbols, g_python_tree, g_python_flow, g_python_calls, g_python_def_use, g_python_taint,
+    g_python_branches, g_python_value_flow, g_python_call_edges, g_python_tagged, g_python_taint_paths, g_store_edges, g_store_counts, q_symbol_search, q_call_sites, q_file_outline,
     g_slice_forward_all, g_query_depth_all, g_reachability_len_all, g_callgraph_edges_all, g_taint_reach_all,
 )}
 SQL = {

@@ -7,8 +7,12 @@ from pyspark.sql.window import Window
 
 from sparkloom.functions.text import excluded, heuristic_summary, jaccard, language, redacted, two_levels, type_weight, words
 from sparkloom.operators import import_specs, imports, store, textsearch
+from sparkloom.operators.ranges import running_sum
 from sparkloom.operators.snapshots import normal_hash
 from sparkloom.operators.traverse import Graph, reach
+from sparkloom.functions.json_text import extract_json
+from sparkloom.sources import lint
+from sparkloom.sources.scan import read_texts
 from sparkloom.sources.shared import written
 from sparkloom.plans.review_plans import _LEFT_OUT
 from sparkloom.sources.tables import table
@@ -167,10 +171,10 @@ def v_loop_no_signal(spark, sf_dir):
 
 
 def v_history_budget(spark, sf_dir):
-    newest = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
     cents = F.coalesce(F.round(F.col("value") * 100), F.lit(0)).cast("bigint")
-    rows = table(spark, sf_dir, "events").withColumn("spent", F.sum(cents).over(newest.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.where("spent <= 50000").select("user_id", "event_id", "spent")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", cents.alias("cents"))
+    spent = running_sum(rows, ["user_id"], F.to_date("ts"), [F.col("ts").desc(), F.col("event_id").desc()], "cents", "spent", newest_first=True)
+    return spent.where("spent <= 50000").select("user_id", "event_id", "spent")
 
 
 def w_job_dedupe(spark, sf_dir):
@@ -182,14 +186,93 @@ def w_cooldown(spark, sf_dir):
     return jobs.cooled(table(spark, sf_dir, "events"), 3600).select("event_id", "user_id")
 
 
+def w_cooldown_stream(spark, sf_dir):
+    """The same as ``w_cooldown_state`` from a stream of the events' files."""
+    return jobs.stream_accepted(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema, 3600)
+
+
 def w_cooldown_state(spark, sf_dir):
     return jobs.accepted(table(spark, sf_dir, "events"), 3600)
 
 
+def _linted(spark, sf_dir):
+    """Output of linters as the tools write it, one a message, built from the events."""
+    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    path = lambda end: F.concat(F.lit("/r/u"), F.col("user_id").cast("string"), F.lit(end))
+    code = F.when(F.col("k") < 20, "E1").when(F.col("k") < 40, "W2").when(F.col("k") < 60, "UP3").otherwise("N4")
+    one = F.struct(path(".py").alias("filename"), F.col("event_type").alias("message"), F.to_json(F.struct(code.alias("name"))).alias("code"), F.struct("k", F.lit(1).alias("column")).cast("struct<row:int,column:int>").alias("location"))
+    level = F.when(F.col("k") < 50, "error").otherwise("warning")
+    many = F.struct(F.array(F.struct(level.alias("severity"), F.lit("lint/x").alias("category"), F.to_json(F.struct(F.col("event_type").alias("text"))).alias("message"), F.struct(path(".ts").alias("path"), F.col("k").alias("line")).alias("location"))).alias("diagnostics"))
+    vet = F.concat(path(".go"), F.lit(":"), F.col("k").cast("string"), F.lit(":2: Printf "), F.col("event_type"))
+    pmd = F.struct(F.array(F.struct(path(".java").alias("filename"), F.array(F.struct(F.col("k").alias("beginline"), F.col("event_type").alias("description"), F.lit("R").alias("rule"), (F.col("k") % 5 + 1).alias("priority"))).alias("violations"))).alias("files"))
+    kind = F.col("event_type")
+    tool = F.when(kind == "error", "ruff").when(kind == "view", "biome").when(kind == "click", "go_vet").otherwise("pmd")
+    output = F.when(tool == "ruff", F.to_json(F.array(one))).when(tool == "biome", F.to_json(many)).when(tool == "go_vet", vet).otherwise(F.to_json(pmd))
+    return events.where("k is not null and user_id is not null").select(tool.alias("tool"), output.alias("output"))
+
+
 def l_lint_norm(spark, sf_dir):
-    parsed = F.from_json("props", "k bigint")
-    level = F.when(parsed["k"] <= 20, "error").when(parsed["k"] <= 60, "warning").otherwise("info")
-    return table(spark, sf_dir, "events").groupBy("event_type", level.alias("severity")).agg(F.count(F.lit(1)).alias("n_messages"), F.sum(parsed["k"]).alias("sum_k"))
+    found = lint.all_findings(_linted(spark, sf_dir), "/r")
+    return found.groupBy("tool", "file", "severity", "code").agg(F.count(F.lit(1)).alias("n_messages"), F.sum("line").alias("sum_lines"))
+
+
+def l_checkers(spark, sf_dir):
+    return lint.checkers_of(table(spark, sf_dir, "files").select("file_id", "path")).groupBy("checker").agg(F.count(F.lit(1)).alias("n_files"), F.min("path").alias("first_path"))
+
+
+def r_required_revs(spark, sf_dir):
+    revisions = table(spark, sf_dir, "revisions")
+    return store.required_revs(revisions, revisions, table(spark, sf_dir, "file_versions"))
+
+
+def r_file_ids(spark, sf_dir):
+    paths = table(spark, sf_dir, "risk_items").select("risk_id", F.col("file_path").alias("path")).where("path is not null").distinct()
+    return store.file_ids(paths, table(spark, sf_dir, "files")).select("risk_id", "path", F.coalesce("file_id", F.lit(-1)).alias("file_id"))
+
+
+def _symbols(spark, sf_dir):
+    return textsearch.declarations(textsearch.latest_text(table(spark, sf_dir, "parsed_files"))).drop("line", "lang")
+
+
+def _latest_versions(spark, sf_dir):
+    return store.versions_at(table(spark, sf_dir, "file_versions"), r_latest_rev(spark, sf_dir))
+
+
+def r_symbol_locations(spark, sf_dir):
+    return store.symbol_locations(_symbols(spark, sf_dir), _latest_versions(spark, sf_dir), table(spark, sf_dir, "files"))
+
+
+def r_repo_map_files(spark, sf_dir):
+    return store.repo_map_files(_latest_versions(spark, sf_dir), table(spark, sf_dir, "files"), _symbols(spark, sf_dir))
+
+
+def r_repo_map_symbols(spark, sf_dir):
+    return store.repo_map_symbols(_symbols(spark, sf_dir), table(spark, sf_dir, "files"), 20)
+
+
+def r_greatest_content(spark, sf_dir):
+    versions = table(spark, sf_dir, "file_versions").select("file_id", normal_hash(F.col("blob_hash")).alias("hash"))
+    return store.greatest_content(versions, table(spark, sf_dir, "files"))
+
+
+def r_paths_containing(spark, sf_dir):
+    return store.paths_containing(table(spark, sf_dir, "files"), "Ledger").select("file_id", "path")
+
+
+def s_read_files(spark, sf_dir):
+    return read_texts(textsearch.latest_text(table(spark, sf_dir, "parsed_files")), max_lines=20)
+
+
+def f_extract_json(spark, sf_dir):
+    """JSON found in texts that hold an event's properties in one of the usual ways."""
+    rows = table(spark, sf_dir, "events").where("props is not null")
+    way, fence = F.col("event_id") % 3, F.lit("```")
+    said = F.when(way == 0, F.concat(F.lit("So {that} is "), fence, F.lit("json\n"), F.col("props"), F.lit("\n"), fence)).when(way == 1, F.concat(F.lit("{no} "), F.col("props"), F.lit(" and {more"))).otherwise(F.concat(F.lit(" "), F.col("props"), F.lit("\n")))
+    return rows.select("event_id", extract_json(said).alias("found"))
+
+
+def f_snippets(spark, sf_dir):
+    return textsearch.marked_snippets(table(spark, sf_dir, "documents"), "doc_id", "text", ["cache", "lock"], 5)
 
 
 def q_resolved_imports(spark, sf_dir):
@@ -237,7 +320,8 @@ QUERIES = {f.__name__: f for f in (
     q_resolved_imports, q_dependency_closure, q_signatures, s_directory_map, s_snippets,
     r_latest_rev, r_files_at_latest, r_file_exists, r_rev_scoped_edges, r_paths_ending_with, r_node_locations, r_symbol_search_exact, r_symbol_search_like, r_limit_per_group,
     r_upsert_last_wins, r_stats, r_counts_per_blob, i_content_hash_dedup, i_fingerprint, i_new_content, f_path_filter, f_lang_by_ext, f_two_levels, f_grep_literal, f_grep_context, f_fts_all_terms,
-    f_imports, f_imports_all, q_resolved_imports_all, q_dependency_closure_all, f_declarations, f_redacted, e_heuristic_summary, e_jaccard, v_group_tasks, v_tool_stats, v_loop_no_signal, v_history_budget, w_job_dedupe, w_cooldown, w_cooldown_state, l_lint_norm,
+    f_imports, f_imports_all, q_resolved_imports_all, q_dependency_closure_all, f_declarations, f_redacted, e_heuristic_summary, e_jaccard, v_group_tasks, v_tool_stats, v_loop_no_signal, v_history_budget, w_job_dedupe, w_cooldown, w_cooldown_state, w_cooldown_stream, l_lint_norm,
+    l_checkers, r_required_revs, r_file_ids, r_symbol_locations, r_repo_map_files, r_repo_map_symbols, r_greatest_content, r_paths_containing, s_read_files, f_extract_json, f_snippets,
 )}
 
 _HASH = "nullif(regexp_replace(lower(trim(blob_hash)), '^sha256:\\s*', ''), '')"
@@ -318,5 +402,27 @@ SQL = {
     "v_history_budget": "SELECT user_id, event_id, spent FROM (SELECT *, sum(coalesce(round(value * 100), 0)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM events) WHERE spent <= 50000",
     "w_job_dedupe": "SELECT min(event_id) AS event_id, user_id, event_type FROM events WHERE event_type IN ('purchase', 'signup', 'error') AND user_id IS NOT NULL GROUP BY user_id, event_type, date_trunc('hour', ts)",
     "w_cooldown": "SELECT event_id, user_id FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) WHERE gap IS NULL OR gap >= 3600000000",
-    "l_lint_norm": "SELECT event_type, CASE WHEN k <= 20 THEN 'error' WHEN k <= 60 THEN 'warning' ELSE 'info' END AS severity, count(*) AS n_messages, sum(k)::BIGINT AS sum_k FROM (SELECT event_type, (props->>'$.k')::BIGINT AS k FROM events) GROUP BY 1, 2",
+    "l_lint_norm": """WITH e AS (SELECT *, (props->>'$.k')::INT AS k FROM events WHERE user_id IS NOT NULL),
+        m AS (SELECT CASE event_type WHEN 'error' THEN 'ruff' WHEN 'view' THEN 'biome' WHEN 'click' THEN 'go_vet' ELSE 'pmd' END AS tool, user_id, k FROM e WHERE k IS NOT NULL),
+        n AS (SELECT tool, 'u' || user_id || CASE tool WHEN 'ruff' THEN '.py' WHEN 'biome' THEN '.ts' WHEN 'go_vet' THEN '.go' ELSE '.java' END AS file,
+          CASE tool WHEN 'ruff' THEN CASE WHEN k < 20 THEN 'error' WHEN k < 40 THEN 'warning' ELSE 'info' END WHEN 'pmd' THEN CASE k % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'error' WHEN 2 THEN 'warning' ELSE 'info' END ELSE 'error' END AS severity,
+          CASE tool WHEN 'ruff' THEN CASE WHEN k < 20 THEN 'E1' WHEN k < 40 THEN 'W2' WHEN k < 60 THEN 'UP3' ELSE 'N4' END WHEN 'biome' THEN 'lint/x' WHEN 'go_vet' THEN 'printf' ELSE 'R' END AS code,
+          CASE tool WHEN 'biome' THEN k + 1 ELSE k END AS line FROM m WHERE tool <> 'biome' OR k < 50)
+        SELECT tool, file, severity, code, count(*) AS n_messages, sum(line)::BIGINT AS sum_lines FROM n GROUP BY ALL""",
+    "l_checkers": """SELECT checker, count(*) AS n_files, min(path) AS first_path FROM (SELECT path, CASE WHEN regexp_matches(lower(path), '\\.pyi?$') THEN 'ruff' WHEN regexp_matches(lower(path), '\\.(tsx?|jsx?|mjs|cjs)$') THEN 'biome'
+        WHEN ends_with(lower(path), '.go') THEN 'go_vet' WHEN ends_with(lower(path), '.java') THEN 'pmd' END AS checker FROM files) WHERE checker IS NOT NULL GROUP BY checker""",
+    "r_required_revs": f"WITH {_LATEST} SELECT r.repo_name, r.rev, CASE WHEN r.rev IN (SELECT rev FROM file_versions) THEN r.rev ELSE l.rev END AS used FROM revisions r LEFT JOIN latest l ON l.repo_name = r.repo_name",
+    "r_file_ids": "SELECT DISTINCT risk_id, file_path AS path, coalesce(f.file_id, -1) AS file_id FROM risk_items LEFT JOIN files f ON f.path = file_path WHERE file_path IS NOT NULL",
+    "r_symbol_locations": f"""WITH {_LATEST}, {_LINES}, named AS (SELECT file_id, line_no, {_by_language(textsearch.DECLARATIONS, False)} AS name FROM lines)
+        SELECT v.rev, f.path, name, line_no FROM named JOIN (SELECT DISTINCT rev, file_id FROM file_versions WHERE rev IN (SELECT rev FROM latest) AND {_HASH} IS NOT NULL) v USING (file_id) JOIN files f USING (file_id) WHERE name IS NOT NULL""",
+    "r_repo_map_files": f"""WITH {_LATEST}, {_LINES}, named AS (SELECT file_id, {_by_language(textsearch.DECLARATIONS, False)} AS name FROM lines),
+        held AS (SELECT rev, file_id, {_HASH} AS hash FROM file_versions WHERE rev IN (SELECT rev FROM latest) AND {_HASH} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rev, file_id ORDER BY loaded_at DESC, {_HASH} DESC) = 1)
+        SELECT rev, path, hash, coalesce(n, 0) AS n_symbols FROM held JOIN files USING (file_id) LEFT JOIN (SELECT file_id, count(*) AS n FROM named WHERE name IS NOT NULL GROUP BY file_id) USING (file_id)""",
+    "r_repo_map_symbols": f"""WITH {_LINES}, named AS (SELECT file_id, line_no, {_by_language(textsearch.DECLARATIONS, False)} AS name FROM lines)
+        SELECT f.path, line_no, name, row_number() OVER (PARTITION BY f.path ORDER BY line_no, name)::INTEGER AS rank FROM named JOIN files f USING (file_id) WHERE name IS NOT NULL QUALIFY rank <= 20""",
+    "r_greatest_content": f"SELECT path, max({_HASH}) AS hash FROM file_versions JOIN files USING (file_id) WHERE {_HASH} IS NOT NULL GROUP BY file_id, path",
+    "r_paths_containing": "SELECT file_id, path FROM files WHERE path ILIKE '%ledger%'",
+    "s_read_files": f"""WITH {_TEXTS}, c AS (SELECT path, text, length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 0 ELSE 1 END AS n FROM texts)
+        SELECT path, CASE WHEN n > 20 THEN array_to_string(list_slice(string_split(text, chr(10)), 1, 20), chr(10)) || chr(10) || chr(10) || '... (truncated, ' || (n - 20) || ' more lines)' ELSE text END AS content, n::INTEGER AS line_count FROM c""",
+    "f_extract_json": "SELECT event_id, props AS found FROM events WHERE props IS NOT NULL",
 }

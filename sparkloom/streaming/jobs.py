@@ -57,6 +57,10 @@ def cooled(events: DataFrame, seconds: int) -> DataFrame:
 
 
 def _taken(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, micros: int) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame([], columns=["event_id", "user_id"])
+        return
     last, kept = state.get[0] if state.exists else None, []
     rows = pd.concat([batch[["at", "event_id"]] for batch in batches]).dropna(subset="at").sort_values(["at", "event_id"])  # the batches come in no order
     for at, event in zip(rows["at"], rows["event_id"]):
@@ -66,16 +70,31 @@ def _taken(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, micro
     yield pd.DataFrame(kept, columns=["event_id", "user_id"])
     if last is not None:
         state.update((int(last),))
+        # Once the watermark is a cool-down beyond the last event taken, any later one is taken anyhow.
+        state.setTimeoutTimestamp(max(int(last + micros) // 1000, state.getCurrentWatermarkMs()) + 1)
 
 
-def stream_cooldown(events: DataFrame, seconds: int) -> DataFrame:
-    """Events of a stream at least ``seconds`` after the last taken one of the same user (W2), kept as keyed state."""
-    rows = events.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+def stream_cooldown(events: DataFrame, seconds: int, late: str = "1 hour") -> DataFrame:
+    """Events of a stream at least ``seconds`` after the last taken one of the same user (W2), kept as keyed state.
+
+    A user's state is dropped when the watermark (``late`` behind the newest event) has passed its cool-down; events that
+    come later than that are left out.
+    """
+    stamped = events.withColumn("_at", F.col("ts").cast("timestamp")).withWatermark("_at", late)
+    rows = stamped.select("event_id", "user_id", "_at", F.unix_micros("_at").alias("at"))
     return rows.groupBy("user_id").applyInPandasWithState(
-        partial(_taken, micros=seconds * 1_000_000), "event_id bigint, user_id bigint", "last bigint", "append", GroupStateTimeout.NoTimeout
+        partial(_taken, micros=seconds * 1_000_000), "event_id bigint, user_id bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
+def stream_accepted(spark: SparkSession, path: str, schema, seconds: int) -> DataFrame:
+    """``stream_cooldown`` over all files that are there, its output collected in the shared folder."""
+    at = f"{shared_dir(spark)}/cooldown-{uuid.uuid4().hex}"
+    rows = stream_cooldown(parquet_stream(spark, path, schema).where("user_id is not null and ts is not null"), seconds)
+    rows.writeStream.outputMode("append").option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/rows").format("parquet").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id bigint, user_id bigint").parquet(f"{at}/rows")
+
+
 def _fold(batches: Iterator[pd.DataFrame], micros: int) -> Iterator[pd.DataFrame]:
     """Taken events of segments that come whole and in order, over any number of batches."""
     key = last = None

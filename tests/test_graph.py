@@ -211,3 +211,80 @@ def test_taint_over_many_assignments(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "parsed_files.parquet"))
     (found,) = graph_plans.g_python_taint(spark, str(tmp_path)).collect()
     assert found.depth > 12
+
+
+FLOWING = b"""def get():
+    return input()
+class eval:
+    pass
+x = get()
+y = x + 1
+if y:
+    run(x)
+    for k in y:
+        print(k)
+else:
+    os.system(y)
+try:
+    z.get()
+except E:
+    pass
+"""
+
+
+def test_branches_flows_and_roles(spark):
+    nodes = frontend.nodes_of(spark.createDataFrame([("h", bytearray(FLOWING))], "file_id string, source binary")).cache()
+    line = {r.seq: r.start_line for r in nodes.collect()}
+    kind = {r.seq: r.kind for r in nodes.collect()}
+    branches = {(line[r.src], line[r.dst], kind[r.dst]) for r in frontend.branch_edges(nodes).collect()}
+    assert branches == {(7, 8, "expression_statement"), (7, 9, "for_statement"), (9, 10, "expression_statement"), (7, 12, "expression_statement"), (13, 14, "expression_statement"), (13, 15, "ExceptHandler"), (15, 16, "Pass")}
+    flows = {(line[r.src], line[r.dst], r.name, r.via) for r in frontend.value_flow(nodes).collect()}
+    assert {f for f in flows if f[3] == "rhs_call"} == {(5, 5, "x", "rhs_call")}
+    assert {f for f in flows if f[3] == "arg"} == {(5, 8, "x", "arg"), (9, 10, "k", "arg"), (6, 12, "y", "arg")}
+    assert {(r.name, r.role) for r in frontend.tagged_calls(nodes).collect()} == {("input", "source"), ("os.system", "sink")}
+    assert {(r.name, r.kind) for r in frontend.tagged(frontend.symbols(nodes)).collect()} == {("get", "function"), ("eval", "sink")}
+    whole = frontend.call_edges(frontend.resolved_calls(nodes)).collect()
+    assert len(whole) == 2 and {r.kind for r in whole} == {"CFG_IP_CALL", "CFG_IP_RET"}
+    assert len(frontend.call_edges(frontend.resolved_calls(nodes, last_name=True)).collect()) == 4  # z.get() too
+
+
+def test_artifact_store(spark, tmp_path):
+    from sparkloom.sources.artifact_store import ArtifactStore, file_outline, symbol_search
+
+    def files(*rows):
+        made = [(p, "python" if p.endswith("py") else "go", len(t), bytearray(t.encode()), t) for p, t in rows]
+        return spark.createDataFrame(made, "path string, lang string, size bigint, source binary, blob_hash string")
+
+    store = ArtifactStore(spark, str(tmp_path / "store"))
+    one, two = "def load(x):\n    y = read(x)\n    return y\n", "def upload():\n    a.load(1)\n    load(2)\n"
+    assert store.index_revision("r1", files(("a.py", one), ("b.py", one), ("c.go", "package c"), ("bad.py", "def ("))) == 2
+    assert store.index_revision("r1", files(("a.py", one), ("b.py", one))) == 0
+    assert store.index_revision("r2", files(("a.py", one), ("d.py", two))) == 1
+    assert {(r.path, r.name) for r in store.at_rev("symbols", "r2").collect()} == {("a.py", "load"), ("d.py", "upload")}
+    assert {r.path for r in store.at_rev("edges", "r1", ["DDG"]).collect()} == {"a.py", "b.py"}
+    assert store.at_rev("edges", "r2", ["CFG_BRANCH"]).count() == 0
+    assert sorted((r.n_symbols, r.n_calls) for r in store.counts().collect()) == [(1, 1), (1, 2)]
+    symbols, calls = store.at_rev("symbols", "r2"), store.at_rev("calls", "r2")
+    hits, sites = symbol_search(symbols, calls, "load")
+    assert [(r.path, r.name) for r in hits.collect()] == [("a.py", "load")] and [(r.start_line, r.name) for r in sites.collect()] == [(2, "a.load"), (3, "load")]
+    assert [r.name for r in symbol_search(symbols, calls, "LOAD")[0].collect()] == ["load", "upload"]
+    assert symbol_search(symbols, calls, "load", "go")[0].count() == 0
+    (row,) = file_outline(symbols, calls, limit=1).where("path = 'd.py'").collect()
+    assert [s.name for s in row.symbols] == ["upload"] and [c.name for c in row.calls] == ["a.load"]
+
+
+def test_running_values_by_ranges(spark):
+    from sparkloom.operators.ranges import last_value_before, running_sum
+
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["hot", "hot", "x", None]), k, rnd.randrange(40), rnd.choice(["d", "u", "u"])) for k in range(200)]
+    frame = spark.createDataFrame(rows, "g string, id int, t int, kind string")
+    at, order = F.floor(F.col("t") / 7), [F.col("t"), F.col("id")]
+    sums = {r.id: r.s for r in running_sum(frame, ["g"], at, order, "t", "s").collect()}
+    falling = {r.id: r.s for r in running_sum(frame, ["g"], at, [F.col("t").desc(), F.col("id").desc()], "t", "s", newest_first=True).collect()}
+    lasts = {r.id: r.d for r in last_value_before(frame, ["g"], at, order, F.when(F.col("kind") == "d", F.col("id")), "d").collect()}
+    for g, k, t, _ in rows:
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[1]))
+        before = [r for r in mine if (r[2], r[1]) < (t, k)]
+        assert sums[k] == t + sum(r[2] for r in before) and falling[k] == sum(r[2] for r in mine) - sum(r[2] for r in before)
+        assert lasts[k] == next((r[1] for r in reversed(before) if r[3] == "d"), None)

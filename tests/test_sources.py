@@ -115,3 +115,44 @@ def test_shared_folder(spark, tmp_path, monkeypatch):
 
     with pytest.raises(RuntimeError):
         shared.shared_dir(Session)
+
+
+def test_scan_of_given_paths_and_texts(spark, tmp_path):
+    from sparkloom.sources.scan import load_texts, read_texts
+
+    tree = tmp_path / "tree"
+    write(tree, a__x_dot_py="x = 1\n", a__y_dot_py="y\n", _dot_mypy_cache__z_dot_py="no", d_dot_diff="diff --git a b\n")
+    wanted = spark.createDataFrame([("a/x.py",), (".mypy_cache/z.py",), ("gone.py",)], "path string")
+    assert [r.path for r in scan_tree(spark, str(tree), paths=wanted).collect()] == ["a/x.py"]
+    assert [r.text for r in load_texts(spark, str(tree / "d.diff")).collect()] == ["diff --git a b\n"]
+    rows = spark.createDataFrame([("a", "1\n2\n3\n"), ("b", "1\n2"), ("c", ""), ("d", None)], "path string, text string")
+    assert {r.path: (r.content, r.line_count) for r in read_texts(rows, 2).collect()} == {"a": ("1\n2\n\n... (truncated, 1 more lines)", 3), "b": ("1\n2", 2), "c": ("", 0)}
+    assert {r.path: r.line_count for r in read_texts(rows).collect()} == {"a": 3, "b": 2, "c": 0}
+
+
+def test_checkers_and_objects_in_output(spark):
+    files = spark.createDataFrame([("a.py",), ("b.TSX",), ("c.rb",), ("d.java",)], "path string")
+    assert {(r.path, r.checker) for r in lint.checkers_of(files).collect()} == {("a.py", "ruff"), ("b.TSX", "biome"), ("d.java", "pmd")}
+    outputs = [
+        ("ruff", '[{"filename": "a.py", "message": "m", "code": {"name": "W9"}, "location": {"row": 3, "column": 1}}]'),
+        ("biome", '{"diagnostics": [{"severity": "error", "category": "c", "message": {"text": "said"}, "location": {"path": "a.ts", "line": 0}}]}'),
+    ]
+    found = lint.all_findings(spark.createDataFrame(outputs, "tool string, output string"), "/r").cache()
+    assert {(r.file, r.code, r.severity, r.message) for r in found.collect()} == {("a.py", "W9", "warning", "m"), ("a.ts", "c", "error", "said")}
+    assert [r.file for r in lint.requested(found, files).collect()] == ["a.py"]
+
+
+def test_lookups(spark):
+    from sparkloom.operators import store
+
+    revisions = spark.createDataFrame([("r1", None, 1.0, "x"), ("r2", "r1", 2.0, "x"), ("r3", "r2", 3.0, "x"), ("q", None, 1.0, "y")], "rev string, base_rev string, created_at double, repo_name string")
+    versions = spark.createDataFrame([("r1", 1, "h1"), ("r2", 1, "h2"), ("r2", 2, "h0")], "rev string, file_id bigint, hash string")
+    files = spark.createDataFrame([(1, "x/Ab.py"), (2, "x/c.py")], "file_id bigint, path string")
+    assert {(r.rev, r.used) for r in store.required_revs(revisions, revisions, versions).collect()} == {("r1", "r1"), ("r2", "r2"), ("r3", "r2"), ("q", None)}
+    symbols = spark.createDataFrame([(1, 5, "g"), (1, 2, "f"), (9, 1, "z")], "file_id bigint, line_no int, name string")
+    assert {(r.path, r.n_symbols, r.hash) for r in store.repo_map_files(versions.where("rev = 'r2'"), files, symbols).collect()} == {("x/Ab.py", 2, "h2"), ("x/c.py", 0, "h0")}
+    assert [(r.path, r.name) for r in store.repo_map_symbols(symbols, files, 1).collect()] == [("x/Ab.py", "f")]
+    assert {(r.path, r.hash) for r in store.greatest_content(versions, files).collect()} == {("x/Ab.py", "h2"), ("x/c.py", "h0")}
+    assert [r.path for r in store.paths_containing(files, "aB").collect()] == ["x/Ab.py"]
+    assert {(r.path, r.file_id) for r in store.file_ids(spark.createDataFrame([("x/c.py",), ("no",), (None,)], "path string"), files).collect()} == {("x/c.py", 2), ("no", None), (None, None)}
+    assert {(r.rev, r.name) for r in store.symbol_locations(symbols, versions.where("rev = 'r1'"), files).collect()} == {("r1", "f"), ("r1", "g")}
