@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions.text import excluded, heuristic_summary, jaccard, language, redacted, two_levels, type_weight, words
-from sparkloom.operators import import_specs, imports, store, textsearch
+from sparkloom.operators import exports, import_specs, imports, store, textsearch
 from sparkloom.operators.ranges import running_sum
 from sparkloom.operators.snapshots import normal_hash
 from sparkloom.operators.traverse import Graph, reach
@@ -284,6 +284,26 @@ def q_resolved_imports_all(spark, sf_dir):
     return import_specs.resolved_specs(written(found, "specs"), table(spark, sf_dir, "files"))
 
 
+def _specs(spark, sf_dir):
+    texts, files = textsearch.latest_text(table(spark, sf_dir, "parsed_files")), table(spark, sf_dir, "files")
+    specs = written(import_specs.import_specs(texts), "specs")
+    return texts, files, specs, written(import_specs.resolved_specs(specs, files), "resolved")
+
+
+def q_module_exports(spark, sf_dir):
+    return exports.module_exports(textsearch.latest_text(table(spark, sf_dir, "parsed_files")), table(spark, sf_dir, "files"))
+
+
+def q_checked_imports(spark, sf_dir):
+    texts, files, specs, resolved = _specs(spark, sf_dir)
+    return exports.checked_names(exports.name_rows(specs, resolved, texts, files), exports.module_exports(texts, files))
+
+
+def q_go_packages(spark, sf_dir):
+    texts, files, specs, resolved = _specs(spark, sf_dir)
+    return exports.go_exports(specs, resolved, exports.module_exports(texts, files))
+
+
 def q_signatures(spark, sf_dir):
     return imports.signatures(textsearch.latest_text(table(spark, sf_dir, "parsed_files")))
 
@@ -322,6 +342,7 @@ QUERIES = {f.__name__: f for f in (
     r_upsert_last_wins, r_stats, r_counts_per_blob, i_content_hash_dedup, i_fingerprint, i_new_content, f_path_filter, f_lang_by_ext, f_two_levels, f_grep_literal, f_grep_context, f_fts_all_terms,
     f_imports, f_imports_all, q_resolved_imports_all, q_dependency_closure_all, f_declarations, f_redacted, e_heuristic_summary, e_jaccard, v_group_tasks, v_tool_stats, v_loop_no_signal, v_history_budget, w_job_dedupe, w_cooldown, w_cooldown_state, w_cooldown_stream, l_lint_norm,
     l_checkers, r_required_revs, r_file_ids, r_symbol_locations, r_repo_map_files, r_repo_map_symbols, r_greatest_content, r_paths_containing, s_read_files, f_extract_json, f_snippets,
+    q_module_exports, q_checked_imports, q_go_packages,
 )}
 
 _HASH = "nullif(regexp_replace(lower(trim(blob_hash)), '^sha256:\\s*', ''), '')"

@@ -156,3 +156,39 @@ def test_lookups(spark):
     assert [r.path for r in store.paths_containing(files, "aB").collect()] == ["x/Ab.py"]
     assert {(r.path, r.file_id) for r in store.file_ids(spark.createDataFrame([("x/c.py",), ("no",), (None,)], "path string"), files).collect()} == {("x/c.py", 2), ("no", None), (None, None)}
     assert {(r.rev, r.name) for r in store.symbol_locations(symbols, versions.where("rev = 'r1'"), files).collect()} == {("r1", "f"), ("r1", "g")}
+
+
+def test_exports_of_modules():
+    from sparkloom.operators.exports import exports_of
+
+    names = lambda lang, text: {n for n, *_ in exports_of(lang, text)}
+    assert names("python", "import os.path, re as r\nx, (y, *z) = 1, (2, 3)\ntry:\n    a = 1\nexcept E:\n    b = 2\ndef f():\n    inner = 1\nif x:\n    class C: pass\n__all__ = ['lazy']\n") == {"os", "r", "x", "y", "z", "a", "b", "f", "C", "__all__"}
+    assert "lazy" in names("python", "__all__ = ['lazy']\ndef __getattr__(n): ...\n") and names("python", "def (") == set()
+    assert set(exports_of("typescript", "export default function go() {}\nexport const a = 1;\nexport { b, c as d };\nexport { e as f } from './m';\nexport * from './n';\nexport * as q from './o';\nconst hidden = 1;\n")) == {
+        ("default", None, None), ("a", None, None), ("b", None, None), ("d", None, None), ("f", "./m", "e"), ("*", "./n", "*"), ("q", None, None),
+    }
+    assert names("go", "package x\nfunc Open() {}\nfunc shut() {}\ntype T struct{}\n") == {"Open", "T"}
+    assert names("java", "public final class A {\n  static class B {}\n}\n") == {"A", "B"} and names("ruby", "class A\n  def self.f\n  end\nend\n") == {"A", "f"}
+
+
+def test_checked_imports(spark):
+    from sparkloom.operators import exports
+
+    made = [
+        (1, "r/a.py", "from b import f, g\nfrom p import m, lost\n"), (2, "r/b.py", "def f(): pass\n"), (3, "r/p/__init__.py", ""), (4, "r/p/m.py", ""),
+        (5, "r/w/i.ts", "import d, { x, y, z } from './m';"), (6, "r/w/m.ts", "export * from './n';\nexport { q as y } from './n';\nexport default 1;\n"), (7, "r/w/n.ts", "export const x = 1, q = 2;\nexport * from './m';\nexport const q = 3;\n"),
+        (8, "r/J.java", "import org.K;\nimport org.L;\n"), (9, "r/src/org/K.java", "public class K {}"), (10, "r/src/org/L.java", "class Other {}"), (11, "r/g.rb", "require_relative 'big_thing'"), (12, "r/big_thing.rb", "class BigThing\nend"),
+        (13, "r/m.go", 'package m\nimport "r/u"\n'), (14, "r/u/u.go", "package u\nfunc Open() {}\nfunc shut() {}\n"), (15, "r/u/v.go", "package u\ntype T int\n"),
+    ]
+    texts = spark.createDataFrame(made, "file_id bigint, path string, text string")
+    files = texts.select("file_id", "path", F.substring_index("path", "/", 1).alias("repo_name"))
+    specs = import_specs(texts).cache()
+    resolved = resolved_specs(specs, files).cache()
+    offered = exports.module_exports(texts, files).cache()
+    got = {(r.file_id, r.name): (r.target_id, r.is_exported) for r in exports.checked_names(exports.name_rows(specs, resolved, texts, files), offered).collect()}
+    assert got == {
+        (1, "f"): (2, True), (1, "g"): (2, False), (1, "m"): (3, True), (1, "lost"): (3, False), (5, "default"): (6, True), (5, "x"): (6, True), (5, "y"): (6, True), (5, "z"): (6, False),
+        (8, "K"): (9, True), (8, "L"): (10, False), (11, "BigThing"): (12, True),
+    }
+    assert [(r.file_id, r.n_names) for r in exports.go_exports(specs, resolved, offered).collect()] == [(13, 2)]
+    assert exports.module_exports(texts.where("false"), files).count() == 0
