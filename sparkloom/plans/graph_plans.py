@@ -50,21 +50,19 @@ def _nodes(rows: DataFrame, column: str, letter: str) -> DataFrame:
 
 
 def _building(spark, sf_dir):
-    """A sample of starts, few enough for the recursive SQL; the ``_all`` queries start from whole tables."""
-    return _nodes(table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING' and c_acctbal > 9900"), "c_custkey", "C")
+    """The customers of a segment; the ``_all`` queries start from all customers."""
+    return _nodes(table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'"), "c_custkey", "C")
 
 
-_BUILDING = "SELECT 'C:' || c_custkey, 0 FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9900"
+_BUILDING = "SELECT 'C:' || c_custkey, 0 FROM customer WHERE c_mktsegment = 'BUILDING'"
 
 
 def _one(spark, node: str) -> DataFrame:
     return spark.createDataFrame([(node,)], "node string")
 
 
-def _customers(spark, sf_dir, segment: str | None = None) -> DataFrame:
-    """All customers, or all of a segment."""
-    customers = table(spark, sf_dir, "customer")
-    return _nodes(customers.where(F.col("c_mktsegment") == segment) if segment else customers, "c_custkey", "C")
+def _customers(spark, sf_dir) -> DataFrame:
+    return _nodes(table(spark, sf_dir, "customer"), "c_custkey", "C")
 
 
 def _slice_forward(spark, sf_dir, starts: DataFrame) -> DataFrame:
@@ -138,7 +136,7 @@ def g_taint_reach(spark, sf_dir):
 
 
 def g_taint_reach_all(spark, sf_dir):
-    return _taint_reach(spark, sf_dir, _customers(spark, sf_dir, "BUILDING"))
+    return _taint_reach(spark, sf_dir, _customers(spark, sf_dir))
 
 
 def g_cfg_chain(spark, sf_dir):
@@ -279,13 +277,13 @@ SQL = {
     "g_slice_forward": _REACH.format(starts=_BUILDING, steps=4, more="", **_FORWARD) + " SELECT node, min(depth)::INTEGER AS depth FROM found GROUP BY node",
     "g_slice_backward": _REACH.format(starts="SELECT 'N:3', 0", steps=3, more="", to="src", frm="dst") + " SELECT node, min(depth)::INTEGER AS depth FROM found GROUP BY node",
     "g_query_depth": _REACH.format(starts=_BUILDING, steps=2, more="", **_FORWARD) + " SELECT depth::INTEGER AS depth, count(*) AS n_nodes FROM (SELECT node, min(depth) AS depth FROM found GROUP BY node) GROUP BY depth",
-    "g_reachability_len": "WITH RECURSIVE " + _EDGES + """, found(origin, node, depth) AS (SELECT 'C:' || c_custkey, 'C:' || c_custkey, 0 FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9900
+    "g_reachability_len": "WITH RECURSIVE " + _EDGES + """, found(origin, node, depth) AS (SELECT 'C:' || c_custkey, 'C:' || c_custkey, 0 FROM customer WHERE c_mktsegment = 'BUILDING'
         UNION SELECT origin, dst, depth + 1 FROM found JOIN edges ON src = node WHERE depth < 5 AND kind IN ('ORDERED', 'SUPPLIED', 'IN'))
         SELECT origin AS src, node AS dst, min(depth)::INTEGER AS distance FROM found WHERE starts_with(node, 'R:') GROUP BY ALL""",
     "g_slice_store_cap": _REACH.format(starts="SELECT 'R:2', 0", steps=3, more="", to="src", frm="dst") + " SELECT node, min(depth)::INTEGER AS depth FROM found GROUP BY node ORDER BY min(depth), node LIMIT 500",
-    "g_callgraph_edges": "WITH " + _EDGES + """, one AS (SELECT 1 AS level, src, dst, kind FROM edges WHERE src IN (SELECT 'C:' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9900)),
-        two AS (SELECT 2 AS level, src, dst, kind FROM edges WHERE src IN (SELECT dst FROM one)) SELECT * FROM one UNION ALL SELECT * FROM two""",
-    "g_taint_reach": "WITH RECURSIVE " + _EDGES + """, found(origin, node, depth) AS (SELECT 'C:' || c_custkey, 'C:' || c_custkey, 0 FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9900
+    "g_callgraph_edges": "WITH " + _EDGES + """, starts AS (SELECT DISTINCT 'C:' || c_custkey AS src FROM customer WHERE c_mktsegment = 'BUILDING'), one AS (SELECT 1 AS level, src, dst, kind FROM edges JOIN starts USING (src)),
+        inner_ends AS (SELECT DISTINCT dst AS src FROM one), two AS (SELECT 2 AS level, src, dst, kind FROM edges JOIN inner_ends USING (src)) SELECT * FROM one UNION ALL SELECT * FROM two""",
+    "g_taint_reach": "WITH RECURSIVE " + _EDGES + """, found(origin, node, depth) AS (SELECT 'C:' || c_custkey, 'C:' || c_custkey, 0 FROM customer WHERE c_mktsegment = 'BUILDING'
         UNION SELECT origin, dst, depth + 1 FROM found JOIN edges ON src = node WHERE depth < 5 AND node NOT IN (SELECT 'S:' || s_suppkey FROM supplier WHERE s_nationkey = 3))
         SELECT DISTINCT origin AS source, node AS sink FROM found WHERE starts_with(node, 'R:')""",
     "g_cfg_chain": """SELECT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst
@@ -299,3 +297,5 @@ SQL = {
     "g_revision_chain": """WITH RECURSIVE found(origin, node, depth) AS (SELECT rev, rev, 0 FROM revisions WHERE base_rev IS NULL UNION SELECT origin, rev, depth + 1 FROM found JOIN revisions ON base_rev = node WHERE depth < 50)
         SELECT origin, node, min(depth)::INTEGER AS depth FROM found GROUP BY ALL""",
 }
+#: All customers instead of a segment's.
+SQL |= {f"{name}_all": SQL[name].replace(" WHERE c_mktsegment = 'BUILDING'", "") for name in ("g_slice_forward", "g_query_depth", "g_reachability_len", "g_callgraph_edges", "g_taint_reach")}

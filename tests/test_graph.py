@@ -124,7 +124,8 @@ def test_all_customers_equal_brute_force(spark, tmp_path):
     assert run(graph_plans.g_slice_forward_all) == sorted(met(4).items())
     assert run(graph_plans.g_query_depth_all) == sorted(Counter(met(2).values()).items())
     assert run(graph_plans.g_reachability_len_all) == sorted((c, n, d) for c in customers for n, d in brute([x for x in links if x[2] != "PART"], c, 5).items() if n[0] == "R")
-    assert run(graph_plans.g_taint_reach_all) == sorted((c, n) for c in building for n in brute(links, c, 5, barred) if n[0] == "R")
+    assert run(graph_plans.g_taint_reach_all) == sorted((c, n) for c in customers for n in brute(links, c, 5, barred) if n[0] == "R")
+    assert run(graph_plans.g_taint_reach) == sorted((c, n) for c in building for n in brute(links, c, 5, barred) if n[0] == "R")
     one = [(1, *x) for x in links if x[0] in customers]
     ends = {dst for _, _, dst, _ in one}
     assert run(graph_plans.g_callgraph_edges_all) == sorted(one + [(2, *x) for x in links if x[0] in ends])
