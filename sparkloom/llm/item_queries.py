@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from sparkloom.llm.packing import container_fill, pack_texts
 from sparkloom.llm.splitting import cut_sections, split_oversized
 from sparkloom.llm.topn import top_n
@@ -24,6 +26,20 @@ def p6_pieces(spark, sf_dir):
     return split_oversized(table(spark, sf_dir, "review_states")).drop("cut_files")
 
 
+def p6_joined(spark, sf_dir):
+    """Every oversized diff put together again from its pieces; no more than the diff meets in one group."""
+    pieces = split_oversized(table(spark, sf_dir, "review_states"))
+    new = F.substring("piece", F.col("overlap") + 1, F.lit(1 << 30))
+    joined = pieces.groupBy("review_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", new.alias("new")))).alias("parts"), F.max(F.length("piece")).alias("longest"))
+    return joined.select("review_id", F.md5(F.array_join("parts.new", "")).alias("text_md5"), (F.col("longest") <= 4000).alias("fits"))
+
+
+def p7_texts(spark, sf_dir):
+    """Texts by how often they were placed, each once in a container or in parts that follow one another."""
+    placed = pack_texts(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_parts").alias("n_parts"), F.count_distinct("part_no").alias("n_distinct"))
+    return placed.select("doc_id", ((F.col("n") == F.col("n_parts")) & (F.col("n") == F.col("n_distinct"))).alias("is_whole"))
+
+
 def p7_containers(spark, sf_dir):
     return pack_texts(table(spark, sf_dir, "documents"))
 
@@ -42,8 +58,12 @@ ranked AS (SELECT risk_id, file_path, risk_type, confidence, start,
                   row_number() OVER (PARTITION BY file_path, risk_type ORDER BY confidence DESC, start, risk_id)::INTEGER AS rank FROM latest)
 """
 
-QUERIES = {"p5_found": p5_found, "p5_ranked": p5_ranked, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_containers": p7_containers, "p7_fill": p7_fill}
+QUERIES = {"p5_found": p5_found, "p5_ranked": p5_ranked, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_joined": p6_joined, "p7_texts": p7_texts, "p7_containers": p7_containers, "p7_fill": p7_fill}
 SQL = {
+    "p6_joined": """WITH latest AS (SELECT review_id, diff_context AS d FROM review_states
+                QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY updated_at DESC NULLS LAST, diff_context DESC NULLS LAST) = 1)
+SELECT review_id, md5(d) AS text_md5, true AS fits FROM latest WHERE length(d) > 4000""",
+    "p7_texts": r"SELECT doc_id, true AS is_whole FROM documents WHERE regexp_matches(text, '\S')",
     "p5_found": _RANKED + "SELECT risk_id FROM ranked WHERE rank <= 3",
     "p5_ranked": _RANKED + "SELECT risk_id, file_path, risk_type, confidence, start, rank FROM ranked WHERE rank <= 3",
     "p6_found": r"""
