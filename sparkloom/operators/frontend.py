@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from sparkloom.functions.text import TAINT_NAMES
 from sparkloom.operators.latest import latest_rows
 
-NODES = "file_id bigint, seq int, parent int, kind string, name string, role string, start_line int, start_col int, end_line int, end_col int"
+NODES = "file_id bigint, seq int, parent int, kind string, name string, role string, start_line int, start_col int, end_line int, end_col int, around int"
 
 _KINDS = {
     "FunctionDef": "function_definition", "AsyncFunctionDef": "function_definition", "ClassDef": "class_definition", "Call": "call", "Name": "identifier", "Attribute": "attribute",
@@ -54,20 +54,23 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 with warnings.catch_warnings():
                     warnings.simplefilter("ignore")
-                    todo = [(-1, ast.parse(bytes(source)))]
+                    todo = [(-1, None, ast.parse(bytes(source)))]
             except (SyntaxError, ValueError, RecursionError):
                 continue
             seq = 0
             while todo:
-                parent, node = todo.pop()
+                parent, around, node = todo.pop()
                 at = parent
                 if hasattr(node, "lineno"):
                     role = "declaration" if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) else "statement" if isinstance(node, ast.stmt) else "call" if isinstance(node, ast.Call) else "store" if isinstance(getattr(node, "ctx", None), ast.Store) else "load" if isinstance(node, ast.Name) else "expression"
                     kind = _KINDS.get(type(node).__name__, type(node).__name__)
-                    rows.append((file, seq, parent, kind, _name(node), role, node.lineno, node.col_offset + 1, node.end_lineno, node.end_col_offset + 1))
+                    rows.append((file, seq, parent, kind, _name(node), role, node.lineno, node.col_offset + 1, node.end_lineno, node.end_col_offset + 1, around))
+                    if role == "call" or kind == "assignment":
+                        around = seq
                     at, seq = seq, seq + 1
-                todo += [(at, child) for child in reversed(list(ast.iter_child_nodes(node)))]
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
+                todo += [(at, around, child) for child in reversed(list(ast.iter_child_nodes(node)))]
+        frame = pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
+        yield frame.astype({"around": "Int32"})
 
 
 def nodes_of(sources: DataFrame) -> DataFrame:
@@ -175,20 +178,9 @@ def value_edges(nodes: DataFrame) -> DataFrame:
     to the one around it, assignment to the names it stores. Ends are ``file:node``."""
     at = lambda c: F.concat_ws(":", F.col("file_id").cast("string"), F.col(c).cast("string"))
     edges = def_use_edges(nodes).select(at("src").alias("src"), at("dst").alias("dst"), "kind")
-    # Nearest call or assignment around a node: ancestors are the last such nodes before it in preorder whose span holds
-    # it; climbing the parents level by level needs as many joins as expressions are deep, so spans are compared instead.
-    inner = nodes.where("role in ('load', 'call', 'store')").select("file_id", F.col("seq").alias("seq"), "role", "start_line", "start_col", "end_line", "end_col")
-    outer = nodes.where("role = 'call' or kind = 'assignment'").select(
-        "file_id", F.col("seq").alias("around"), F.col("kind").alias("outer_kind"), *[F.col(c).alias("o_" + c) for c in ("start_line", "start_col", "end_line", "end_col")]
-    )
-    # A statement's lines bound the join: both sides go to every line that the outer node covers.
-    outer = outer.withColumn("line", F.explode(F.sequence("o_start_line", "o_end_line")))
-    held = inner.withColumn("line", F.col("start_line")).join(outer, ["file_id", "line"]).where(
-        (F.col("around") < F.col("seq"))
-        & ((F.col("o_end_line") > F.col("end_line")) | ((F.col("o_end_line") == F.col("end_line")) & (F.col("o_end_col") >= F.col("end_col"))))
-        & ((F.col("o_start_line") < F.col("start_line")) | ((F.col("o_start_line") == F.col("start_line")) & (F.col("o_start_col") <= F.col("start_col"))))
-    )
-    nearest = held.groupBy("file_id", "seq", "role").agg(F.max(F.struct("around", "outer_kind")).alias("o")).select("file_id", "seq", "role", F.col("o.around").alias("around"), "o.outer_kind")
+    # The parser tells the nearest call or assignment around each node.
+    kinds = nodes.select("file_id", F.col("seq").alias("around"), F.col("kind").alias("outer_kind")).where("outer_kind in ('call', 'assignment')")
+    nearest = nodes.where("role in ('load', 'call', 'store') and around is not null").select("file_id", "seq", "role", "around").join(kinds, ["file_id", "around"])
     into = nearest.where("role <> 'store'").select(at("seq").alias("src"), at("around").alias("dst"), F.lit("VALUE").alias("kind"))
     out = nearest.where("role = 'store' and outer_kind = 'assignment'").select(at("around").alias("src"), at("seq").alias("dst"), F.lit("VALUE").alias("kind"))
     return edges.unionByName(into).unionByName(out)
