@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from sparkloom.functions.text import TAINT_NAMES
 from sparkloom.operators.latest import latest_rows
+from sparkloom.sources.tables import spread
 
 NODES = "file_id bigint, seq int, parent int, kind string, name string, role string, start_line int, start_col int, end_line int, end_col int, around int"
 
@@ -82,7 +83,7 @@ def nodes_of(sources: DataFrame) -> DataFrame:
 def python_nodes(parsed: DataFrame) -> DataFrame:
     """Nodes of every Python file's latest parse; files that do not parse have none."""
     rows = parsed.where(F.col("path").rlike(r"(?i)\.py$") & F.col("source").isNotNull() & F.col("file_id").isNotNull())
-    best = latest_rows(rows.select("file_id", "parsed_at", "source"), "file_id", "parsed_at", ["source"])
+    best = latest_rows(spread(rows.select("file_id", "parsed_at", "source")), "file_id", "parsed_at", ["source"])
     return nodes_of(best)
 
 
