@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from sparkloom.sources.shared import written
+from sparkloom.sources.tables import spread
 
 SEED = 5
 #: Words of a run by which stock instructions are known; shorter ones may be shared by chance.
@@ -196,7 +197,7 @@ def leaked_passages(
     and with several blocks each is searched and given up before the next is read.
     """
     spark = documents.sparkSession
-    corpus = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    corpus = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null"))
     known = written(item_words(items, stock_items), "eval-items")
     blocks = max(1, -(-(known.agg(F.sum(F.size("words"))).first()[0] or 0) // block_words))
     found = []

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from sparkloom.sources.shared import written
+from sparkloom.sources.tables import spread
 
 #: Vocabulary of a public tokenizer, as ranks; on every machine at this path.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -54,7 +55,7 @@ def _measured(vocabulary: str, capacity: int):
 def token_parts(documents: DataFrame, capacity: int, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per text, or per ``capacity`` tokens of a longer text; missing and blank texts are left out."""
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("text").rlike(r"\S"))
-    return texts.mapInPandas(_measured(vocabulary, capacity), PARTS)
+    return spread(texts).mapInPandas(_measured(vocabulary, capacity), PARTS)
 
 
 class _Gaps:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.sources.shared import written
+from sparkloom.sources.tables import spread
 
 SHAPES = "doc_id bigint, source string, n_chars int, n_bytes int, key string, shape string, tail string"
 #: Characters by which distinct texts are dealt into ranges, doubled where more than ``HOT_TEXTS`` share them; within a
@@ -240,7 +241,7 @@ def judged(documents: DataFrame) -> DataFrame:
     each; an empty table gives no rows; texts are judged whole, whatever their length; further columns are ignored.
     """
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), "text")
-    texts = texts.where(F.col("text").isNotNull() & F.col("text").rlike(r"\S"))
+    texts = spread(texts.where(F.col("text").isNotNull() & F.col("text").rlike(r"\S")))
     keyed = texts.select("doc_id", "source", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), F.md5("text").alias("key"), "text")
     shapes = written(keyed.mapInPandas(_shapes, SHAPES), "shapes")
     longer = strict_prefixes(keyed.select("key", "text")).withColumn("has_longer", F.lit(True))
