@@ -40,3 +40,17 @@ def last_value_before(rows: DataFrame, keys: list[str], at: Column, order: list[
     near = ranged.withColumn("_near", F.last("_value", ignorenulls=True).over(within))
     met = near.join(renamed, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*keys, "_range")])
     return met.select(*rows.columns, F.coalesce("_near", "_before").alias(name))
+
+
+def sliding_count(rows: DataFrame, keys: list[str], at: Column, order: list[Column], condition: Column, size: int, name: str, block: int = 1000) -> DataFrame:
+    """``rows`` with how many of the last ``size`` rows of their key, up to and with each, meet the condition (V8).
+
+    Rows are numbered by ranges first; windows then hold blocks of numbers, each with the last rows of the block before.
+    """
+    numbered = running_sum(rows.withColumn("_met", condition).withColumn("_one", F.lit(1)), keys, at, order, "_one", "_pos")
+    own = F.floor((F.col("_pos") - 1) / block)
+    both = F.when((F.col("_pos") - 1) % block > block - size, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = numbered.withColumn("_block", F.explode(both))
+    last = Window.partitionBy(*keys, "_block").orderBy("_pos").rowsBetween(1 - size, 0)
+    counted = dealt.withColumn(name, F.count_if("_met").over(last)).where(F.col("_block") == own)
+    return counted.select(*rows.columns, name)

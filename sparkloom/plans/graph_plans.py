@@ -139,6 +139,22 @@ def g_taint_reach_all(spark, sf_dir):
     return _taint_reach(spark, sf_dir, _customers(spark, sf_dir))
 
 
+def _neighbors(spark, sf_dir, starts: DataFrame, limit: int, kinds: list[str] | None = None) -> DataFrame:
+    frontier = starts.select(F.col("node").alias("src")).distinct()
+    chars = frontier.agg(F.sum(F.length("src"))).first()[0] or 0
+    return Graph(order_edges(spark, sf_dir)).leaving(frontier, chars, kinds, limit).select("src", "dst", "kind")
+
+
+def g_neighbors(spark, sf_dir):
+    """The first three neighbours of every customer's order, in the order (kind, node)."""
+    return _neighbors(spark, sf_dir, _nodes(table(spark, sf_dir, "orders"), "o_orderkey", "O"), 3)
+
+
+def g_neighbors_kinds(spark, sf_dir):
+    """The same over edges of one kind."""
+    return _neighbors(spark, sf_dir, _nodes(table(spark, sf_dir, "orders"), "o_orderkey", "O"), 2, ["SUPPLIED"])
+
+
 def g_cfg_chain(spark, sf_dir):
     return consecutive(table(spark, sf_dir, "lineitem").distinct(), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "l_partkey")
 
@@ -270,7 +286,7 @@ _FORWARD = {"to": "dst", "frm": "src"}
 QUERIES = {f.__name__: f for f in (
     g_slice_forward, g_slice_backward, g_query_depth, g_reachability_len, g_slice_store_cap, g_callgraph_edges, g_taint_reach, g_cfg_chain, g_cfg_region, g_def_use,
     g_resolve_calls, g_build_resolve, g_revision_chain, g_python_symbols, g_python_tree, g_python_flow, g_python_calls, g_python_def_use, g_python_taint,
-    g_python_branches, g_python_value_flow, g_python_call_edges, g_python_tagged, g_python_taint_paths, g_store_edges, g_store_counts, q_symbol_search, q_call_sites, q_file_outline,
+    g_neighbors, g_neighbors_kinds, g_python_branches, g_python_value_flow, g_python_call_edges, g_python_tagged, g_python_taint_paths, g_store_edges, g_store_counts, q_symbol_search, q_call_sites, q_file_outline,
     g_slice_forward_all, g_query_depth_all, g_reachability_len_all, g_callgraph_edges_all, g_taint_reach_all,
 )}
 SQL = {
@@ -286,6 +302,8 @@ SQL = {
     "g_taint_reach": "WITH RECURSIVE " + _EDGES + """, found(origin, node, depth) AS (SELECT 'C:' || c_custkey, 'C:' || c_custkey, 0 FROM customer WHERE c_mktsegment = 'BUILDING'
         UNION SELECT origin, dst, depth + 1 FROM found JOIN edges ON src = node WHERE depth < 5 AND node NOT IN (SELECT 'S:' || s_suppkey FROM supplier WHERE s_nationkey = 3))
         SELECT DISTINCT origin AS source, node AS sink FROM found WHERE starts_with(node, 'R:')""",
+    "g_neighbors": "WITH " + _EDGES + " SELECT src, dst, kind FROM edges WHERE starts_with(src, 'O:') QUALIFY row_number() OVER (PARTITION BY src ORDER BY kind, dst) <= 3",
+    "g_neighbors_kinds": "WITH " + _EDGES + " SELECT src, dst, kind FROM edges WHERE kind = 'SUPPLIED' QUALIFY row_number() OVER (PARTITION BY src ORDER BY kind, dst) <= 2",
     "g_cfg_chain": """SELECT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst
         FROM (SELECT DISTINCT * FROM lineitem)) WHERE dst IS NOT NULL""",
     "g_cfg_region": """WITH chain AS (SELECT * FROM (SELECT o_orderkey AS src, lead(o_orderkey) OVER w AS dst, row_number() OVER w AS k FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE dst IS NOT NULL)

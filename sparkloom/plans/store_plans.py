@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.functions.text import excluded, heuristic_summary, jaccard, language, redacted, two_levels, type_weight, words
+from sparkloom.functions.text import excluded, heuristic_summary, jaccard, language, redacted, shortened, two_levels, type_weight, words
 from sparkloom.operators import exports, import_specs, imports, store, textsearch
-from sparkloom.operators.ranges import running_sum
+from sparkloom.operators.ranges import running_sum, sliding_count
 from sparkloom.operators.snapshots import normal_hash
 from sparkloom.operators.traverse import Graph, reach
 from sparkloom.functions.json_text import extract_json
@@ -165,11 +165,23 @@ def v_tool_stats(spark, sf_dir):
 
 
 def v_loop_no_signal(spark, sf_dir):
-    last = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-9, 0)
-    counted = table(spark, sf_dir, "events").withColumn("n_errors", F.count_if(F.col("event_type") == "error").over(last))
+    events = table(spark, sf_dir, "events")
+    counted = sliding_count(events, ["user_id"], F.to_date("ts"), [F.col("ts"), F.col("event_id")], F.col("event_type") == "error", 10, "n_errors")
     return counted.where("n_errors >= 5").select("user_id", "event_id", "n_errors")
 
 
+def v_tool_totals(spark, sf_dir):
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n_events"), F.count_distinct("user_id").alias("n_users"), F.sum(cents).alias("sum_cents"), F.max(cents).alias("max_cents"), F.round(F.sum(cents) / F.count(cents), 6).alias("mean_cents")
+    )
+
+
+def e_shortened(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where("text is not null")
+    return rows.select("doc_id", shortened(F.col("text"), 200).alias("shown"))
+
+
 def v_history_budget(spark, sf_dir):
     cents = F.coalesce(F.round(F.col("value") * 100), F.lit(0)).cast("bigint")
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", cents.alias("cents"))
@@ -342,7 +354,7 @@ QUERIES = {f.__name__: f for f in (
     r_upsert_last_wins, r_stats, r_counts_per_blob, i_content_hash_dedup, i_fingerprint, i_new_content, f_path_filter, f_lang_by_ext, f_two_levels, f_grep_literal, f_grep_context, f_fts_all_terms,
     f_imports, f_imports_all, q_resolved_imports_all, q_dependency_closure_all, f_declarations, f_redacted, e_heuristic_summary, e_jaccard, v_group_tasks, v_tool_stats, v_loop_no_signal, v_history_budget, w_job_dedupe, w_cooldown, w_cooldown_state, w_cooldown_stream, l_lint_norm,
     l_checkers, r_required_revs, r_file_ids, r_symbol_locations, r_repo_map_files, r_repo_map_symbols, r_greatest_content, r_paths_containing, s_read_files, f_extract_json, f_snippets,
-    q_module_exports, q_checked_imports, q_go_packages,
+    q_module_exports, q_checked_imports, q_go_packages, v_tool_totals, e_shortened,
 )}
 
 _HASH = "nullif(regexp_replace(lower(trim(blob_hash)), '^sha256:\\s*', ''), '')"
@@ -419,6 +431,8 @@ SQL = {
         FROM (SELECT risk_id, created_at, {_SET.format('description')} AS a, {_SET.format('suggestion')} AS b FROM risk_items WHERE description IS NOT NULL AND suggestion IS NOT NULL)""",
     "v_group_tasks": "SELECT risk_type, CASE lower(trim(severity)) WHEN 'error' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END AS severity_rank, count(*) AS n_items FROM risk_items GROUP BY 1, 2",
     "v_tool_stats": "SELECT n_events, count(*) AS n_users FROM (SELECT user_id, count(*) AS n_events FROM events GROUP BY user_id) GROUP BY n_events",
+    "v_tool_totals": "SELECT event_type, count(*) AS n_events, count(DISTINCT user_id) AS n_users, sum(c)::BIGINT AS sum_cents, max(c) AS max_cents, round(sum(c) / count(c), 6)::DOUBLE AS mean_cents FROM (SELECT *, round(value * 100)::BIGINT AS c FROM events) GROUP BY event_type",
+    "e_shortened": "SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '... [' || (length(text) - 200) || ' more]' ELSE text END AS shown FROM documents WHERE text IS NOT NULL",
     "v_loop_no_signal": "SELECT user_id, event_id, n_errors FROM (SELECT *, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS n_errors FROM events) WHERE n_errors >= 5",
     "v_history_budget": "SELECT user_id, event_id, spent FROM (SELECT *, sum(coalesce(round(value * 100), 0)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM events) WHERE spent <= 50000",
     "w_job_dedupe": "SELECT min(event_id) AS event_id, user_id, event_type FROM events WHERE event_type IN ('purchase', 'signup', 'error') AND user_id IS NOT NULL GROUP BY user_id, event_type, date_trunc('hour', ts)",

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from sparkloom.operators.ranges import last_value_before
 from sparkloom.sources.shared import shared_dir
 
 
@@ -50,10 +51,10 @@ def stream_first_jobs(spark: SparkSession, path: str, schema, kinds: list[str])
 
 
 def cooled(events: DataFrame, seconds: int) -> DataFrame:
-    """Events at least ``seconds`` after the user's event before, whether that was taken or not (a debounce): a window."""
+    """Events at least ``seconds`` after the user's event before, whether that was taken or not (a debounce), by ranges of a day."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = at - F.lag(at).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return events.withColumn("gap", gap).where(F.col("gap").isNull() | (F.col("gap") >= seconds * 1_000_000)).drop("gap")
+    rows = last_value_before(events, ["user_id"], F.to_date("ts"), [F.col("ts"), F.col("event_id")], at, "_before")
+    return rows.where(F.col("_before").isNull() | (at - F.col("_before") >= seconds * 1_000_000)).drop("_before")
 
 
 def _taken(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, micros: int) -> Iterator[pd.DataFrame]:

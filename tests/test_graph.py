@@ -275,7 +275,7 @@ def test_artifact_store(spark, tmp_path):
 
 
 def test_running_values_by_ranges(spark):
-    from sparkloom.operators.ranges import last_value_before, running_sum
+    from sparkloom.operators.ranges import last_value_before, running_sum, sliding_count
 
     rnd = random.Random(2)
     rows = [(rnd.choice(["hot", "hot", "x", None]), k, rnd.randrange(40), rnd.choice(["d", "u", "u"])) for k in range(200)]
@@ -283,9 +283,11 @@ def test_running_values_by_ranges(spark):
     at, order = F.floor(F.col("t") / 7), [F.col("t"), F.col("id")]
     sums = {r.id: r.s for r in running_sum(frame, ["g"], at, order, "t", "s").collect()}
     falling = {r.id: r.s for r in running_sum(frame, ["g"], at, [F.col("t").desc(), F.col("id").desc()], "t", "s", newest_first=True).collect()}
+    recent = {r.id: r.n for r in sliding_count(frame, ["g"], at, order, F.col("kind") == "d", 4, "n", block=9).collect()}
     lasts = {r.id: r.d for r in last_value_before(frame, ["g"], at, order, F.when(F.col("kind") == "d", F.col("id")), "d").collect()}
     for g, k, t, _ in rows:
         mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[1]))
         before = [r for r in mine if (r[2], r[1]) < (t, k)]
         assert sums[k] == t + sum(r[2] for r in before) and falling[k] == sum(r[2] for r in mine) - sum(r[2] for r in before)
+        assert recent[k] == sum(r[3] == "d" for r in [*before, next(r for r in mine if r[1] == k)][-4:])
         assert lasts[k] == next((r[1] for r in reversed(before) if r[3] == "d"), None)
