@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.operators.latest import latest_rows
-from sparkloom.functions.text import API_WORDS, STRONG_WORDS, count_danger, excluded, has_word, line_label, type_weight
+from sparkloom.functions.text import API_WORDS, STRONG_WORDS, count_danger, excluded, has_word, line_label, severity_rank, type_weight
 
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
@@ -152,6 +152,27 @@ def snapped_lines(items: DataFrame, lines: DataFrame, fuzz: int = 5) -> DataFram
     return rows.select("risk_id", F.when(F.array_contains("changed", F.col("start")), F.col("start")).otherwise(near).alias("line"))
 
 
+def anchor_gate(items: DataFrame, lines: DataFrame, kept_type: str, window: int = 5, cap: float | None = None) -> DataFrame:
+    """Items near an added line, and those of ``kept_type`` wherever they are (V2). Others are dropped, or with ``cap`` kept with a
+    confidence of at most that."""
+    near = near_changes(items, lines, window).select("risk_id", "is_anchored")
+    rows = items.join(near, "risk_id").withColumn("is_anchored", F.col("is_anchored") | F.coalesce(F.col("risk_type") == kept_type, F.lit(False)))
+    if cap is None:
+        return rows.where("is_anchored")
+    return rows.withColumn("confidence", F.when(F.col("is_anchored"), F.col("confidence")).otherwise(F.least("confidence", F.lit(cap))))
+
+
+def comment_places(items: DataFrame, lines: DataFrame, fuzz: int = 5) -> DataFrame:
+    """``(review_id, path, line, severity_rank, confidence, n_items, place)``: lines of a diff that get a comment, in the order of their
+    worst severity, then highest confidence, path and line within a review (V14, A4). Items without such a line have none.
+    """
+    snapped = snapped_lines(items, lines, fuzz).where("line is not null")
+    rows = items.select("risk_id", "review_id", "path", severity_rank(F.col("severity")).alias("rank"), "confidence").join(snapped, "risk_id")
+    places = rows.groupBy("review_id", "path", "line").agg(F.max("rank").alias("severity_rank"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n_items"))
+    order = Window.partitionBy("review_id").orderBy(F.col("severity_rank").desc(), F.col("confidence").desc(), "path", "line")
+    return places.withColumn("place", F.row_number().over(order))
+
+
 def merged_ranges(items: DataFrame, window: int = 5) -> DataFrame:
     """Ranges of the same path and type that overlap or lie within ``window`` lines, merged (the interval part of V3).
 

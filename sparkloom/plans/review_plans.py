@@ -82,6 +82,30 @@ def v_comment_anchor(spark, sf_dir):
     return diffs.snapped_lines(_items(spark, sf_dir), _lines(spark, sf_dir)).select("risk_id", F.coalesce("line", F.lit(-1)).alias("line"))
 
 
+def _touching(spark, sf_dir):
+    """Items with the last review whose diff touches their file, instead of the review they were written for, and the diffs' lines.
+
+    In the given tables hardly an item lies in a file of its own review's diff.
+    """
+    lines = _lines(spark, sf_dir)
+    touched = lines.where("path is not null").groupBy(F.concat_ws("/", "repo_name", "path").alias("path")).agg(F.max("review_id").alias("review_id"))
+    return _items(spark, sf_dir).drop("review_id").join(touched, "path"), lines
+
+
+def v_gated_items(spark, sf_dir):
+    found = diffs.anchor_gate(*_touching(spark, sf_dir), "Syntax_Static_Errors", window=20)
+    return found.select("risk_id", "confidence")
+
+
+def v_capped_items(spark, sf_dir):
+    found = diffs.anchor_gate(*_touching(spark, sf_dir), "Syntax_Static_Errors", window=20, cap=0.2)
+    return found.select("risk_id", "is_anchored", "confidence")
+
+
+def v_comment_places(spark, sf_dir):
+    return diffs.comment_places(*_touching(spark, sf_dir), fuzz=20)
+
+
 def v_report(spark, sf_dir):
     items = table(spark, sf_dir, "risk_items").where("line_number.start >= 1 and confidence between 0 and 1 and file_path is not null")
     rows = items.select("risk_id", F.col("file_path").alias("path"), "risk_type", F.col("line_number.start").alias("start"), F.col("line_number.end").alias("end"), "confidence", "severity", "description", "suggestion")
@@ -100,7 +124,7 @@ def e_asset_key(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     d_diff_lines, d_changes_per_file, e_file_score, v_anchor_gate, v_merge_ranges, v_comment_rank,
-    f_files_from_diff, d_context_text, d_context_changed, d_line_lookup, d_file_diff, v_comment_anchor, v_report, e_line_label, e_asset_key,
+    f_files_from_diff, d_context_text, d_context_changed, d_line_lookup, d_file_diff, v_comment_anchor, v_gated_items, v_capped_items, v_comment_places, v_report, e_line_label, e_asset_key,
 )}
 
 _HEAD = "'^@@ -(\\d+)(?:,(\\d+))? \\+(\\d+)(?:,(\\d+))? @@'"
@@ -126,6 +150,8 @@ _ITEMS = """items AS (SELECT * FROM (SELECT risk_id, review_id, regexp_replace(r
    coalesce(confidence, 0.5) AS confidence, coalesce(severity, 'warning') AS severity FROM risk_items WHERE line_number.start >= 1 AND line_number.start <= line_number."end" AND file_path IS NOT NULL AND review_id IS NOT NULL)
    QUALIFY row_number() OVER (PARTITION BY risk_id ORDER BY created_at DESC, review_id DESC, path DESC, risk_type DESC, start DESC, "end" DESC, confidence DESC, severity DESC) = 1), good AS (SELECT * FROM items WHERE NOT isnan(confidence))"""
 _WEIGHTS = "CASE WHEN regexp_matches(lower(path), '/test|^tests/|_test\\.py$|\\.spec\\.tsx?$') THEN 0.4 WHEN regexp_matches(lower(path), '\\.(md|rst|txt)$') THEN 0.2 WHEN regexp_matches(lower(path), '\\.(ya?ml|json|toml|ini|cfg)$') THEN 0.6 ELSE 1.0 END"
+_TOUCHING = """changed AS (SELECT DISTINCT review_id, repo_name || '/' || path AS path, new_line FROM lines WHERE marker = '+' AND path IS NOT NULL),
+   touched AS (SELECT repo_name || '/' || path AS path, max(review_id) AS review_id FROM lines WHERE path IS NOT NULL GROUP BY 1), placed AS (SELECT g.* EXCLUDE (review_id), t.review_id FROM good g JOIN touched t USING (path))"""
 _SHOWN = "printf('%s %4d: %s', CASE WHEN marker = ' ' THEN ' ' WHEN is_modified THEN '~' ELSE '+' END, new_line, regexp_replace(content, '\\r+$', ''))"
 _NORMAL = "regexp_replace(replace(trim(path), '\\', '/'), '^(\\./+|[ab]/|/+)', '')"
 #: Paths that reviews leave out: by name, by ending, by folder.
@@ -159,6 +185,16 @@ SQL = {
         SELECT c.review_id, c.path, coalesce(context, found[1], left(diff_context, 3000)) AS diff FROM cuts c LEFT JOIN ctx USING (review_id, path)""",
     "v_comment_anchor": f"""WITH {_DIFF}, {_ITEMS}, changed AS (SELECT DISTINCT review_id, repo_name || '/' || path AS path, new_line FROM lines WHERE marker = '+' AND path IS NOT NULL)
         SELECT risk_id, coalesce(max(CASE WHEN new_line = start THEN new_line END), min(new_line), -1)::INTEGER AS line FROM good g LEFT JOIN changed c ON c.review_id = g.review_id AND c.path = g.path AND new_line BETWEEN start - 5 AND "end" + 5 GROUP BY risk_id""",
+    "v_gated_items": f"""WITH {_DIFF}, {_ITEMS}, {_TOUCHING}
+        SELECT risk_id, confidence FROM placed g WHERE risk_type = 'Syntax_Static_Errors' OR EXISTS (SELECT 1 FROM changed c WHERE c.review_id = g.review_id AND c.path = g.path AND c.new_line BETWEEN g.start - 20 AND g."end" + 20)""",
+    "v_capped_items": f"""WITH {_DIFF}, {_ITEMS}, {_TOUCHING},
+        gated AS (SELECT *, coalesce(risk_type = 'Syntax_Static_Errors', false) OR EXISTS (SELECT 1 FROM changed c WHERE c.review_id = g.review_id AND c.path = g.path AND c.new_line BETWEEN g.start - 20 AND g."end" + 20) AS is_anchored FROM placed g)
+        SELECT risk_id, is_anchored, CASE WHEN is_anchored THEN confidence ELSE least(confidence, 0.2) END AS confidence FROM gated""",
+    "v_comment_places": f"""WITH {_DIFF}, {_ITEMS}, {_TOUCHING},
+        put AS (SELECT risk_id, any_value(g.review_id) AS review_id, any_value(g.path) AS path, any_value(confidence) AS confidence, any_value(severity) AS severity, coalesce(max(CASE WHEN new_line = start THEN new_line END), min(new_line)) AS line
+          FROM placed g JOIN changed c ON c.review_id = g.review_id AND c.path = g.path AND new_line BETWEEN start - 20 AND "end" + 20 GROUP BY risk_id),
+        per AS (SELECT review_id, path, line, max(CASE lower(trim(severity)) WHEN 'error' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END) AS severity_rank, max(confidence) AS confidence, count(*) AS n_items FROM put GROUP BY 1, 2, 3)
+        SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY severity_rank DESC, confidence DESC, path, line)::INTEGER AS place FROM per""",
     "v_report": """WITH r AS (SELECT * FROM risk_items WHERE line_number.start >= 1 AND confidence BETWEEN 0 AND 1 AND NOT isnan(confidence) AND file_path IS NOT NULL AND line_number."end" IS NOT NULL AND severity IN ('error', 'warning', 'info'))
         SELECT severity, count(*) OVER (PARTITION BY severity) AS n_items, risk_id AS place, '- **' || file_path || ':' || CASE WHEN line_number.start = line_number."end" THEN line_number.start::VARCHAR ELSE line_number.start || ':' || line_number."end" END
         || '** [' || risk_type || '] (confidence: ' || printf('%.2f', confidence) || ')' || chr(10) || '  ' || coalesce(description, '') || CASE WHEN length(suggestion) > 0 THEN chr(10) || '  Suggestion: ' || suggestion ELSE '' END AS line FROM r""",

@@ -292,6 +292,18 @@ def test_anchors_of_any_range(spark):
     assert {r.risk_id: r.line for r in diffs.snapped_lines(items, lines).collect()} == {1: 2, 2: 3, 3: None, 4: 11, 5: None, 6: 11}
 
 
+def test_gate_and_places(spark):
+    _, lines = _context_tables(spark)
+    items = spark.createDataFrame(
+        [(1, 1, "r/x.py", "A", 3, 3, 0.5, "error"), (2, 1, "r/x.py", "A", 90, 91, 0.9, "error"), (3, 1, "r/x.py", "S", 90, 91, 0.9, "info"), (4, 1, "r/x.py", None, 3, 3, 0.7, "info"), (5, 1, "r/x.py", "A", 11, 11, 0.9, "warning"), (6, 1, "r/x.py", "A", 90, 91, 0.1, "info")],
+        "risk_id bigint, review_id bigint, path string, risk_type string, start bigint, end bigint, confidence double, severity string",
+    )
+    assert {r.risk_id for r in diffs.anchor_gate(items, lines, "S").collect()} == {1, 3, 4, 5}
+    assert {r.risk_id: r.confidence for r in diffs.anchor_gate(items, lines, "S", cap=0.2).collect()} == {1: 0.5, 2: 0.2, 3: 0.9, 4: 0.7, 5: 0.9, 6: 0.1}
+    places = diffs.comment_places(items, lines).orderBy("place").collect()
+    assert [(r.line, r.severity_rank, r.confidence, r.n_items) for r in places] == [(3, 3, 0.7, 2), (11, 2, 0.9, 1)]
+
+
 def test_grep_options_and_snippets(spark):
     texts = spark.createDataFrame([(1, "a/x.py", "one (a.b)\nTwo\n"), (2, "a/y.go", "one (a.b)"), (3, "t/x.py", "one (a.b)\none (a,b)")], "file_id int, path string, text string")
     found = lambda *a, **k: {(r.file_id, r.line_no) for r in textsearch.grep(texts, *a, **k).collect()}
